@@ -3,7 +3,6 @@
 All analyzers return ``array<string>`` with one element per occurrence, so a
 later ``explode`` + ``groupBy`` counts term frequencies.
 """
-from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,6 +58,10 @@ def _window_join(tok: Column, n: int):
     return lambda i: F.array_join(F.slice(tok, i, n), " ")
 
 
+def _window_concat(chars: Column, n: int):
+    return lambda i: F.array_join(F.slice(chars, i, n), "")
+
+
 def _window_substr(s: Column, n: int):
     return lambda i: F.substring(s, i, n)
 
@@ -110,18 +113,41 @@ def char_wb_ngrams(txt, lo: int = 2, hi: int = 4, lowercase: bool = True) -> Col
     return F.flatten(F.transform(words, grams_of))
 
 
-def char_ngrams(txt, lo: int = 2, hi: int = 4, lowercase: bool = True) -> Column:
-    """character n-grams over the text, runs of 2+ whitespace -> one space."""
+def normalize_for_char_ngrams(txt, lowercase: bool = True) -> Column:
+    """Runs of two or more whitespace characters become one space."""
     t = F.lower(_col(txt)) if lowercase else _col(txt)
-    t = F.regexp_replace(t, f"{WS_CLASS}{{2,}}", " ")
-    ln = F.length(t)
+    return F.regexp_replace(t, f"{WS_CLASS}{{2,}}", " ")
+
+
+def code_points(t) -> Column:
+    """The characters (code points) of a text as an array."""
+    return F.regexp_extract_all(_col(t), F.lit(r"(?s)."), 0)
+
+
+def char_ngram_windows(chars, lo: int = 2, hi: int = 4) -> Column:
+    """F06 on the ``code_points`` array of a normalised text.
+
+    Windows are taken with ``slice`` on the array (constant-time indexing);
+    ``substring`` on the text would rescan it from the start for each window.
+    """
+    c = _col(chars)
+    ln = F.size(c)
     per_n = []
     for n in range(int(lo), int(hi) + 1):
-        windows = F.transform(F.sequence(F.lit(1), ln - (n - 1)), _window_substr(t, n))
+        windows = F.transform(F.sequence(F.lit(1), ln - (n - 1)), _window_concat(c, n))
         per_n.append(F.when(ln >= n, windows).otherwise(F.array().cast("array<string>")))
     return F.concat(*per_n) if len(per_n) > 1 else per_n[0]
 
 
+def char_ngrams(txt, lo: int = 2, hi: int = 4, lowercase: bool = True) -> Column:
+    """character n-grams over the text, runs of 2+ whitespace -> one space.
+
+    For long texts project ``code_points(normalize_for_char_ngrams(t))`` into
+    its own column first and call ``char_ngram_windows`` on it.
+    """
+    return char_ngram_windows(code_points(normalize_for_char_ngrams(txt, lowercase)), lo, hi)
+
+
 def keyword_flag(txt, keywords: list[str], whole_word: bool = False) -> Column:
     """1.0 if any keyword is a substring of the lower-cased text."""
     t = F.lower(_col(txt))

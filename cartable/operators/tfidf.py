@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.render import WS_CLASS
-from ..functions.terms import (char_ngrams, char_wb_ngrams, strip_accents_unicode,
+from ..functions.terms import (char_ngram_windows, code_points, char_wb_ngrams, normalize_for_char_ngrams, strip_accents_unicode,
                                word_ngrams, word_tokens)
 
 ANALYZERS = ("word", "char_wb", "char")
@@ -78,8 +78,8 @@ def analyze_stages(p: TfidfParams):
                 lambda tok: word_ngrams(tok, lo, hi))
     if p.analyzer == "char_wb":
         return base, lambda t: char_wb_ngrams(t, lo, hi, lowercase=False)
-    return (lambda text: F.regexp_replace(base(text), f"{WS_CLASS}{{2,}}", " "),
-            lambda t: char_ngrams(t, lo, hi, lowercase=False))
+    return (lambda text: code_points(normalize_for_char_ngrams(base(text), lowercase=False)),
+            lambda t: char_ngram_windows(t, lo, hi))
 
 
 def analyze(text: Column, p: TfidfParams) -> Column:
@@ -216,9 +216,10 @@ def fit_tfidf(docs: DataFrame, params: TfidfParams, text_col: str = "text", id_c
     return TfidfModel(params, vocab, n_docs, size, text_col, id_col)
 
 
-def tfidf_long(docs: DataFrame, params: TfidfParams, text_col: str = "text", id_col: str = "id",
-               carry=()) -> DataFrame:
-    """Fit and transform on the same corpus in one lazy plan (no action).
+def tfidf_fit_transform(docs: DataFrame, params: TfidfParams, text_col: str = "text",
+                        id_col: str = "id", carry=()) -> tuple[DataFrame, DataFrame]:
+    """Fit and transform on the same corpus in one lazy plan (no action):
+    returns ``(long form, vocabulary)``.
 
     The text is repartitioned once; the same exchange feeds both the
     vocabulary branch and the transform branch (Spark reuses it).
@@ -228,7 +229,13 @@ def tfidf_long(docs: DataFrame, params: TfidfParams, text_col: str = "text", id_
     # The document count is a scalar subquery, so the plan stays lazy.
     n = _scalar(src.agg(F.count(F.lit(1)).alias("n")), "n")
     vocab = fit_vocabulary(counts, n, params, id_col)
-    return transform_counts(counts, vocab, params, id_col, carry)
+    return transform_counts(counts, vocab, params, id_col, carry), vocab
+
+
+def tfidf_long(docs: DataFrame, params: TfidfParams, text_col: str = "text", id_col: str = "id",
+               carry=()) -> DataFrame:
+    """Long-form TF-IDF of a corpus with its own vocabulary."""
+    return tfidf_fit_transform(docs, params, text_col, id_col, carry)[0]
 
 
 def _scalar(one_row: DataFrame, col: str) -> Column:

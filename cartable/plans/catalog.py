@@ -1,6 +1,8 @@
 """All registered queries (one per operator of the inventory)."""
 from __future__ import annotations
 
+from . import catalog_eval  # noqa: F401
+from . import catalog_text  # noqa: F401
 from . import flagship
 from .registry import register
 

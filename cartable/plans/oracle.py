@@ -112,12 +112,14 @@ def char_wb(txt: str, lo: int, hi: int, lowered: bool = False) -> str:
 
 
 def char_pre(txt: str) -> str:
-    return f"regexp_replace(lower({txt}), {q(WS + '{2,}')}, ' ', 'g')"
+    """Code points of the normalised text."""
+    return f"regexp_extract_all(regexp_replace(lower({txt}), {q(WS + '{2,}')}, ' ', 'g'), '(?s).')"
 
 
 def char_grams_of(t: str, lo: int, hi: int) -> str:
     per_n = [f"CASE WHEN len({t}) >= {n} THEN list_transform(range(1, len({t}) - {n - 2}), "
-             f"lambda i: substring({t}, i, {n})) ELSE []::VARCHAR[] END" for n in range(lo, hi + 1)]
+             f"lambda i: array_to_string(list_slice({t}, i, i + {n - 1}), '')) ELSE []::VARCHAR[] END"
+             for n in range(lo, hi + 1)]
     body = per_n[0]
     for p in per_n[1:]:
         body = f"list_concat({body}, {p})"
