@@ -398,14 +398,14 @@ def v12(spark, sf):
 # ---------------------------------------------------------------- lemmas
 _LEMMA_CTES = [
     _RENDERED_CTE,
-    f"tk AS (SELECT id, {O.word_tokens('text')} AS tok FROM docs)",
-    "toks AS (SELECT id, unnest(tok) AS form, generate_subscripts(tok, 1) AS pos FROM tk)",
-    "forms AS (SELECT DISTINCT form FROM toks)",
+    f"ltk AS (SELECT id, {O.word_tokens('text')} AS tok FROM docs)",
+    "ltoks AS (SELECT id, unnest(tok) AS form, generate_subscripts(tok, 1) AS pos FROM ltk)",
+    "forms AS (SELECT DISTINCT form FROM ltoks)",
     "dict AS (SELECT form, substring(form, 1, length(form) - 1) AS lemma FROM forms "
     "WHERE length(form) >= 4 AND regexp_matches(form, '[sx]$') "
     "AND substring(form, 1, length(form) - 1) IN (SELECT form FROM forms))",
     "lem0 AS (SELECT t.id, string_agg(coalesce(d.lemma, t.form), ' ' ORDER BY t.pos) AS text "
-    "FROM toks t LEFT JOIN dict d ON t.form = d.form GROUP BY t.id)",
+    "FROM ltoks t LEFT JOIN dict d ON t.form = d.form GROUP BY t.id)",
     "lem AS (SELECT d.id, coalesce(l.text, '') AS text FROM docs d LEFT JOIN lem0 l ON d.id = l.id)",
 ]
 
