@@ -94,9 +94,9 @@ def build_estimator(spec: ModelSpec, n_rows: int, features: str = "features", la
     if spec.type == "linear_svc":
         reg = 1.0 / (float(p.get("C", 1.0)) * max(n_rows, 1))
         svc = LinearSVC(regParam=reg, maxIter=int(p.get("max_iter", 100)), standardization=False)
-        if wcol:
-            svc = svc.setWeightCol(wcol)
-        return OneVsRest(classifier=svc, parallelism=4, **kw)
+        ovr = OneVsRest(classifier=svc, parallelism=4, **kw)
+        # One-vs-rest hands the weight column to each binary model.
+        return ovr.setWeightCol(wcol) if wcol else ovr
     if spec.type == "random_forest":
         depth = p.get("max_depth")
         est = RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), featureSubsetStrategy="sqrt",
@@ -110,9 +110,8 @@ def build_estimator(spec: ModelSpec, n_rows: int, features: str = "features", la
             depth = max(1, int(p["num_leaves"]).bit_length() - 1)
         gbt = GBTClassifier(maxIter=iters, stepSize=float(p.get("learning_rate", 0.1)),
                             maxDepth=int(depth or 3), seed=int(p.get("random_state", seed)))
-        if wcol:
-            gbt = gbt.setWeightCol(wcol)
-        return OneVsRest(classifier=gbt, parallelism=4, **kw)
+        ovr = OneVsRest(classifier=gbt, parallelism=4, **kw)
+        return ovr.setWeightCol(wcol) if wcol else ovr
     raise ValueError(f"unknown model type {spec.type!r}; available: {list(MODEL_TYPES)}")
 
 
@@ -207,10 +206,10 @@ def predict_complement_nb(long: DataFrame, model: DataFrame, classes: list[str],
 
 
 # ----------------------------------------------------- batched scoring
-def batch_scorer(make_predict_fn, k: int, batch_size: int = 32):
+def batch_scorer(make_predict_fn, input_size: int, batch_size: int = 32):
     """Wrap a caller-supplied model as an Arrow-batched UDF producing
     ``array<float>`` scores (``batch_size`` rows per call)."""
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import ArrayType, FloatType
     return predict_batch_udf(make_predict_fn, return_type=ArrayType(FloatType()), batch_size=batch_size,
-                             input_tensor_shapes=[[-1]])
+                             input_tensor_shapes=[[int(input_size)]])

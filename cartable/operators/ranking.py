@@ -44,7 +44,7 @@ def global_index(df: DataFrame, order_cols: list[str], out_col: str = "idx",
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn("_off", F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).drop("_n")
     inner = Window.partitionBy("_pid").orderBy(*order_cols)
-    return (ranked.withColumn("_r", F.row_number().over(inner))
+    return (ranged.withColumn("_r", F.row_number().over(inner))
             .join(F.broadcast(offsets), "_pid")
             .withColumn(out_col, F.col("_off") + F.col("_r") - 1)
             .drop("_pid", "_off", "_r"))

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from . import catalog_eval  # noqa: F401
+from . import catalog_models  # noqa: F401
 from . import catalog_runs  # noqa: F401
 from . import catalog_text  # noqa: F401
 from . import flagship
