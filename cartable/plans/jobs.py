@@ -276,10 +276,10 @@ def save_fitted(fitted: Fitted, run_dir: str) -> None:
     if fitted.featurizer.models:
         fitted.featurizer.models[0].vocab.write.mode("overwrite").parquet(f"{run_dir}/vocabulary")
     m = fitted.model
-    if hasattr(m, "write"):
-        m.write().overwrite().save(f"{run_dir}/model")
-    elif isinstance(m, DataFrame):
+    if isinstance(m, DataFrame):  # Complement NB: the model is a table
         m.write.mode("overwrite").parquet(f"{run_dir}/model")
+    elif hasattr(m, "write"):
+        m.write().overwrite().save(f"{run_dir}/model")
 
 
 def score(fitted: Fitted, tables: DataFrame, cfg: dict, ranked: bool = False) -> DataFrame:
