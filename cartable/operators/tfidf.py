@@ -226,8 +226,9 @@ def tfidf_fit_transform(docs: DataFrame, params: TfidfParams, text_col: str = "t
     """
     src = partition_docs(docs.select(id_col, text_col, *carry), id_col)
     counts = term_counts(src, params, text_col, id_col, carry, partitioned=True)
-    # The document count is a scalar subquery, so the plan stays lazy.
-    n = _scalar(src.agg(F.count(F.lit(1)).alias("n")), "n")
+    # The document count is a scalar subquery on the unshuffled input (only
+    # the id column is read), so the plan stays lazy and adds no exchange.
+    n = _scalar(docs.agg(F.count(F.lit(1)).alias("n")), "n")
     vocab = fit_vocabulary(counts, n, params, id_col)
     return transform_counts(counts, vocab, params, id_col, carry), vocab
 
