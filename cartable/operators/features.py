@@ -57,7 +57,10 @@ def lemmatize(docs: DataFrame, dictionary: DataFrame, id_col: str = "id", text_c
     The tokens of one document are regrouped by id (a group is one document).
     """
     d, _ = checked_broadcast(dictionary.select("form", "lemma"), max_broadcast_rows)
-    toks = docs.select(id_col, F.posexplode(word_tokens(F.col(text_col))).alias("pos", "form"))
+    # Partition by id first: with a broadcast dictionary the regroup below
+    # then needs no exchange (the text moves once, not every token).
+    src = TF.partition_docs(docs.select(id_col, text_col), id_col)
+    toks = src.select(id_col, F.posexplode(word_tokens(F.col(text_col))).alias("pos", "form"))
     j = toks.join(d, "form", "left").select(id_col, "pos", F.coalesce("lemma", "form").alias("lemma"))
     grouped = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "lemma"))).alias("_l"))
     back = grouped.select(id_col, F.array_join(F.transform("_l", lambda s: s["lemma"]), " ").alias(out))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .ranking import argmax_label, softmax
 
+SVC_MAX_ITER = 100
 MODEL_TYPES = ("logistic_regression", "linear_svc", "random_forest", "gradient_boosting",
                "complement_nb", "lightgbm", "xgboost", "ensemble_vote")
 
@@ -93,7 +94,11 @@ def build_estimator(spec: ModelSpec, n_rows: int, features: str = "features", la
         return est.setWeightCol(wcol) if wcol else est
     if spec.type == "linear_svc":
         reg = 1.0 / (float(p.get("C", 1.0)) * max(n_rows, 1))
-        svc = LinearSVC(regParam=reg, maxIter=int(p.get("max_iter", 100)), standardization=False)
+        # ``max_iter`` of the reference counts coordinate-descent passes of
+        # another solver; Spark's OWLQN iterations are a different unit, so
+        # Spark's own default cap (100, tol 1e-6) bounds them.
+        iters = min(int(p.get("max_iter", 100)), SVC_MAX_ITER)
+        svc = LinearSVC(regParam=reg, maxIter=iters, standardization=False)
         ovr = OneVsRest(classifier=svc, parallelism=4, **kw)
         # One-vs-rest hands the weight column to each binary model.
         return ovr.setWeightCol(wcol) if wcol else ovr
