@@ -425,3 +425,15 @@ def v11(spark, sf):
     from ..operators.features import lemmatized_tfidf_long
     long = lemmatized_tfidf_long(_rendered(spark, sf), _P)
     return long.groupBy("id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 6).alias("sum_weight"))
+
+
+# ------------------------------------------------------- conversations
+@register("p06_render_conversations",
+          "WITH c AS (SELECT conv_id AS id, list([role, text] ORDER BY turn) AS table_data FROM conversations "
+          f"GROUP BY conv_id), r AS (SELECT id, {O.render('table_data')} AS txt FROM c) "
+          f"SELECT id, {_sql_text_out('txt')}, CAST(len(table_data) AS BIGINT) AS n_turns FROM r JOIN c USING (id)")
+def p06c(spark, sf):
+    from .adapters import conversations_as_tables
+    t = conversations_as_tables(spark, sf)
+    r = t.select("id", R.render_text("table_data").alias("txt"), F.size("table_data").cast("long").alias("n_turns"))
+    return r.select("id", *_text_out(F.col("txt")), "n_turns")

@@ -149,12 +149,16 @@ class Fitted:
 
     def predict(self, docs: DataFrame) -> DataFrame:
         """``(id, prediction, proba)``; proba in class order."""
+        return self.predict_long(self.featurizer.long(docs), docs.select("id"))
+
+    def predict_long(self, long: DataFrame, ids: DataFrame) -> DataFrame:
+        """Predict from long-form features ``(id, idx, weight)``; ``ids`` keeps
+        documents without any feature."""
         t = self.spec.type
         if t == "complement_nb":
-            long = self.featurizer.long(docs)
-            return MD.predict_complement_nb(long, self.model, self.classes, docs.select("id")).select(
+            return MD.predict_complement_nb(long, self.model, self.classes, ids).select(
                 "id", "prediction", "proba")
-        vec = self.featurizer.vectors(docs, carry=())
+        vec = TF.sparse_rows(long, ids, self.featurizer.size)
         if t == "linear_svc":
             pr = MD.calibrated_proba(self.model, vec)
         elif t == "ensemble_vote":
@@ -171,17 +175,21 @@ class Fitted:
 
 def fit_model(train_docs: DataFrame, cfg: dict, seed: int = 42) -> Fitted:
     """Fit features on ``train_docs`` then the classifier."""
-    spec = MD.ModelSpec(cfg["model"]["type"], cfg["model"].get("params", {}))
     feat = fit_features(train_docs, cfg["features"])
-    classes = sorted(r.label for r in train_docs.select("label").distinct().collect())  # bounded: classes
+    return fit_model_long(feat.long(train_docs), train_docs.select("id", "label"), cfg, feat, seed)
+
+
+def fit_model_long(long: DataFrame, labels: DataFrame, cfg: dict, feat: Featurizer, seed: int = 42) -> Fitted:
+    """Fit the classifier on long-form features of the training rows."""
+    spec = MD.ModelSpec(cfg["model"]["type"], cfg["model"].get("params", {}))
+    classes = sorted(r.label for r in labels.select("label").distinct().collect())  # bounded: classes
     if spec.type == "complement_nb":
-        long = feat.long(train_docs).join(train_docs.select("id", "label"), "id")
-        model = MD.fit_complement_nb(long, classes, float(spec.params.get("alpha", 1.0)),
+        model = MD.fit_complement_nb(long.join(labels, "id"), classes, float(spec.params.get("alpha", 1.0)),
                                      bool(spec.params.get("norm", False))).cache()
         return Fitted(spec, classes, model, feat)
     idx = {c: i for i, c in enumerate(classes)}
     lab = F.element_at(F.create_map(*[x for c, i in idx.items() for x in (F.lit(c), F.lit(float(i)))]), F.col("label"))
-    vec = feat.vectors(train_docs).withColumn("label_idx", lab)
+    vec = labels.join(TF.sparse_rows(long, labels.select("id"), feat.size), "id").withColumn("label_idx", lab)
     vec = MET.with_class_weights(vec).cache()
     n = vec.count()
     if spec.type == "linear_svc":
@@ -204,16 +212,47 @@ def fit_model(train_docs: DataFrame, cfg: dict, seed: int = 42) -> Fitted:
 # ------------------------------------------------------------------- jobs
 def cross_validate(tv_docs: DataFrame, cfg: dict, k: int, seed: int = 42) -> DataFrame:
     """K folds over train+val; the vocabulary is refitted on the
-    training folds of each fold (no leakage). Returns ``(fold, score)``."""
+    training folds of each fold (no leakage). Returns ``(fold, score)``.
+
+    For plain TF-IDF features the documents are tokenised and counted once,
+    tagged with their fold and persisted; each fold's vocabulary is then an
+    aggregate over the counts outside the fold, so the text is not re-analysed
+    k times. Other feature types refit the whole extractor per fold.
+    """
     folded = SP.assign_folds(tv_docs, k=k, seed=seed).cache()
-    rows = []
-    for f in range(k):
-        fit = fit_model(SP.fold_train(folded, f).drop("fold"), cfg, seed)
-        held = SP.fold_valid(folded, f).drop("fold")
-        pred = fit.predict(held).join(held.select("id", "label"), "id")
-        acc = MET.accuracy(pred, y="label", p="prediction").first()["accuracy"]
-        rows.append((f, float(acc or 0.0)))
     spark = tv_docs.sparkSession
+    rows = []
+    fcfg = cfg["features"]
+    if fcfg.get("type", "tfidf") == "tfidf":
+        p = TF.TfidfParams.from_dict(fcfg.get("params", {}))
+        counts = TF.term_counts(folded, p, carry=["fold"]).persist()
+        sizes = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+        total = sum(sizes.values())
+        labels = folded.select("id", "label", "fold")
+        for f in range(k):
+            tr = counts.where(F.col("fold") != f).drop("fold")
+            vocab = TF.fit_vocabulary(tr, total - sizes.get(f, 0), p).cache()
+            size = vocab.count()
+            model = TF.TfidfModel(p, vocab, total - sizes.get(f, 0), size)
+            feat = Featurizer("tfidf", [model], size)
+            long_tr = TF.transform_counts(tr, vocab, p)
+            fit = fit_model_long(long_tr.select("id", F.col("idx").cast("int").alias("idx"), "weight"),
+                                 labels.where(F.col("fold") != f).drop("fold"), cfg, feat, seed)
+            va = counts.where(F.col("fold") == f).drop("fold")
+            long_va = TF.transform_counts(va, vocab, p).select("id", F.col("idx").cast("int").alias("idx"), "weight")
+            held = labels.where(F.col("fold") == f)
+            pred = fit.predict_long(long_va, held.select("id")).join(held.select("id", "label"), "id")
+            acc = MET.accuracy(pred, y="label", p="prediction").first()["accuracy"]
+            rows.append((f, float(acc or 0.0)))
+            vocab.unpersist()
+        counts.unpersist()
+    else:
+        for f in range(k):
+            fit = fit_model(SP.fold_train(folded, f).drop("fold"), cfg, seed)
+            held = SP.fold_valid(folded, f).drop("fold")
+            pred = fit.predict(held).join(held.select("id", "label"), "id")
+            acc = MET.accuracy(pred, y="label", p="prediction").first()["accuracy"]
+            rows.append((f, float(acc or 0.0)))
     return spark.createDataFrame(rows, "fold int, score double")
 
 

@@ -67,3 +67,18 @@ def test_flagship_plan_shape(spark):
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan
     df = query(spark, SF)
     assert df.columns == ["label", "rank", "term", "mean_tfidf"] and df.count() > 0
+
+
+def test_cv_counts_once_equals_refit_per_fold(spark):
+    from cartable.operators import metrics as MET
+    from cartable.operators import split as SP
+    cfg = J.preset("tfidf_complement_nb")
+    docs = J.render_docs(documents_as_tables(spark, SF), cfg["preprocessing"])
+    fast = {r.fold: r.score for r in J.cross_validate(docs, cfg, k=3).collect()}
+    folded = SP.assign_folds(docs, k=3)
+    for f in range(3):
+        fit = J.fit_model(SP.fold_train(folded, f).drop("fold"), cfg)
+        held = SP.fold_valid(folded, f).drop("fold")
+        pred = fit.predict(held).join(held.select("id", "label"), "id")
+        acc = MET.accuracy(pred, y="label", p="prediction").first()["accuracy"]
+        assert abs(acc - fast[f]) < 1e-12
