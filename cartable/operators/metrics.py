@@ -139,8 +139,9 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """Attach A03 weights as a ``weightCol`` (class table is one row per class)."""
-    return df.join(F.broadcast(class_weights(df, label).select(label, F.col("weight").alias(out))), label)
+    """Attach A03 weights as a ``weightCol`` (one row per class; AQE picks a
+    broadcast join from its measured size)."""
+    return df.join(class_weights(df, label).select(label, F.col("weight").alias(out)), label)
 
 
 def cv_summary(scores: DataFrame, score: str = "score", fold: str = "fold", group=()) -> DataFrame:

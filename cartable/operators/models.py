@@ -196,12 +196,15 @@ def fit_complement_nb(long: DataFrame, classes: list[str], alpha: float = 1.0, n
 
 
 def predict_complement_nb(long: DataFrame, model: DataFrame, classes: list[str], ids: DataFrame,
-                          id_col: str = "id", idx: str = "idx", value: str = "weight") -> DataFrame:
+                          id_col: str = "id", idx: str = "idx", value: str = "weight",
+                          bounded: bool = False) -> DataFrame:
     """Joint log-likelihood ``X @ flp`` per class, arg-max label and softmax
-    probabilities. The model (one row per feature, bounded by the vocabulary)
-    is broadcast. Documents without features score 0 for every class."""
+    probabilities. The model has one row per feature: it is broadcast when
+    ``max_features`` bounds it, otherwise AQE decides from its measured size.
+    Documents without features score 0 for every class."""
     k = len(classes)
-    j = long.select(id_col, idx, value).join(F.broadcast(model), idx)
+    m = F.broadcast(model) if bounded else model
+    j = long.select(id_col, idx, value).join(m, idx)
     jll = j.groupBy(id_col).agg(*[F.sum(F.col(value) * F.col("flp")[i]).alias(f"j{i}") for i in range(k)])
     allrows = ids.select(id_col).join(jll, id_col, "left")
     arr = F.array(*[F.coalesce(F.col(f"j{i}"), F.lit(0.0)) for i in range(k)])

@@ -74,11 +74,12 @@ def assign_split(df: DataFrame, label: str = "label", id_col: str = "id", test_s
     quotas = split_quotas(df, label, test_size, val_size, stratify)
     if stratify:
         ranked = _ranked(df, [label], id_col, seed)
-        q = F.broadcast(quotas.select(label, "n_test", "n_val"))  # one row per class
+        # One row per class; AQE broadcasts it from its measured size.
+        q = quotas.select(label, "n_test", "n_val")
         j = ranked.join(q, label)
     else:
         ranked = _ranked(df, [], id_col, seed).withColumn("_all", F.lit("__all__"))
-        q = F.broadcast(quotas.select(F.col(label).alias("_all"), "n_test", "n_val"))  # one row
+        q = F.broadcast(quotas.select(F.col(label).alias("_all"), "n_test", "n_val"))  # exactly one row
         j = ranked.join(q, "_all").drop("_all")
     s = (F.when(F.col("_rank") <= F.col("n_test"), "test")
          .when(F.col("_rank") <= F.col("n_test") + F.col("n_val"), "val").otherwise("train"))
@@ -102,7 +103,7 @@ def assign_folds(df: DataFrame, k: int = 5, label: str = "label", id_col: str =
     r = _ranked(df, [label], id_col, seed)
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     offs = sizes.withColumn("_off", F.sum("_n").over(Window.orderBy(label)) - F.col("_n")).drop("_n")
-    return (r.join(F.broadcast(offs), label)
+    return (r.join(offs, label)
             .withColumn(out, ((F.col("_rank") - 1 + F.col("_off")) % k).cast("int"))
             .drop("_rank", "_off"))
 

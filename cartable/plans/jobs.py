@@ -156,7 +156,8 @@ class Fitted:
         documents without any feature."""
         t = self.spec.type
         if t == "complement_nb":
-            return MD.predict_complement_nb(long, self.model, self.classes, ids).select(
+            bounded = all(m.params.max_features is not None for m in self.featurizer.models)
+            return MD.predict_complement_nb(long, self.model, self.classes, ids, bounded=bounded).select(
                 "id", "prediction", "proba")
         vec = TF.sparse_rows(long, ids, self.featurizer.size)
         if t == "linear_svc":
