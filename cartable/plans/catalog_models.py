@@ -201,3 +201,65 @@ def j07(spark, sf):
     return J.preset_sweep(documents_as_tables(spark, sf),
                           ["tfidf_complement_nb", "entetes_seuls_logistic", "tfidf_separe_logistic",
                            "features_explicites_logistic", "lemmatisation_logistic", "tfidf_chars"])
+
+
+@register("m03_platt_calibration")
+def m03(spark, sf):
+    """Calibrated one-vs-rest SVM: per test row the class probabilities (rows
+    sum to one), ranked."""
+    from ..operators.ranking import ranked_probabilities
+    fitted, pred = _fit_predict(spark, sf, "tfidf_svm")
+    r = pred.select("id", F.posexplode(ranked_probabilities(F.col("proba"), fitted.classes)).alias("pos", "e"))
+    return r.select("id", (F.col("pos") + 1).alias("rank"), F.col("e.label").alias("class"),
+                    F.round("e.p", 6).alias("p"))
+
+
+def _shared_dir(spark, name):
+    """A fresh folder under the cluster's shared checkpoint folder."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("s15_model_save_load")
+def s15(spark, sf):
+    """Fit, save (vocabulary + model), load back and score the test rows with
+    the loaded artefacts."""
+    from ..sources.runs import load_model
+    cfg = J.preset("tfidf_logistic")
+    train, test = _split_docs(spark, sf, cfg)
+    fitted = J.fit_model(train, cfg)
+    d = _shared_dir(spark, "s15")
+    J.save_fitted(fitted, d)
+    model = load_model(spark, f"{d}/model")
+    vocab = spark.read.parquet(f"{d}/vocabulary")
+    p = fitted.featurizer.models[0].params
+    from ..operators import tfidf as TF
+    long = TF.transform_counts(TF.term_counts(test, p), vocab, p)
+    vec = TF.sparse_rows(long, test.select("id"), fitted.featurizer.size)
+    out = model.transform(vec)
+    labels = F.array(*[F.lit(c) for c in fitted.classes])
+    return out.join(test.select("id", "label"), "id").select(
+        "id", "label", F.element_at(labels, F.col("prediction").cast("int") + 1).alias("prediction"))
+
+
+@register("j08_stream_scoring")
+def j08(spark, sf):
+    """The benchmark table read as a file stream, each micro-batch scored by
+    a fitted Complement NB run, written per batch id; returns what was written."""
+    cfg = J.preset("tfidf_complement_nb")
+    train, _ = _split_docs(spark, sf, cfg)
+    fitted = J.fit_model(train, cfg)
+    out = _shared_dir(spark, "j08")
+    stream = (spark.readStream.schema("item_id long, text string").option("pathGlobFilter", "benchmark.parquet")
+              .parquet(sf))
+
+    def handle(batch, batch_id):
+        tables = batch.select(F.col("item_id").alias("id"),
+                              F.transform(F.split("text", "\n"), lambda r: F.split(r, ", ")).alias("table_data"))
+        J.score(fitted, tables, cfg).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{out}-ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).select("id", "label")
