@@ -54,8 +54,9 @@ def word_tokens(txt, lowercase: bool = True) -> Column:
 
 def _window_join(tok: Column, n: int):
     # One-argument lambdas only: F.transform passes the index to a
-    # two-argument function.
-    return lambda i: F.array_join(F.slice(tok, i, n), " ")
+    # two-argument function. ``i`` is 1-based; the n tokens are read by index
+    # and joined directly (no intermediate slice array per n-gram).
+    return lambda i: F.concat_ws(" ", *[F.get(tok, i - 1 + j) for j in range(n)])
 
 
 def _window_concat(chars: Column, n: int):
@@ -96,10 +97,10 @@ def char_wb_ngrams(txt, lo: int = 2, hi: int = 4, lowercase: bool = True) -> Col
     emitted once as a whole and larger n are skipped for it.
     """
     t = F.lower(_col(txt)) if lowercase else _col(txt)
-    words = whitespace_words(t)
+    # Pad each word once; the window lambda then reads a lambda variable.
+    padded = F.transform(whitespace_words(t), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
-    def grams_of(w):
-        p = F.concat(F.lit(" "), w, F.lit(" "))
+    def grams_of(p):
         ln = F.length(p)
         per_n = []
         for n in range(int(lo), int(hi) + 1):
@@ -110,7 +111,7 @@ def char_wb_ngrams(txt, lo: int = 2, hi: int = 4, lowercase: bool = True) -> Col
                 .otherwise(F.array().cast("array<string>")))
         return F.concat(*per_n) if len(per_n) > 1 else per_n[0]
 
-    return F.flatten(F.transform(words, grams_of))
+    return F.flatten(F.transform(padded, grams_of))
 
 
 def normalize_for_char_ngrams(txt, lowercase: bool = True) -> Column:
