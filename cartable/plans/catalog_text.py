@@ -279,7 +279,8 @@ _COUNTS_CTES = [_RENDERED_CTE, *O.tfidf_ctes("docs", carry="label")]
 
 
 @register("v01_term_counts", O.with_tables(*_COUNTS_CTES) +
-          "SELECT id, count(*) AS n_terms, sum(tf) AS n_occurrences, max(tf) AS max_tf FROM counts GROUP BY id")
+          "SELECT id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_occurrences, max(tf) AS max_tf "
+          "FROM counts GROUP BY id")
 def v01(spark, sf):
     c = _counts(spark, sf)
     return c.groupBy("id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_occurrences"),

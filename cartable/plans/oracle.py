@@ -155,7 +155,7 @@ def tfidf_ctes(text_rel: str, text_col: str = "text", lo: int = 1, hi: int = 2,
         f"{p}terms AS (SELECT id{c}, unnest({terms}) AS term FROM {p}toks)",
         f"{p}counts AS (SELECT id{c}, term, count(*) AS tf FROM {p}terms GROUP BY ALL)",
         f"{p}ndocs AS (SELECT count(*) AS n FROM {text_rel})",
-        f"{p}stats AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM {p}counts GROUP BY term HAVING count(*) >= {min_df})",
+        f"{p}stats AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM {p}counts GROUP BY term HAVING count(*) >= {min_df})",
         f"{p}kept AS (SELECT * FROM {p}stats {top})",
         f"{p}vocab AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, df, cf, "
         f"ln((1.0 + (SELECT n FROM {p}ndocs)) / (1.0 + df)) + 1.0 AS idf FROM {p}kept)",
