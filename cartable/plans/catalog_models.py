@@ -40,14 +40,16 @@ def _pred_rows(pred):
 _CNB_CLASSES = ["de", "en", "es", "fr"]
 
 
-def _cnb_oracle() -> str:
+def _cnb_oracle(score_rel: str | None = None, out: str = "SELECT id, label, {pred} AS prediction FROM allj") -> str:
+    """CNB chain in SQL; ``score_rel`` is a CTE body giving ``(id, label, text)``
+    to score (default: the test split)."""
     k = range(len(_CNB_CLASSES))
     tok = O.ngrams("tok", 1, 2)
     ctes = [
         _DOCS, *split_sql_ctes(),
         f"docs AS (SELECT t.id, t.label, {O.render('t.table_data')} AS text, sp.split FROM tables t JOIN sp ON t.id = sp.id)",
         "tr AS (SELECT id, label, text FROM docs WHERE split = 'train')",
-        "te AS (SELECT id, label, text FROM docs WHERE split = 'test')",
+        f"te AS ({score_rel or chr(32).join(['SELECT id, label, text FROM docs WHERE split =', chr(39) + 'test' + chr(39)])})",
         *O.tfidf_ctes("tr", prefix="a_"),
         f"b_toks AS (SELECT id, {O.word_tokens('text')} AS tok FROM te)",
         f"b_terms AS (SELECT id, unnest({tok}) AS term FROM b_toks)",
@@ -68,7 +70,7 @@ def _cnb_oracle() -> str:
     ]
     pred = ("CASE WHEN j0 >= greatest(j1, j2, j3) THEN 'de' WHEN j1 >= greatest(j2, j3) THEN 'en' "
             "WHEN j2 >= j3 THEN 'es' ELSE 'fr' END")
-    return O.with_tables(*ctes) + f"SELECT id, label, {pred} AS prediction FROM allj"
+    return O.with_tables(*ctes) + out.format(pred=pred)
 
 
 @register("m08_complement_nb", _cnb_oracle)
@@ -177,7 +179,14 @@ def _benchmark_tables(spark, sf):
                     F.transform(F.split("text", "\n"), lambda r: F.split(r, ", ")).alias("table_data"))
 
 
-@register("j04_score_labels")
+def _j04_oracle() -> str:
+    bench = ("SELECT id, CAST(NULL AS VARCHAR) AS label, " + O.render("table_data") + " AS text FROM "
+             "(SELECT item_id AS id, list_transform(string_split(text, chr(10)), lambda r: string_split(r, ', ')) "
+             "AS table_data FROM benchmark)")
+    return _cnb_oracle(bench, "SELECT id, {pred} AS label FROM allj")
+
+
+@register("j04_score_labels", _j04_oracle)
 def j04(spark, sf):
     cfg = J.preset("tfidf_complement_nb")
     train, _ = _split_docs(spark, sf, cfg)
