@@ -183,13 +183,15 @@ def fit_complement_nb(long: DataFrame, classes: list[str], alpha: float = 1.0, n
     wide = long.groupBy(idx).pivot(label, classes).agg(F.sum(value)).na.fill(0.0)
     cnt = [F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in classes]
     total = sum(cnt[1:], cnt[0])
-    comp = wide.select(idx, *[(total + F.lit(float(alpha)) - cnt[i]).alias(f"c{i}") for i in range(k)])
-    sums = comp.agg(*[F.sum(f"c{i}").alias(f"s{i}") for i in range(k)])
-    logged = comp.select(idx, *[F.log(F.col(f"c{i}") / sums.select(f"s{i}").scalar()).alias(f"l{i}")
+    # One row per feature (bounded by the vocabulary): cached, because the
+    # per-class sums below and the final table both read it.
+    comp = wide.select(idx, *[(total + F.lit(float(alpha)) - cnt[i]).alias(f"c{i}") for i in range(k)]).cache()
+    sums = comp.agg(*[F.sum(f"c{i}").alias(f"s{i}") for i in range(k)]).first()  # k numbers
+    logged = comp.select(idx, *[F.log(F.col(f"c{i}") / F.lit(float(sums[f"s{i}"]))).alias(f"l{i}")
                                 for i in range(k)])
     if norm:
-        lsum = logged.agg(*[F.sum(f"l{i}").alias(f"t{i}") for i in range(k)])
-        flp = [F.col(f"l{i}") / lsum.select(f"t{i}").scalar() for i in range(k)]
+        lsum = logged.agg(*[F.sum(f"l{i}").alias(f"t{i}") for i in range(k)]).first()  # k numbers
+        flp = [F.col(f"l{i}") / F.lit(float(lsum[f"t{i}"])) for i in range(k)]
     else:
         flp = [-F.col(f"l{i}") for i in range(k)]
     return logged.select(idx, F.array(*flp).alias("flp"))
