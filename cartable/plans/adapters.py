@@ -6,7 +6,7 @@ per conversation (``[role, text]`` rows in turn order).
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # How a document text is cut into a matrix.
@@ -32,18 +32,37 @@ def documents_as_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def conversations_as_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One matrix per conversation: rows ``[role, text]`` ordered by turn.
+def conversations_as_tables(spark: SparkSession, sf_dir: str, header_rows: int = 1,
+                            max_content_cells: int | None = 200) -> DataFrame:
+    """One matrix per conversation: rows ``[role, text]`` ordered by turn,
+    plus ``n_turns``.
 
-    The rows of one conversation are gathered with ``collect_list``; a
-    conversation is one small matrix (its turns), not an unbounded group.
+    A conversation may hold a large share of all rows, so it is never gathered
+    whole. Rendering reads only the header rows and the first
+    ``max_content_cells`` non-blank body cells, so the matrix keeps the first
+    ``header_rows`` turns plus the first ``max_content_cells`` later turns that
+    have a non-blank cell (rows with only blank cells render to nothing). The
+    top-k window is limited per partition before its shuffle, so a hot
+    conversation moves at most k rows per map task. The rendered text equals
+    the one of the full matrix. ``max_content_cells=None`` keeps all turns.
     """
+    from ..functions.render import clean_cell
     c = read_table(spark, sf_dir, "conversations")
-    rows = c.groupBy("conv_id").agg(
+    n_turns = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
+    rn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    if max_content_cells is None:
+        kept = c
+    else:
+        head = c.withColumn("_r", rn).where(F.col("_r") <= header_rows).drop("_r")
+        blank = (clean_cell(F.col("role")) == "") & (clean_cell(F.col("text")) == "")
+        later = c.join(head.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti").where(~blank)
+        body = later.withColumn("_r", rn).where(F.col("_r") <= int(max_content_cells)).drop("_r")
+        kept = head.unionByName(body)
+    rows = kept.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", F.array("role", "text").alias("row")))).alias("r"))
-    return rows.select(F.col("conv_id").alias("id"),
-                       F.transform("r", lambda s: s["row"]).alias("table_data"),
-                       F.lit(None).cast("string").alias("label"))
+    return rows.join(n_turns, "conv_id").select(
+        F.col("conv_id").alias("id"), F.transform("r", lambda s: s["row"]).alias("table_data"),
+        F.lit(None).cast("string").alias("label"), "n_turns")
 
 
 def label_pairs_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

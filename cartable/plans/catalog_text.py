@@ -436,5 +436,5 @@ def v11(spark, sf):
 def p06c(spark, sf):
     from .adapters import conversations_as_tables
     t = conversations_as_tables(spark, sf)
-    r = t.select("id", R.render_text("table_data").alias("txt"), F.size("table_data").cast("long").alias("n_turns"))
+    r = t.select("id", R.render_text("table_data").alias("txt"), F.col("n_turns").cast("long").alias("n_turns"))
     return r.select("id", *_text_out(F.col("txt")), "n_turns")
