@@ -211,6 +211,17 @@ def fit_model_long(long: DataFrame, labels: DataFrame, cfg: dict, feat: Featuriz
 
 
 # ------------------------------------------------------------------- jobs
+# CV scorer names and the metric column each one reads.
+SCORERS = {"accuracy": "accuracy", "f1_macro": "macro_f1", "f1_weighted": "weighted_f1"}
+
+
+def _score(pred: DataFrame, scoring: str) -> float:
+    if scoring not in SCORERS:
+        raise ValueError(f"unknown scorer {scoring!r}; available: {sorted(SCORERS)}")
+    row = MET.summary_metrics(pred, y="label", p="prediction").first()
+    return float(row[SCORERS[scoring]] or 0.0)
+
+
 def cross_validate(tv_docs: DataFrame, cfg: dict, k: int, seed: int = 42) -> DataFrame:
     """K folds over train+val; the vocabulary is refitted on the
     training folds of each fold (no leakage). Returns ``(fold, score)``.
@@ -220,6 +231,9 @@ def cross_validate(tv_docs: DataFrame, cfg: dict, k: int, seed: int = 42) -> Dat
     aggregate over the counts outside the fold, so the text is not re-analysed
     k times. Other feature types refit the whole extractor per fold.
     """
+    scoring = cfg.get("training", {}).get("scoring", "accuracy")
+    if scoring not in SCORERS:
+        raise ValueError(f"unknown scorer {scoring!r}; available: {sorted(SCORERS)}")
     folded = SP.assign_folds(tv_docs, k=k, seed=seed).cache()
     spark = tv_docs.sparkSession
     rows = []
@@ -243,8 +257,7 @@ def cross_validate(tv_docs: DataFrame, cfg: dict, k: int, seed: int = 42) -> Dat
             long_va = TF.transform_counts(va, vocab, p).select("id", F.col("idx").cast("int").alias("idx"), "weight")
             held = labels.where(F.col("fold") == f)
             pred = fit.predict_long(long_va, held.select("id")).join(held.select("id", "label"), "id")
-            acc = MET.accuracy(pred, y="label", p="prediction").first()["accuracy"]
-            rows.append((f, float(acc or 0.0)))
+            rows.append((f, _score(pred, scoring)))
             vocab.unpersist()
         counts.unpersist()
     else:
@@ -252,8 +265,7 @@ def cross_validate(tv_docs: DataFrame, cfg: dict, k: int, seed: int = 42) -> Dat
             fit = fit_model(SP.fold_train(folded, f).drop("fold"), cfg, seed)
             held = SP.fold_valid(folded, f).drop("fold")
             pred = fit.predict(held).join(held.select("id", "label"), "id")
-            acc = MET.accuracy(pred, y="label", p="prediction").first()["accuracy"]
-            rows.append((f, float(acc or 0.0)))
+            rows.append((f, _score(pred, scoring)))
     return spark.createDataFrame(rows, "fold int, score double")
 
 
@@ -291,6 +303,8 @@ def run_experiment(tables: DataFrame, cfg: dict, cv_folds: int | None = None, ou
         "status": "terminee",
         "data": {"n_train": sizes.get("train", 0), "n_val": sizes.get("val", 0), "n_test": sizes.get("test", 0),
                  "n_total": sum(sizes.values()), "distribution_classes": dist},
+        # Field names follow the run-record layout; the scorer that produced
+        # them is stored in the configuration (``training.scoring``).
         "cv_results": None if cv is None else {
             "mean_accuracy": round(float(cv["mean_score"]), 4), "std_accuracy": round(float(cv["std_score"]), 4),
             "fold_scores": [round(float(x), 4) for x in cv["fold_scores"]]},

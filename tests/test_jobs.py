@@ -82,3 +82,13 @@ def test_cv_counts_once_equals_refit_per_fold(spark):
         pred = fit.predict(held).join(held.select("id", "label"), "id")
         acc = MET.accuracy(pred, y="label", p="prediction").first()["accuracy"]
         assert abs(acc - fast[f]) < 1e-12
+
+
+def test_cv_scorer_by_name(spark):
+    import pytest
+    cfg = J.preset("tfidf_complement_nb", training={"scoring": "f1_macro"})
+    docs = J.render_docs(documents_as_tables(spark, SF), cfg["preprocessing"])
+    scores = J.cross_validate(docs, cfg, k=2).collect()
+    assert len(scores) == 2 and all(0 <= r.score <= 1 for r in scores)
+    with pytest.raises(ValueError, match="unknown scorer"):
+        J.cross_validate(docs, J.preset("tfidf_complement_nb", training={"scoring": "nope"}), k=2)
