@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .ranking import bucketed_rank
 
-# Hex digits of the md5 order key used to bucket rows (16^3 = 4096 buckets).
-BUCKET_HEX_DIGITS = 3
+# Target rows per rank bucket; the number of md5 hex digits used to bucket
+# rows is chosen so that the largest class stays near this size per bucket.
+ROWS_PER_BUCKET = 1_000_000
+MAX_HEX_DIGITS = 6
 SPLITS = ("train", "val", "test")
 
 
@@ -62,9 +64,26 @@ def split_quotas(df: DataFrame, label: str = "label", test_size: float = 0.2, va
     return q.select(label, "n", "n_train", "n_val", "n_test")
 
 
-def _ranked(df: DataFrame, keys: list[str], id_col: str, seed: int) -> DataFrame:
+def bucket_digits(largest_group: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Hex digits so that ``largest_group / 16**digits <= rows_per_bucket``."""
+    d = 1
+    while d < MAX_HEX_DIGITS and largest_group / (16 ** d) > rows_per_bucket:
+        d += 1
+    return d
+
+
+def _largest_group(df: DataFrame, keys: list[str]) -> int:
+    # One row per class (or one row): a bounded result on the driver.
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else df.agg(F.count(F.lit(1)).alias("n"))
+    return int(g.agg(F.max("n")).first()[0] or 0)
+
+
+def _ranked(df: DataFrame, keys: list[str], id_col: str, seed: int, digits: int | None = None) -> DataFrame:
+    """Exact rank inside ``keys`` by the md5 order key, computed per
+    ``(keys, md5 prefix)`` bucket (see ``ranking.bucketed_rank``)."""
+    digits = digits or bucket_digits(_largest_group(df, keys))
     keyed = df.withColumn("_h", order_key(id_col, seed))
-    return bucketed_rank(keyed, keys, "_h", id_col, F.substring("_h", 1, BUCKET_HEX_DIGITS), "_rank").drop("_h")
+    return bucketed_rank(keyed, keys, "_h", id_col, F.substring("_h", 1, digits), "_rank").drop("_h")
 
 
 def assign_split(df: DataFrame, label: str = "label", id_col: str = "id", test_size: float = 0.2,

@@ -149,3 +149,11 @@ def test_complement_nb_matches_python(spark):
         pred = predict_complement_nb(long, model, classes, long.select("id").distinct())
         got = [r.prediction for r in pred.orderBy("id").collect()]
         assert got == _py_cnb(X, y, classes, 0.1, norm)
+
+
+def test_bucket_digits_and_exact_rank_any_digits(spark):
+    assert S.bucket_digits(600) == 1 and S.bucket_digits(10 ** 12 // 3) == 5
+    df = _corpus(spark, {"a": 300, "b": 50})
+    base = {r.id: r._rank for r in S._ranked(df, ["label"], "id", 42, digits=1).collect()}
+    for d in (2, 3):
+        assert {r.id: r._rank for r in S._ranked(df, ["label"], "id", 42, digits=d).collect()} == base
