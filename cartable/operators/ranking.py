@@ -35,19 +35,17 @@ def bucketed_rank(df: DataFrame, keys: list[str], order_col: str, tie_col: str,
 
 
 def global_index(df: DataFrame, order_cols: list[str], out_col: str = "idx",
-                 num_buckets: int | None = None) -> DataFrame:
-    """Consecutive 0-based index in ``order_cols`` order without a single-task
-    window: range-partition, number rows inside each partition, add the
-    prefix of partition sizes (one row per partition)."""
-    parts = num_buckets or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = df.repartitionByRange(int(parts), *order_cols).withColumn("_pid", F.spark_partition_id())
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = sizes.withColumn("_off", F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).drop("_n")
-    inner = Window.partitionBy("_pid").orderBy(*order_cols)
-    return (ranged.withColumn("_r", F.row_number().over(inner))
-            .join(F.broadcast(offsets), "_pid")
-            .withColumn(out_col, F.col("_off") + F.col("_r") - 1)
-            .drop("_pid", "_off", "_r"))
+                 prefix_chars: int = 2) -> DataFrame:
+    """Consecutive 0-based index in the order of one string column, without a
+    single-task window: ``bucketed_rank`` with the first characters of the
+    string as bucket (a prefix order agrees with the string order). The
+    bucket is a pure function of the value, so the two passes (bucket sizes,
+    ranks inside buckets) always agree."""
+    if len(order_cols) != 1:
+        raise ValueError("global_index orders by exactly one string column")
+    col = order_cols[0]
+    ranked = bucketed_rank(df, [], col, col, F.substring(F.col(col), 1, prefix_chars), "_gi")
+    return ranked.withColumn(out_col, F.col("_gi") - 1).drop("_gi")
 
 
 def ranked_probabilities(probs: Column, classes: list[str]) -> Column:
@@ -77,3 +75,27 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k
     """Top-k rows per group (k is the feature, not a cap on the data)."""
     w = Window.partitionBy(*group_cols).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+
+
+def top_k_exact(df: DataFrame, k: int, value_col: str, tie_col: str) -> DataFrame:
+    """Exact top-k rows by ``value_col`` descending, ties by ``tie_col``
+    ascending, without funnelling ``partitions x k`` rows into one task.
+
+    A histogram of the values (one row per distinct value) gives the cut
+    value T: every row above T is kept, and among the rows equal to T the
+    first ``k - (rows above T)`` in ``tie_col`` order are kept, numbered with
+    the distributed ``global_index``. All of it stays lazy (scalar subqueries).
+    """
+    hist = df.groupBy(value_col).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per distinct value; bounded far below the row count.
+    cum = hist.withColumn("_cum", F.sum("_n").over(
+        Window.orderBy(F.desc(value_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    cut = cum.where(F.col("_cum") >= k).agg(F.max(value_col).alias("t"), F.max_by(F.col("_cum") - F.col("_n"),
+                                                                               F.col(value_col)).alias("above"))
+    t = cut.select("t").scalar()
+    above = cut.select("above").scalar()
+    # Fewer than k rows in total: the cut is NULL and every row is kept.
+    sure = df.where(t.isNull() | (F.col(value_col) > t))
+    ties = global_index(df.where(F.col(value_col) == t), [tie_col], "_i")
+    chosen = ties.where(F.col("_i") < F.lit(k) - above).drop("_i")
+    return sure.unionByName(chosen)

@@ -138,8 +138,11 @@ def fit_vocabulary(counts: DataFrame, n_docs: int | Column, params: TfidfParams,
     n = F.lit(n_docs) if not isinstance(n_docs, Column) else n_docs
     kept = document_frequencies(counts, params, n, id_col)
     if params.max_features is not None:
-        # Distributed top-k: each partition keeps k rows, one task merges them.
-        kept = kept.orderBy(F.desc("cf"), F.asc("term")).limit(int(params.max_features))
+        # Exact top-k by corpus frequency (ties by term) through a frequency
+        # histogram, so no task receives partitions x k candidate rows; the
+        # k kept terms (bounded) are then numbered alphabetically.
+        from .ranking import top_k_exact
+        kept = top_k_exact(kept, int(params.max_features), "cf", "term")
         vocab = kept.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
     else:
         from .ranking import global_index

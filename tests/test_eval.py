@@ -157,3 +157,21 @@ def test_bucket_digits_and_exact_rank_any_digits(spark):
     base = {r.id: r._rank for r in S._ranked(df, ["label"], "id", 42, digits=1).collect()}
     for d in (2, 3):
         assert {r.id: r._rank for r in S._ranked(df, ["label"], "id", 42, digits=d).collect()} == base
+
+
+def test_top_k_exact_matches_sort_limit(spark):
+    from cartable.operators.ranking import top_k_exact
+    rows = [(f"t{i:03d}", (i * 7) % 11) for i in range(200)]
+    df = spark.createDataFrame(rows, "term string, cf long")
+    for k in (1, 5, 17, 18, 19, 150, 200, 500):
+        exp = [r.term for r in df.orderBy(F.desc("cf"), "term").limit(k).collect()]
+        got = sorted(r.term for r in top_k_exact(df, k, "cf", "term").collect())
+        assert got == sorted(exp), k
+
+
+def test_global_index_consecutive(spark):
+    from cartable.operators.ranking import global_index
+    df = spark.createDataFrame([(f"{c}{i}",) for c in "abcxyz" for i in range(50)], "term string").repartition(7)
+    got = [(r.term, r.idx) for r in global_index(df, ["term"]).orderBy("idx").collect()]
+    assert [i for _, i in got] == list(range(300))
+    assert [t for t, _ in got] == sorted(t for t, _ in got)
