@@ -129,27 +129,32 @@ def document_frequencies(counts: DataFrame, params: TfidfParams, n_docs: Column,
 
 
 def fit_vocabulary(counts: DataFrame, n_docs: int | Column, params: TfidfParams,
-                   id_col: str = "id") -> DataFrame:
+                   id_col: str = "id", stats: DataFrame | None = None) -> DataFrame:
     """Fitted vocabulary ``(term, idx, df, cf, idf)``.
 
     ``max_features`` keeps the terms with the largest corpus frequency (ties by
     term); positions are alphabetical. ``idf = ln((1+n)/(1+df)) + 1``.
+
+    Without ``stats`` the cap is a distributed ``orderBy().limit(k)``: one lazy
+    plan in which the text exchange is reused, but the last step merges up to
+    ``partitions x k`` candidates in one task. With ``stats`` (the persisted
+    term statistics, see ``fit_tfidf``) the cap is an exact cut through a
+    frequency histogram, so no task receives more than its share.
     """
     n = F.lit(n_docs) if not isinstance(n_docs, Column) else n_docs
-    kept = document_frequencies(counts, params, n, id_col)
+    kept = stats if stats is not None else document_frequencies(counts, params, n, id_col)
     if params.max_features is not None:
-        # Exact top-k by corpus frequency (ties by term) through a frequency
-        # histogram, so no task receives partitions x k candidate rows; the
-        # k kept terms (bounded) are then numbered alphabetically.
-        from .ranking import top_k_exact
-        kept = top_k_exact(kept, int(params.max_features), "cf", "term")
+        if stats is not None:
+            from .ranking import top_k_exact
+            kept = top_k_exact(kept, int(params.max_features), "cf", "term")
+        else:
+            kept = kept.orderBy(F.desc("cf"), F.asc("term")).limit(int(params.max_features))
+        # The k kept terms (bounded) are numbered alphabetically.
         vocab = kept.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1)
     else:
         from .ranking import global_index
         vocab = global_index(kept, ["term"], "idx")
-    return vocab.withColumn(
-        "idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
-    ).select("term", "idx", "df", "cf", "idf")
+    return vocab.withColumn("idf", idf_value(n, F.col("df"))).select("term", "idx", "df", "cf", "idf")
 
 
 def tf_weight(tf: Column, sublinear: bool) -> Column:
@@ -210,10 +215,14 @@ def fit_tfidf(docs: DataFrame, params: TfidfParams, text_col: str = "text", id_c
     """
     n_docs = docs.count()
     counts = term_counts(docs, params, text_col, id_col)
-    vocab = fit_vocabulary(counts, n_docs, params, id_col)
+    # Term statistics (one row per distinct term) are persisted so the exact
+    # top-k cut reads them instead of re-analysing the text.
+    stats = document_frequencies(counts, params, F.lit(n_docs), id_col).persist()
+    vocab = fit_vocabulary(counts, n_docs, params, id_col, stats=stats)
     if persist:
         vocab = vocab.cache()
     size = vocab.count()
+    stats.unpersist()
     if size == 0:
         raise ValueError("empty vocabulary; perhaps the documents only contain stop words")
     return TfidfModel(params, vocab, n_docs, size, text_col, id_col)

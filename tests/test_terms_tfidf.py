@@ -159,3 +159,15 @@ def test_sparse_vectors_keep_empty_docs(spark):
     rows = {r.id: r.features for r in vec.collect()}
     assert len(rows) == 4 and rows[4].numNonzeros() == 0
     assert math.isclose(rows[1].norm(2), 1.0)
+
+
+def test_eager_exact_cut_equals_lazy_limit(spark):
+    from pyspark.sql import functions as F2
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        F2.col("doc_id").alias("id"), "text")
+    for mf in (50, 777):
+        p = TF.TfidfParams(max_features=mf)
+        eager = TF.fit_tfidf(docs, p).vocab.select("term", "idx", "df", "cf")
+        lazy = TF.fit_vocabulary(TF.term_counts(docs, p), docs.count(), p).select("term", "idx", "df", "cf")
+        assert eager.count() == mf
+        assert eager.exceptAll(lazy).count() == 0 and lazy.exceptAll(eager).count() == 0
