@@ -34,7 +34,8 @@ def _largest_remainder(counts: DataFrame, n_col: str, draws: Column, out: str, l
     more for the largest remainders (ties by label). ``counts`` is the small
     per-class table."""
     total = F.sum(n_col).over(Window.partitionBy())
-    cont = (F.col(n_col) / total) * draws
+    # Nothing to share (e.g. every row went to the test part): all zero.
+    cont = F.when(total > 0, (F.col(n_col) / total) * draws).otherwise(F.lit(0.0))
     df = counts.withColumn("_cont", cont).withColumn("_fl", F.floor("_cont"))
     need = draws - F.sum("_fl").over(Window.partitionBy())
     rk = F.row_number().over(Window.orderBy(F.desc(F.col("_cont") - F.col("_fl")), F.col(label)))

@@ -246,8 +246,11 @@ def cross_validate(tv_docs: DataFrame, cfg: dict, k: int, seed: int = 42) -> Dat
         labels = folded.select("id", "label", "fold")
         for f in range(k):
             tr = counts.where(F.col("fold") != f).drop("fold")
-            vocab = TF.fit_vocabulary(tr, total - sizes.get(f, 0), p).cache()
+            n_tr = total - sizes.get(f, 0)
+            stats = TF.document_frequencies(tr, p, F.lit(n_tr)).persist()
+            vocab = TF.fit_vocabulary(tr, n_tr, p, stats=stats).cache()
             size = vocab.count()
+            stats.unpersist()
             model = TF.TfidfModel(p, vocab, total - sizes.get(f, 0), size)
             feat = Featurizer("tfidf", [model], size)
             long_tr = TF.transform_counts(tr, vocab, p)

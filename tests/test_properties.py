@@ -72,3 +72,39 @@ def test_tfidf_independent_of_partitions(spark):
     b = TF.tfidf_long(docs.repartition(13), p).select("id", "term", F.round("weight", 12).alias("w"))
     assert a.count() > 0
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def _py_quotas(counts, test_size=0.2, val_size=0.1):
+    """Largest-remainder shares (ties by label), train+val first, as stated in
+    the split module."""
+    import math
+
+    def share(ns, draws):
+        tot = sum(ns.values())
+        cont = {c: (n / tot) * draws if tot else 0.0 for c, n in ns.items()}
+        fl = {c: math.floor(v) for c, v in cont.items()}
+        need = draws - sum(fl.values())
+        for c in sorted(ns, key=lambda c: (-(cont[c] - fl[c]), c))[:need]:
+            fl[c] += 1
+        return fl
+
+    n = sum(counts.values())
+    tv = share(counts, n - math.ceil(test_size * n))
+    n_tv = sum(tv.values())
+    tr = share(tv, n_tv - math.ceil((val_size / (1 - test_size)) * n_tv))
+    return {c: (tr[c], tv[c] - tr[c], counts[c] - tv[c]) for c in counts}
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.dictionaries(st.sampled_from(list("abcdef")), st.integers(1, 60), min_size=1, max_size=5))
+def test_split_quotas_and_assignment(spark, counts):
+    from cartable.operators import split as S
+    rows = [(i, c) for c, n in counts.items() for i in range(n)]
+    rows = [(k, c) for k, (i, c) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id long, label string")
+    q = {r.label: (r.n_train, r.n_val, r.n_test) for r in S.split_quotas(df).collect()}
+    assert q == _py_quotas(counts)
+    got = S.assign_split(df).groupBy("label", "split").count().collect()
+    per = {(r.label, r.split): r["count"] for r in got}
+    for c, (ntr, nva, nte) in q.items():
+        assert (per.get((c, "train"), 0), per.get((c, "val"), 0), per.get((c, "test"), 0)) == (ntr, nva, nte)
