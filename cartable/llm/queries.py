@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, records, toxicity
+from . import bpe, embed, minhash, records, toxicity
 from .common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op2_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+@_query
+def op3_pca_tiled_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 @_query
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Scratch(spark, "op6").path("records")
