@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed, minhash, records, toxicity
+from . import bpe, embed, html, minhash, records, shard, toxicity
 from .common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op3_pca_tiled_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+@_query
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.hilbert_shards(table(spark, sf_dir, "documents"), ["lang", "source", "n_chars"], shards=16)
+
+
 @_query
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Scratch(spark, "op6").path("records")
@@ -47,6 +52,11 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@_query
+def op9_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 @_query
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode_decode(table(spark, sf_dir, "documents"), path=vocabulary())
