@@ -206,10 +206,12 @@ def text_of(value) -> str:
     return raw.decode("utf-8", "replace") if isinstance(raw, bytes) else raw
 
 
-def encode_decode(docs, id_col: str = "doc_id", text_col: str = "text", path: str = ""):
+def encode_decode(docs, id_col: str = "doc_id", text_col: str = "text", path: str = "", check: bool = False):
     """Encode each whole text and decode its ids again.
 
-    Returns ``(id, ids binary, n_tokens, decoded string)``. Null and empty texts
+    Returns ``(id, ids binary, n_tokens, decoded string)``, or with ``check``
+    a boolean ``round_trip`` (decoded equals text) in place of the decoded text.
+    Null and empty texts
     have no ids and decode to the empty text; repeated rows stay; other columns
     are not read. Map only: no shuffle, one batch of texts in memory.
     """
@@ -220,13 +222,17 @@ def encode_decode(docs, id_col: str = "doc_id", text_col: str = "text", path: st
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                ids = [bpe.encode(text_of(t)) for t in part.column(1)]
+                texts = [text_of(t) for t in part.column(1)]
+                ids = [bpe.encode(t) for t in texts]
+                back = [bpe.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(ids, pa.binary()),
                     pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([bpe.decode(x) for x in ids], pa.string())], ["id", "ids", "n_tokens", "decoded"])
+                    pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_()) if check
+                    else pa.array(back, pa.string())], ["id", "ids", "n_tokens", last])
 
     kind = docs.schema[id_col].dataType.simpleString()
+    last = "round_trip" if check else "decoded"
     return (docs.select(id_col, text_col)
-            .mapInArrow(run, f"id {kind}, ids binary, n_tokens bigint, decoded string")
+            .mapInArrow(run, f"id {kind}, ids binary, n_tokens bigint, {last} {'boolean' if check else 'string'}")
             .withColumnRenamed("id", id_col))

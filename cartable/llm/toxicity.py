@@ -327,3 +327,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``threshold``."""
+    import pyarrow as pa
+    terms, weights = train(docs, labels)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        scorer = Scorer(terms, weights)
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(t) < threshold for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
