@@ -31,6 +31,7 @@ from .bpe import CACHE_PIECES, TwoAgeCache, _UNSURE, text_of
 MASK = 0xA282EAD8  # fixed value of the masked-checksum convention
 MANIFEST = "part int, data string, offsets string, width int, n_docs bigint, n_tokens bigint, n_bytes bigint"
 CHUNK = 4 << 20
+DOCS_AT_ONCE = 64
 
 
 def masked(data: bytes) -> int:
@@ -66,9 +67,11 @@ def filesystem(uri: str):
 
 
 class LibraryEncoder:
-    """Ids of the ``tokenizers`` library, whose model is called once for each
-    piece between single spaces that is not in the bounded cache (no pre-token
-    crosses such a space, see :mod:`.bpe`)."""
+    """Ids of the ``tokenizers`` library, which is called once for the pieces
+    between single spaces that are not in the bounded cache (no pre-token
+    crosses such a space, see :mod:`.bpe`). New pieces go through the library
+    as one text with a special token of the vocabulary between them, whose id
+    shows where each piece's ids end."""
 
     def __init__(self, path: str, width: int | None = None):
         import numpy as np
@@ -78,25 +81,49 @@ class LibraryEncoder:
         self.tok.no_padding()
         self.width = width or (2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4)
         self.kind = np.dtype(f"<u{self.width}")
-        self.cache = TwoAgeCache(lambda piece: self.pack([" " + piece])[0], CACHE_PIECES)
+        self.cut = next(((t.content, i) for i, t in self.tok.get_added_tokens_decoder().items()
+                         if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
+        self.cache = TwoAgeCache(None, CACHE_PIECES)
 
     def pack(self, texts: list[str]) -> list[bytes]:
         import numpy as np
         return [np.array(e.ids, dtype=self.kind).tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        pieces = text.split(" ")
-        if len(pieces) == 1 or not pieces[0] or not pieces[-1] or _UNSURE.search(text):
-            return self.pack([text])[0] if text else b""
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece with a space before it."""
+        import numpy as np
+        if not pieces or self.cut is None:
+            return self.pack([" " + p for p in pieces])
+        between, cut_id = self.cut
+        joined = " " + (between + " ").join(pieces)
+        if joined.count(between) != len(pieces) - 1:  # a piece holds the special token itself
+            return self.pack([" " + p for p in pieces])
+        ids = np.array(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.kind)
+        ends = self.width * np.append(np.flatnonzero(ids == cut_id), len(ids))
+        starts = np.append(0, ends[:-1] + self.width)
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts, in this encoder's width."""
+        cut = [t.split(" ") for t in texts]
+        whole = [len(c) == 1 or not c[0] or not c[-1] or _UNSURE.search(t) is not None for c, t in zip(cut, texts, strict=True)]
         cache = self.cache
-        new = [p for p in dict.fromkeys(pieces[1:]) if p not in cache and p not in cache.old]
-        fresh = dict(zip(new, self.pack([" " + p for p in new]), strict=True)) if new else {}
-        cache.old.update(fresh)
-        out = self.pack(pieces[:1])[0] + b"".join(map(cache.__getitem__, pieces[1:]))
-        if len(cache.old) > 2 * cache.limit:  # one age at most, plus what a few texts brought
-            cache.old = {}
-        return out
+        used = set().union(*(c[1:] for c, w in zip(cut, whole, strict=True) if not w))
+        new = [p for p in used if p not in cache]
+        again = [p for p in new if p in cache.old]
+        fresh = [p for p in new if p not in cache.old]
+        known = {p: cache.old[p] for p in again} | dict(zip(fresh, self.pieces(fresh), strict=True))
+        if len(cache) + len(known) > cache.limit:
+            # The texts at hand may need pieces of the age that ends now.
+            cache.old = dict(cache)
+            cache.clear()
+            cache.update((p, cache.old[p]) for p in used if p in cache.old)
+        cache.update(known)
+        get = cache.__getitem__
+        return [self.pack([t])[0] if w else self.pack(c[:1])[0] + b"".join(map(get, c[1:]))
+                for t, c, w in zip(texts, cut, whole, strict=True)]
 
 
 _LOADED: dict[tuple, LibraryEncoder] = {}
@@ -130,18 +157,21 @@ def write_records(docs: DataFrame, out_dir: str, path: str, end_id: int, id_col:
         offset = tokens = docs_n = 0
         data = index = None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                some = batch.slice(at, DOCS_AT_ONCE)
                 if data is None:
                     fs, p = filesystem(name)
                     fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
                     data, index = fs.open_output_stream(p + ".rec"), fs.open_output_stream(p + ".idx")
-                if doc_id.as_py() is None:
-                    raise ValueError("a record needs an id")
-                ids = enc.encode(text_of(text)) + end
-                record = frame(struct.pack("<q", doc_id.as_py()) + ids)
-                data.write(record)
-                index.write(struct.pack("<Q", offset))
-                offset, tokens, docs_n = offset + len(record), tokens + len(ids) // enc.width, docs_n + 1
+                encoded = enc.encode([text_of(t) for t in some.column(1)])
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
+                    if doc_id is None:
+                        raise ValueError("a record needs an id")
+                    ids += end
+                    record = frame(struct.pack("<q", doc_id) + ids)
+                    data.write(record)
+                    index.write(struct.pack("<Q", offset))
+                    offset, tokens, docs_n = offset + len(record), tokens + len(ids) // enc.width, docs_n + 1
         if data is not None:
             data.close()
             index.close()
@@ -169,8 +199,9 @@ def read_records(manifest: DataFrame) -> DataFrame:
 
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    # One row per file: the key spreads files over tasks.
-    files = files.select("data", "width", "start").repartition("data")
+    # One row per file; a given number of partitions, as the rows are too small
+    # for their bytes to tell how many tasks they need.
+    files = files.select("data", "width", "start").repartition(max(1, manifest.count()), "data")
 
     def run(batches):
         for batch in batches:
