@@ -9,8 +9,8 @@ automata over its trie, and context windows that tell quotation from abuse.
 * **Automaton.** The states of the Levenshtein automaton of a token - one bit
   mask of matched token positions per number of errors - are stepped along the
   edges of the lexicon trie; a branch ends when no state is left. Tokens are
-  tried only if a half of some term occurs at its end (one error leaves one half
-  intact), and results are kept in a bounded cache.
+  tried only if they hold a part of some term about where the term has it (e
+  errors leave one of e + 1 parts intact); results are kept in a bounded cache.
 * **Context.** A hit is weighed by its window of ``WINDOW`` tokens: inside
   quotation marks or near a reporting word it counts as quotation, near a word
   of address as abuse.
@@ -141,8 +141,7 @@ class Lexicon:
     def __init__(self, terms: dict[str, float]):
         self.terms = terms
         self.trie: dict = {}
-        self.heads: dict[int, set] = {}
-        self.tails: dict[int, set] = {}
+        self.parts: dict[int, dict[str, set[int]]] = {}
         self.reach: set[int] = set()
         for term, weight in terms.items():
             body, errors = term.rstrip("$"), self.errors(term)
@@ -152,11 +151,11 @@ class Lexicon:
             for c in body:
                 node = node.setdefault(c, {})
             node[True] = max(node.get(True, (0, 0)), (errors, weight))
-            # With e errors, one of e + 1 parts of the term is intact; the outer
-            # ones lie at an end of the token or next to it.
-            part = len(body) // (errors + 1)
-            self.heads.setdefault(part, set()).add(body[:part])
-            self.tails.setdefault(part, set()).add(body[-part:])
+            # Of e + 1 parts, e errors leave one intact, moved by e places at most.
+            size = len(body) // (errors + 1)
+            for k in range(errors + 1):
+                at = k * size
+                self.parts.setdefault(size, {}).setdefault(body[at:at + size], set()).update(range(at - errors, at + errors + 1))
             self.reach.update(range(len(body) - errors, len(body) + errors + 1))
         self.cache = TwoAgeCache(self._find)
 
@@ -184,13 +183,10 @@ class Lexicon:
     def _worth_trying(self, word: str) -> bool:
         if len(word) not in self.reach:
             return False
-        for n, heads in self.heads.items():
-            if any(word[i:i + n] in heads for i in range(3)):
-                return True
-        for n, tails in self.tails.items():
-            end = len(word)
-            if any(word[end - i - n:end - i] in tails for i in range(3) if end - i - n >= 0):
-                return True
+        for n, parts in self.parts.items():
+            for i in range(len(word) - n + 1):
+                if (places := parts.get(word[i:i + n])) and i in places:
+                    return True
         return False
 
     def fuzzy(self, word: str) -> tuple[float, int] | None:
