@@ -115,11 +115,10 @@ def confusion_matrix(pairs: DataFrame, classes: list[str], y: str = "y", p: str
     cells = [F.sum(F.when((F.col(y) == a) & (F.col(p) == b), F.col("n")).otherwise(0)).cast("long")
              .alias(f"c{i}_{j}") for i, a in enumerate(classes) for j, b in enumerate(classes)]
     wide = conf.agg(*cells)
-    k = len(classes)
-    rows = ", ".join(
-        f"'{a}', {i}, " + ", ".join(f"c{i}_{j}" for j in range(k)) for i, a in enumerate(classes))
-    names = ", ".join(f"`{prefix}{b}`" for b in classes)
-    return wide.selectExpr(f"stack({k}, {rows}) AS (label, class_idx, {names})")
+    rows = [F.struct(F.lit(a).alias("label"), F.lit(i).alias("class_idx"),
+                     *[F.col(f"c{i}_{j}").alias(f"{prefix}{b}") for j, b in enumerate(classes)])
+            for i, a in enumerate(classes)]
+    return wide.select(F.inline(F.array(*rows)))
 
 
 def normalized_confusion(cm: DataFrame, classes: list[str], prefix: str = "p_") -> DataFrame:

@@ -13,34 +13,22 @@ alphabetically, as the label encoder orders them).
 """
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import argmax_label, softmax
 
-SVC_MAX_ITER = 100
 MODEL_TYPES = ("logistic_regression", "linear_svc", "random_forest", "gradient_boosting",
                "complement_nb", "lightgbm", "xgboost", "ensemble_vote")
 
 
 # ----------------------------------------------------------- helpers
-def label_indexer(label_col: str = "label", out: str = "label_idx") -> StringIndexer:
-    """classes sorted alphabetically (the default order is by frequency)."""
-    return StringIndexer(inputCol=label_col, outputCol=out, stringOrderType="alphabetAsc",
-                         handleInvalid="keep")
-
-
-def probs_of(pred: DataFrame, col: str = "probability") -> Column:
-    return vector_to_array(F.col(col))
-
-
 def sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
@@ -76,50 +64,67 @@ class ModelSpec:
     params: dict
 
 
-def build_estimator(spec: ModelSpec, n_rows: int, features: str = "features", label: str = "label_idx",
-                    weight: str | None = "weight", seed: int = 42):
+def leaves_to_depth(leaves: int) -> int:
+    """Depth of the smallest level-wise tree with at least ``leaves`` leaves."""
+    return max(1, math.ceil(math.log2(max(2, leaves))))
+
+
+def build_estimator(spec: ModelSpec, weight_sum: float, features: str = "features", label: str = "label_idx",
+                    weight: str | None = "weight", seed: int = 42, classes: int = 4):
     """The Spark ML estimator for a model spec.
 
     ``C`` (inverse regularisation on the summed loss) becomes
-    ``regParam = 1 / (C * sum(weights))``; balanced weights sum to ``n_rows``.
+    ``regParam = 1 / (C * weight_sum)``, where ``weight_sum`` is the sum of the
+    weights of the rows this estimator is fitted on. One-vs-rest models train
+    their classes side by side. Spark trees need a depth of at most 30, so a
+    random forest without one is refused (the presets state it).
     """
     p = dict(spec.params or {})
     balanced = p.get("class_weight") == "balanced"
     wcol = weight if balanced else None
     kw = {"featuresCol": features, "labelCol": label}
     if spec.type == "logistic_regression":
-        reg = 1.0 / (float(p.get("C", 1.0)) * max(n_rows, 1))
+        reg = 1.0 / (float(p.get("C", 1.0)) * max(weight_sum, 1.0))
         est = LogisticRegression(family="multinomial", regParam=reg, elasticNetParam=0.0,
                                  standardization=False, maxIter=int(p.get("max_iter", 100)), **kw)
         return est.setWeightCol(wcol) if wcol else est
     if spec.type == "linear_svc":
-        reg = 1.0 / (float(p.get("C", 1.0)) * max(n_rows, 1))
-        # ``max_iter`` of the reference counts coordinate-descent passes of
-        # another solver; Spark's OWLQN iterations are a different unit, so
-        # Spark's own default cap (100, tol 1e-6) bounds them.
-        iters = min(int(p.get("max_iter", 100)), SVC_MAX_ITER)
-        svc = LinearSVC(regParam=reg, maxIter=iters, standardization=False)
-        ovr = OneVsRest(classifier=svc, parallelism=4, **kw)
+        reg = 1.0 / (float(p.get("C", 1.0)) * max(weight_sum, 1.0))
+        svc = LinearSVC(regParam=reg, maxIter=int(p.get("max_iter", 100)), standardization=False)
+        ovr = OneVsRest(classifier=svc, parallelism=classes, **kw)
         # One-vs-rest hands the weight column to each binary model.
         return ovr.setWeightCol(wcol) if wcol else ovr
     if spec.type == "random_forest":
         depth = p.get("max_depth")
+        if not depth or int(depth) > 30:
+            raise ValueError("random_forest needs max_depth between 1 and 30")
         est = RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), featureSubsetStrategy="sqrt",
-                                     maxDepth=int(depth) if depth else 30, seed=int(p.get("random_state", seed)),
-                                     **kw)
+                                     maxDepth=int(depth), seed=int(p.get("random_state", seed)), **kw)
         return est.setWeightCol(wcol) if wcol else est
     if spec.type in ("gradient_boosting", "lightgbm", "xgboost"):
         iters = int(p.get("max_iter", p.get("n_estimators", 100)))
         depth = p.get("max_depth")
-        if depth is None and "num_leaves" in p:  # leaf-wise 63 leaves ~ depth 6
-            depth = max(1, int(p["num_leaves"]).bit_length() - 1)
+        if depth is None and "num_leaves" in p:
+            depth = leaves_to_depth(int(p["num_leaves"]))
+        # Node ids are kept, and one pass holds the histograms of a whole level.
         gbt = GBTClassifier(maxIter=iters, stepSize=float(p.get("learning_rate", 0.1)),
-                            maxDepth=int(depth or 3), seed=int(p.get("random_state", seed)))
-        ovr = OneVsRest(classifier=gbt, parallelism=4, **kw)
+                            maxDepth=int(depth or 3), seed=int(p.get("random_state", seed)),
+                            cacheNodeIds=True, checkpointInterval=-1, maxMemoryInMB=1024)
+        ovr = OneVsRest(classifier=gbt, parallelism=classes, **kw)
         return ovr.setWeightCol(wcol) if wcol else ovr
     raise ValueError(f"unknown model type {spec.type!r}; available: {list(MODEL_TYPES)}")
 
 
+def sized_partitions(cached: DataFrame, target_bytes: int = 32 << 20) -> DataFrame:
+    """A materialised cached frame in as many partitions as its bytes need.
+
+    Tree training starts several jobs per level, so a task over a few rows costs
+    more to start than to run. Coalescing only joins partitions: no shuffle, and
+    a large frame keeps the partitions it has."""
+    size = int(str(cached._jdf.queryExecution().withCachedData().stats().sizeInBytes()))
+    return cached.coalesce(max(1, math.ceil(size / target_bytes)))
+
+
 def ovr_margin_probs(pred: DataFrame, scale: float = 2.0) -> Column:
     """One-vs-rest models give per-class margins, not probabilities:
     ``sigmoid(scale * margin)`` per class, rows normalised."""
@@ -127,47 +132,75 @@ def ovr_margin_probs(pred: DataFrame, scale: float = 2.0) -> Column:
     return normalize_rows(F.transform(m, lambda x: sigmoid(F.lit(scale) * x)))
 
 
-def predict_proba(model, df: DataFrame, spec: ModelSpec) -> DataFrame:
-    """Adds ``proba: array<double>`` (class order) to ``df``."""
-    out = model.transform(df)
+def predict_proba(model, df: DataFrame, spec: ModelSpec, out: str = "proba") -> DataFrame:
+    """Adds ``out: array<double>`` (class order) to ``df``; Spark's own output
+    columns do not stay, so models can be chained on one frame."""
+    scored = model.transform(df)
     if spec.type in ("linear_svc", "gradient_boosting", "lightgbm", "xgboost"):
-        return out.withColumn("proba", ovr_margin_probs(out))
-    return out.withColumn("proba", vector_to_array(F.col("probability")))
+        proba = ovr_margin_probs(scored)
+    else:
+        proba = vector_to_array(F.col("probability"))
+    return scored.withColumn(out, proba).drop("rawPrediction", "probability", "prediction")
 
 
 # --------------------------------------------------- Platt calibration
-def fit_calibrated_svc(train: DataFrame, spec: ModelSpec, n_rows: int, k_classes: int, folds: int = 3,
+def platt_rows(scored: DataFrame, margin: Column, positive: Column) -> DataFrame:
+    """``(mc, yc, wc)``: each example as a weighted positive and a weighted
+    negative row, whose weights are Platt's smoothed targets
+    ``(N+ + 1) / (N+ + 2)`` for positives and ``1 / (N- + 2)`` for negatives."""
+    one = scored.select(margin.alias("mc"), positive.cast("int").alias("pos"))
+    n = one.agg(F.sum("pos").alias("p"), F.count(F.lit(1)).alias("n")).first()  # two numbers
+    n_pos = int(n["p"] or 0)
+    n_neg = int(n["n"]) - n_pos
+    target = F.when(F.col("pos") == 1, (n_pos + 1.0) / (n_pos + 2.0)).otherwise(1.0 / (n_neg + 2.0))
+    return one.select("mc", F.explode(F.array(F.struct(F.lit(1.0).alias("yc"), target.alias("wc")),
+                                              F.struct(F.lit(0.0).alias("yc"), (1.0 - target).alias("wc")))).alias("r")
+                      ).select("mc", "r.yc", "r.wc")
+
+
+def fit_platt(scored: DataFrame, margin: Column, positive: Column) -> tuple[float, float]:
+    """``(a, b)`` of ``sigmoid(a * margin + b)`` fitted on Platt's targets."""
+    from pyspark.ml.feature import VectorAssembler
+    rows = VectorAssembler(inputCols=["mc"], outputCol="x").transform(platt_rows(scored, margin, positive))
+    lr = LogisticRegression(featuresCol="x", labelCol="yc", weightCol="wc", regParam=0.0, maxIter=100, tol=1e-9).fit(rows)
+    return float(lr.coefficients[0]), float(lr.intercept)
+
+
+def fit_calibrated_svc(train: DataFrame, spec: ModelSpec, k_classes: int, folds: int = 3,
                        features: str = "features", label: str = "label_idx", fold_col: str = "_cal_fold"):
     """M02 + M03: for each of ``folds`` folds, fit the one-vs-rest SVM on the
-    other folds, score the held-out fold, and fit one sigmoid per class
-    (a one-feature logistic regression on that class's margin). Returns the
-    list of ``(svm model, [sigmoid (a, b) per class])``."""
-    from pyspark.ml.feature import VectorAssembler
+    other folds (class weights and regularisation of those rows alone), score
+    the held-out fold, and fit one sigmoid per class on its margins. Returns
+    the list of ``(svm model, [sigmoid (a, b) per class])``."""
+    from .metrics import with_class_weights
     members = []
     for f in range(folds):
-        fit_part = train.where(F.col(fold_col) != f)
-        held = train.where(F.col(fold_col) == f)
-        svm = build_estimator(spec, n_rows, features, label).fit(fit_part)
-        scored = svm.transform(held).select(label, vector_to_array("rawPrediction").alias("m"))
-        sig = []
-        for c in range(k_classes):
-            one = scored.select(F.col("m")[c].alias("mc"), (F.col(label) == c).cast("double").alias("yc"))
-            one = VectorAssembler(inputCols=["mc"], outputCol="x").transform(one)
-            lr = LogisticRegression(featuresCol="x", labelCol="yc", regParam=0.0, maxIter=100).fit(one)
-            sig.append((float(lr.coefficients[0]), float(lr.intercept)))
-        members.append((svm, sig))
+        part = with_class_weights(train.drop("weight").where(F.col(fold_col) != f), label=label)
+        weight_sum = part.agg(F.sum("weight")).first()[0] or 0.0
+        svm = build_estimator(spec, float(weight_sum), features, label, classes=k_classes).fit(part)
+        held = svm.transform(train.where(F.col(fold_col) == f)).select(
+            label, vector_to_array("rawPrediction").alias("m")).cache()
+        members.append((svm, [fit_platt(held, F.col("m")[c], F.col(label) == c) for c in range(k_classes)]))
+        held.unpersist()
     return members
 
 
-def calibrated_proba(members, df: DataFrame, id_col: str = "id") -> DataFrame:
-    """Average over fold members of the row-normalised per-class sigmoids."""
-    out = None
+def calibrated_proba(members, df: DataFrame, out: str = "proba") -> DataFrame:
+    """Adds the average over fold members of the row-normalised per-class
+    sigmoids: the members are chained on one frame, without joins."""
     for j, (svm, sig) in enumerate(members):
-        s = svm.transform(df).select(id_col, vector_to_array("rawPrediction").alias("m"))
-        p = F.array(*[sigmoid(F.lit(a) * F.col("m")[c] + F.lit(b)) for c, (a, b) in enumerate(sig)])
-        s = s.select(id_col, normalize_rows(p).alias(f"p{j}"))
-        out = s if out is None else out.join(s, id_col)
-    return out.select(id_col, mean_arrays([F.col(f"p{j}") for j in range(len(members))]).alias("proba"))
+        scored = svm.transform(df).withColumn(f"_m{j}", vector_to_array("rawPrediction"))
+        p = F.array(*[sigmoid(F.lit(a) * F.col(f"_m{j}")[c] + F.lit(b)) for c, (a, b) in enumerate(sig)])
+        df = scored.withColumn(f"_p{j}", normalize_rows(p)).drop("rawPrediction", "prediction", f"_m{j}")
+    parts = [f"_p{j}" for j in range(len(members))]
+    return df.withColumn(out, mean_arrays([F.col(c) for c in parts])).drop(*parts)
+
+
+def vote_labels(probas: list[Column], classes: list[str]) -> Column:
+    """M10 on one row: most frequent arg-max class; ties go to class order."""
+    votes = F.array(*[argmax_label(p, classes) for p in probas])
+    counts = F.array(*[F.size(F.filter(votes, lambda v, c=c: v == c)).cast("double") for c in classes])
+    return argmax_label(counts, classes)
 
 
 # ------------------------------------------------ Complement Naive Bayes

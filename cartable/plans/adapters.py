@@ -32,37 +32,41 @@ def documents_as_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def conversations_as_tables(spark: SparkSession, sf_dir: str, header_rows: int = 1,
-                            max_content_cells: int | None = 200) -> DataFrame:
-    """One matrix per conversation: rows ``[role, text]`` ordered by turn,
-    plus ``n_turns``.
-
-    A conversation may hold a large share of all rows, so it is never gathered
-    whole. Rendering reads only the header rows and the first
-    ``max_content_cells`` non-blank body cells, so the matrix keeps the first
-    ``header_rows`` turns plus the first ``max_content_cells`` later turns that
-    have a non-blank cell (rows with only blank cells render to nothing). The
-    top-k window is limited per partition before its shuffle, so a hot
-    conversation moves at most k rows per map task. The rendered text equals
-    the one of the full matrix. ``max_content_cells=None`` keeps all turns.
+def conversation_texts(spark: SparkSession, sf_dir: str, **rendering) -> DataFrame:
+    """Rendered text of every conversation, ``(id, text, n_turns)``: one matrix
+    row ``[role, text]`` per turn, rendered with ``rendering`` (the parameters of
+    ``preprocess_params``).
+
+    Turns are ranked once by (turn, role, text). With a cell cap, rendering reads
+    the header rows and the first ``max_content_cells`` non-blank cells, so the
+    turns behind them are left out before the matrix is gathered: a turn with a
+    non-blank cell gives at least one, so those ranked behind the cap among such
+    turns cannot be read. A rank limit is applied per partition before the
+    shuffle, so a hot conversation moves that many turns a task. Without a cap
+    the feature asks for the whole conversation as one text, and all turns move.
     """
-    from ..functions.render import clean_cell
+    from ..functions.render import clean_cell, preprocess_params, render_text
+    params = preprocess_params(**rendering)
+    cap, header = params["max_content_cells"], int(params["header_rows"])
     c = read_table(spark, sf_dir, "conversations")
-    n_turns = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
-    rn = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    if max_content_cells is None:
-        kept = c
-    else:
-        head = c.withColumn("_r", rn).where(F.col("_r") <= header_rows).drop("_r")
+    n_turns = c.groupBy("conv_id").agg(F.count(F.lit(1)).cast("long").alias("n_turns"))
+    order = ["turn", "role", "text"]
+    kept = c
+    if cap is not None:
         blank = (clean_cell(F.col("role")) == "") & (clean_cell(F.col("text")) == "")
-        later = c.join(head.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti").where(~blank)
-        body = later.withColumn("_r", rn).where(F.col("_r") <= int(max_content_cells)).drop("_r")
-        kept = head.unionByName(body)
+        by_turn = Window.partitionBy("conv_id").orderBy(*order)
+        # Rank among all turns up to the header, and among the non-blank ones up
+        # to the cap: both are top-k filters that Spark limits before shuffling.
+        head = c.withColumn("_r", F.row_number().over(by_turn)).where(F.col("_r") <= header).drop("_r")
+        full = (c.where(~blank).withColumn("_r", F.row_number().over(by_turn))
+                .where(F.col("_r") <= int(cap) + header).drop("_r"))
+        # A turn of the header that is not blank is in both; the tag keeps one.
+        kept = head.where(blank).unionByName(full)
     rows = kept.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", F.array("role", "text").alias("row")))).alias("r"))
-    return rows.join(n_turns, "conv_id").select(
-        F.col("conv_id").alias("id"), F.transform("r", lambda s: s["row"]).alias("table_data"),
-        F.lit(None).cast("string").alias("label"), "n_turns")
+        F.array_sort(F.collect_list(F.struct(*order, F.array("role", "text").alias("row")))).alias("r"))
+    tables = rows.select(F.col("conv_id").alias("id"), F.transform("r", lambda s: s["row"]).alias("table_data"))
+    return tables.join(n_turns.withColumnRenamed("conv_id", "id"), "id").select(
+        "id", render_text("table_data", **params).alias("text"), "n_turns")
 
 
 def label_pairs_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

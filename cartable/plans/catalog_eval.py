@@ -92,10 +92,13 @@ def w04(spark, sf):
           "LEFT JOIN (SELECT fold, label, count(*) AS n FROM folds GROUP BY ALL) c ON c.fold = f.fold AND c.label = l.label")
 def w05(spark, sf):
     folded = S.assign_folds(_labelled(spark, sf), k=5)
-    # Rows of a class outside fold f = class total - rows of the class in f.
-    per = folded.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n_in"))
-    tot = F.sum("n_in").over(Window.partitionBy("label"))
-    return per.select("fold", "label", (tot - F.col("n_in")).alias("n_train"))
+    # Training rows of every fold: the complement of the fold, per class.
+    parts = [S.fold_train(folded, f).groupBy("label").agg(F.count(F.lit(1)).alias("n_train")).select(
+        F.lit(f).alias("fold"), "label", "n_train") for f in range(5)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @register("w06_union_train_val", _with(_DOCS, *split_sql_ctes()) +
@@ -285,15 +288,16 @@ def t07(spark, sf):
 
 
 # ------------------------------------------------------- probabilities
-_EMB_CLASSES = ["batiment", "vehicule", "sinistre", "autre"]
+_EMB_DIM = 64
+_EMB_CLASSES = [f"c{i:02d}" for i in range(_EMB_DIM)]  # one class per dimension
 
 
 def _scores(spark, sf):
     e = read_table(spark, sf, "embeddings")
-    return e.select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("s"))
+    return e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("s"))
 
 
-_SOFTMAX_SQL = ("e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings), "
+_SOFTMAX_SQL = ("e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings), "
                 "ex AS (SELECT vec_id, list_transform(s, lambda x: exp(x - list_max(s))) AS ex FROM e), "
                 "sm AS (SELECT vec_id, list_transform(ex, lambda x: x / list_sum(ex)) AS p FROM ex)")
 
@@ -326,22 +330,25 @@ def t02(spark, sf):
     return p.select("vec_id", argmax_label(F.col("p"), _EMB_CLASSES).alias("label"))
 
 
+# Sixteen voters, four dimensions each; a vote is the class of the largest.
+_VOTER_CLASSES = ["batiment", "vehicule", "sinistre", "autre"]
+_VOTERS = _EMB_DIM // len(_VOTER_CLASSES)
+_VLBL = "['" + "','".join(_VOTER_CLASSES) + "']"
+
+
 def _voter_sql(i: int) -> str:
     a, b = 4 * i + 1, 4 * i + 4
-    return (f"SELECT vec_id, {i} AS voter, ({_LBL})[list_position(embedding[{a}:{b}], list_max(embedding[{a}:{b}]))] "
+    return (f"SELECT vec_id, {i} AS voter, ({_VLBL})[list_position(embedding[{a}:{b}], list_max(embedding[{a}:{b}]))] "
             f"AS label FROM embeddings")
 
 
-@register("m10_hard_vote", "WITH v AS (" + " UNION ALL ".join(_voter_sql(i) for i in range(3)) + "), "
+@register("m10_hard_vote", "WITH v AS (" + " UNION ALL ".join(_voter_sql(i) for i in range(_VOTERS)) + "), "
           f"c AS (SELECT vec_id, label, count(*) AS n FROM v GROUP BY ALL), "
           f"r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, "
-          f"list_position({_LBL}, label)) AS rk FROM c) SELECT vec_id, label FROM r WHERE rk = 1")
+          f"list_position({_VLBL}, label)) AS rk FROM c) SELECT vec_id, label FROM r WHERE rk = 1")
 def m10(spark, sf):
     from ..operators.models import hard_vote
     e = read_table(spark, sf, "embeddings")
-    votes = None
-    for i in range(3):
-        part = F.slice("embedding", 4 * i + 1, 4)
-        v = e.select("vec_id", F.lit(i).alias("voter"), argmax_label(part, _EMB_CLASSES).alias("label"))
-        votes = v if votes is None else votes.unionByName(v)
-    return hard_vote(votes, _EMB_CLASSES, id_col="vec_id")
+    ballots = F.array(*[argmax_label(F.slice("embedding", 4 * i + 1, 4), _VOTER_CLASSES) for i in range(_VOTERS)])
+    votes = e.select("vec_id", F.posexplode(ballots).alias("voter", "label"))
+    return hard_vote(votes, _VOTER_CLASSES, id_col="vec_id")

@@ -18,10 +18,7 @@ from .registry import register
 
 
 def _split_docs(spark, sf, cfg):
-    from ..operators.split import assign_split
-    t = documents_as_tables(spark, sf)
-    s = assign_split(t, seed=cfg["data"]["random_seed"])
-    docs = J.render_docs(s, cfg.get("preprocessing", {})).join(s.select("id", "split"), "id")
+    docs = J.split_docs(documents_as_tables(spark, sf), cfg)
     return docs.where("split = 'train'").drop("split"), docs.where("split = 'test'").drop("split")
 
 
@@ -40,15 +37,16 @@ def _pred_rows(pred):
 _CNB_CLASSES = ["de", "en", "es", "fr"]
 
 
-def _cnb_oracle(score_rel: str | None = None, out: str = "SELECT id, label, {pred} AS prediction FROM allj") -> str:
+def _cnb_oracle(score_rel: str | None = None, out: str = "SELECT id, label, {pred} AS prediction FROM allj",
+                train: str = "split = 'train'") -> str:
     """CNB chain in SQL; ``score_rel`` is a CTE body giving ``(id, label, text)``
-    to score (default: the test split)."""
+    to score (default: the test split), ``train`` the rows to fit on."""
     k = range(len(_CNB_CLASSES))
     tok = O.ngrams("tok", 1, 2)
     ctes = [
         _DOCS, *split_sql_ctes(),
         f"docs AS (SELECT t.id, t.label, {O.render('t.table_data')} AS text, sp.split FROM tables t JOIN sp ON t.id = sp.id)",
-        "tr AS (SELECT id, label, text FROM docs WHERE split = 'train')",
+        f"tr AS (SELECT id, label, text FROM docs WHERE {train})",
         f"te AS ({score_rel or chr(32).join(['SELECT id, label, text FROM docs WHERE split =', chr(39) + 'test' + chr(39)])})",
         *O.tfidf_ctes("tr", prefix="a_"),
         f"b_toks AS (SELECT id, {O.word_tokens('text')} AS tok FROM te)",
@@ -144,6 +142,30 @@ def m11(spark, sf):
                          .cast("int").alias("prediction"))
 
 
+_M11_K, _M11_DIM = 4, 64
+
+
+@register("m11_fixed_weights",
+          "WITH s AS (SELECT vec_id, label, " + ", ".join(
+              "(" + " + ".join(f"{((i * 7 + j * 3) % 11 - 5) / 8!r} * embedding[{j + 1}]" for j in range(_M11_DIM)) + f") AS s{i}"
+              for i in range(_M11_K)) + " FROM embeddings) SELECT vec_id, label, CASE WHEN s0 >= greatest(s1, s2, s3) THEN 0 "
+          "WHEN s1 >= greatest(s2, s3) THEN 1 WHEN s2 >= s3 THEN 2 ELSE 3 END AS prediction FROM s")
+def m11_fixed(spark, sf):
+    """Batched inference of a linear model whose weights are stated by a rule,
+    so SQL can follow it: ``w[i][j] = ((7 i + 3 j) % 11 - 5) / 8``."""
+    import numpy as np
+    from ..operators.ranking import argmax_label
+    W = np.array([[((i * 7 + j * 3) % 11 - 5) / 8 for j in range(_M11_DIM)] for i in range(_M11_K)])
+
+    def make_fn():
+        return lambda x: (x.astype("float64") @ W.T).astype("float32")
+
+    scorer = MD.batch_scorer(make_fn, _M11_DIM, batch_size=32)
+    scored = read_table(spark, sf, "embeddings").select("vec_id", "label", scorer("embedding").alias("p"))
+    return scored.select("vec_id", "label", argmax_label(F.transform("p", lambda x: x.cast("double")),
+                                                         [str(i) for i in range(_M11_K)]).cast("int").alias("prediction"))
+
+
 # ----------------------------------------------------------------- jobs
 def _flat_run(rec):
     return rec.select("experiment_name", "data.n_train", "data.n_val", "data.n_test",
@@ -151,6 +173,29 @@ def _flat_run(rec):
                       "test_metrics.accuracy", "test_metrics.macro_f1", "test_metrics.weighted_f1")
 
 
+def _run_oracle(train: str) -> str:
+    """Sizes and rounded test metrics of a Complement NB run without folds."""
+    return _cnb_oracle(out="""
+, pr AS (SELECT label AS y, {pred} AS p FROM allj)
+, c AS (SELECT label, CAST(sum(t) AS DOUBLE) AS nt, CAST(sum(q) AS DOUBLE) AS np, CAST(sum(k) AS DOUBLE) AS tp FROM (
+  SELECT y AS label, 1 AS t, 0 AS q, CASE WHEN y = p THEN 1 ELSE 0 END AS k FROM pr UNION ALL SELECT p, 0, 1, 0 FROM pr)
+  GROUP BY label)
+, f AS (SELECT *, CASE WHEN nt + np = 0 THEN 0 ELSE 2 * tp / (nt + np) END AS f1 FROM c)
+, m AS (SELECT round(sum(tp) / sum(nt), 4) AS accuracy, round(avg(f1), 4) AS macro_f1,
+  round(sum(f1 * nt) / sum(nt), 4) AS weighted_f1 FROM f)
+SELECT 'tfidf_complement_nb' AS experiment_name,
+  (SELECT count(*) FROM sp WHERE split = 'train') AS n_train, (SELECT count(*) FROM sp WHERE split = 'val') AS n_val,
+  (SELECT count(*) FROM sp WHERE split = 'test') AS n_test,
+  CAST(NULL AS DOUBLE) AS mean_accuracy, CAST(NULL AS DOUBLE) AS std_accuracy, accuracy, macro_f1, weighted_f1 FROM m""", train=train)
+
+
+@register("j01_final_metrics", lambda: _run_oracle("split = 'train'"))
+def j01_final(spark, sf):
+    """The run of ``j01_train_evaluate`` without its folds, for the SQL oracle."""
+    rec, _, _ = J.run_experiment(documents_as_tables(spark, sf), J.preset("tfidf_complement_nb"), cv_folds=0)
+    return _flat_run(rec)
+
+
 @register("j01_train_evaluate")
 def j01(spark, sf):
     rec, _, _ = J.run_experiment(documents_as_tables(spark, sf), J.preset("tfidf_complement_nb"))
@@ -159,14 +204,12 @@ def j01(spark, sf):
 
 @register("j02_cross_validation")
 def j02(spark, sf):
-    from ..operators.split import assign_split
     cfg = J.preset("tfidf_logistic")
-    s = assign_split(documents_as_tables(spark, sf))
-    tv = J.render_docs(s.where("split <> 'test'"), cfg["preprocessing"])
+    tv = J.split_docs(documents_as_tables(spark, sf), cfg).where("split <> 'test'").drop("split")
     return J.cross_validate(tv, cfg, k=cfg["training"]["cv_folds"])
 
 
-@register("j03_final_fit_train_val")
+@register("j03_final_fit_train_val", lambda: _run_oracle("split <> 'test'"))
 def j03(spark, sf):
     cfg = J.preset("tfidf_complement_nb", training={"train_on_train_val": True})
     rec, _, _ = J.run_experiment(documents_as_tables(spark, sf), cfg, cv_folds=0)
@@ -179,11 +222,13 @@ def _benchmark_tables(spark, sf):
                     F.transform(F.split("text", "\n"), lambda r: F.split(r, ", ")).alias("table_data"))
 
 
+_BENCH_SQL = ("SELECT id, CAST(NULL AS VARCHAR) AS label, " + O.render("table_data") + " AS text FROM "
+              "(SELECT item_id AS id, list_transform(string_split(text, chr(10)), lambda r: string_split(r, ', ')) "
+              "AS table_data FROM benchmark)")
+
+
 def _j04_oracle() -> str:
-    bench = ("SELECT id, CAST(NULL AS VARCHAR) AS label, " + O.render("table_data") + " AS text FROM "
-             "(SELECT item_id AS id, list_transform(string_split(text, chr(10)), lambda r: string_split(r, ', ')) "
-             "AS table_data FROM benchmark)")
-    return _cnb_oracle(bench, "SELECT id, {pred} AS label FROM allj")
+    return _cnb_oracle(_BENCH_SQL, "SELECT id, {pred} AS label FROM allj")
 
 
 @register("j04_score_labels", _j04_oracle)
@@ -191,7 +236,30 @@ def j04(spark, sf):
     cfg = J.preset("tfidf_complement_nb")
     train, _ = _split_docs(spark, sf, cfg)
     fitted = J.fit_model(train, cfg)
-    return J.score(fitted, _benchmark_tables(spark, sf), cfg)
+    return J.score(fitted, _benchmark_tables(spark, sf))
+
+
+def _j05_oracle() -> str:
+    k = range(len(_CNB_CLASSES))
+    total = " + ".join(f"exp(j{i} - greatest(j0, j1, j2, j3))" for i in k)
+    rows = " UNION ALL ".join(
+        f"SELECT id, {{pred}} AS label, {i} AS ci, '{c}' AS class, exp(j{i} - greatest(j0, j1, j2, j3)) / ({total}) AS p FROM allj"
+        for i, c in enumerate(_CNB_CLASSES))
+    return _cnb_oracle(_BENCH_SQL, ", e AS (" + rows + ") SELECT id, label, CAST(row_number() OVER "
+                       "(PARTITION BY id ORDER BY p DESC, ci) AS INTEGER) AS rank, class, round(p, 6) AS p FROM e")
+
+
+def _ranked_rows(s):
+    e = s.select("id", "label", F.posexplode("probabilities").alias("pos", "e"))
+    return e.select("id", "label", (F.col("pos") + 1).alias("rank"), F.col("e.label").alias("class"),
+                    F.round("e.p", 6).alias("p"))
+
+
+@register("j05_score_ranked_cnb", _j05_oracle)
+def j05_cnb(spark, sf):
+    cfg = J.preset("tfidf_complement_nb")
+    fitted = J.fit_model(_split_docs(spark, sf, cfg)[0], cfg)
+    return _ranked_rows(J.score(fitted, _benchmark_tables(spark, sf), ranked=True))
 
 
 @register("j05_score_ranked")
@@ -199,10 +267,7 @@ def j05(spark, sf):
     cfg = J.preset("tfidf_logistic")
     train, _ = _split_docs(spark, sf, cfg)
     fitted = J.fit_model(train, cfg)
-    s = J.score(fitted, _benchmark_tables(spark, sf), cfg, ranked=True)
-    e = s.select("id", "label", F.posexplode("probabilities").alias("pos", "e"))
-    return e.select("id", "label", (F.col("pos") + 1).alias("rank"), F.col("e.label").alias("class"),
-                    F.round("e.p", 6).alias("p"))
+    return _ranked_rows(J.score(fitted, _benchmark_tables(spark, sf), ranked=True))
 
 
 @register("j07_preset_sweep")
@@ -230,29 +295,22 @@ def _shared_dir(spark, name):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@register("s15_model_save_load")
+@register("s15_model_save_load", _cnb_oracle)
 def s15(spark, sf):
-    """Fit, save (vocabulary + model), load back and score the test rows with
-    the loaded artefacts."""
-    from ..sources.runs import load_model
-    cfg = J.preset("tfidf_logistic")
+    """Fit, save every artefact, and score the test rows with the scorer that is
+    rebuilt from the files alone."""
+    from .saved import load_fitted, save_fitted
+    cfg = J.preset("tfidf_complement_nb")
     train, test = _split_docs(spark, sf, cfg)
-    fitted = J.fit_model(train, cfg)
     d = _shared_dir(spark, "s15")
-    J.save_fitted(fitted, d)
-    model = load_model(spark, f"{d}/model")
-    vocab = spark.read.parquet(f"{d}/vocabulary")
-    p = fitted.featurizer.models[0].params
-    from ..operators import tfidf as TF
-    long = TF.transform_counts(TF.term_counts(test, p), vocab, p)
-    vec = TF.sparse_rows(long, test.select("id"), fitted.featurizer.size)
-    out = model.transform(vec)
-    labels = F.array(*[F.lit(c) for c in fitted.classes])
-    return out.join(test.select("id", "label"), "id").select(
-        "id", "label", F.element_at(labels, F.col("prediction").cast("int") + 1).alias("prediction"))
-
-
-@register("j08_stream_scoring")
+    fitted = J.fit_model(train, cfg)
+    save_fitted(fitted, d)
+    fitted.release()
+    pred = load_fitted(spark, d).predict(test.select("id", "text"))
+    return pred.join(test.select("id", "label"), "id").select("id", "label", "prediction")
+
+
+@register("j08_stream_scoring", _j04_oracle)
 def j08(spark, sf):
     """The benchmark table read as a file stream, each micro-batch scored by
     a fitted Complement NB run, written per batch id; returns what was written."""
@@ -266,7 +324,7 @@ def j08(spark, sf):
     def handle(batch, batch_id):
         tables = batch.select(F.col("item_id").alias("id"),
                               F.transform(F.split("text", "\n"), lambda r: F.split(r, ", ")).alias("table_data"))
-        J.score(fitted, tables, cfg).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        J.score(fitted, tables).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{out}-ckpt")
          .trigger(availableNow=True).start())

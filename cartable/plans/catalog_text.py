@@ -3,6 +3,7 @@
 noted."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import render as R
@@ -131,14 +132,10 @@ _render_query("p09_truncate", max_length=50)
 _render_query("p11_render_batch_params", header_rows=2, header_weight=2, max_content_cells=50)
 
 
-@register("p10_empty_matrix", O.with_tables(
-    f"m AS (SELECT id, list_filter(table_data, lambda r: len(r) > 3) AS t FROM tables)",
-    f"r AS (SELECT id, {O.render('t')} AS txt FROM m)") +
-    f"SELECT id, txt = '' AS is_empty, {_sql_text_out('txt')} FROM r")
+@register("p10_empty_matrix", O.with_tables(f"r AS (SELECT id, {O.render('table_data')} AS txt FROM tables)") +
+          f"SELECT id, txt = '' AS is_empty, {_sql_text_out('txt')} FROM r")
 def p10(spark, sf):
-    # Keep only rows with more than 3 cells: many matrices become empty.
-    t = _tables(spark, sf).select("id", F.filter("table_data", lambda r: F.size(r) > 3).alias("t"))
-    r = t.select("id", R.render_text("t").alias("txt"))
+    r = _tables(spark, sf).select("id", R.render_text("table_data").alias("txt"))
     return r.select("id", (F.col("txt") == "").alias("is_empty"), *_text_out(F.col("txt")))
 
 
@@ -156,10 +153,11 @@ def p13(spark, sf):
 
 # ---------------------------------------------------------------- terms
 def _rendered(spark, sf):
-    return _tables(spark, sf).select("id", "label", R.render_text("table_data").alias("text"))
+    # Whole texts: the cell cap is a feature of rendering (P04), not of what reads it.
+    return _tables(spark, sf).select("id", "label", R.render_text("table_data", max_content_cells=None).alias("text"))
 
 
-_RENDERED_CTE = f"docs AS (SELECT id, label, {O.render('table_data')} AS text FROM tables)"
+_RENDERED_CTE = f"docs AS (SELECT id, label, {O.render('table_data', max_content_cells=None)} AS text FROM tables)"
 
 
 @register("f01_lower", O.with_tables(_RENDERED_CTE) + "SELECT id, md5(lower(text)) AS lower_md5 FROM docs")
@@ -326,11 +324,13 @@ def v07(spark, sf):
     docs = _rendered(spark, sf)
     c = TF.term_counts(docs, _P)
     v = TF.fit_vocabulary(c, docs.count(), _P)
-    raw = TF.transform_counts(c, v, _P, normalize=False).withColumnRenamed("weight", "w")
-    unit = TF.transform_counts(c, v, _P)
-    j = raw.join(unit, ["id", "term"])
-    return j.groupBy("id").agg(F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("raw_norm"),
-                               F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("unit_norm"))
+    # Both norms of a document from one long form: the unit weights are the raw
+    # ones over their norm, so one pass gives both.
+    raw = TF.transform_counts(c, v, _P, normalize=False)
+    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id")))
+    both = raw.withColumn("unit", F.col("weight") / norm)
+    return both.groupBy("id").agg(F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 6).alias("raw_norm"),
+                                  F.round(F.sum(F.col("unit") * F.col("unit")), 6).alias("unit_norm"))
 
 
 @register("v08_tfidf_weights", O.with_tables(*_COUNTS_CTES) +
@@ -347,7 +347,7 @@ _BP = TF.TfidfParams(max_features=5000)
 
 
 @register("v09_double_tfidf", O.with_tables(
-    f"r AS (SELECT id, {O.render('table_data', layout='separe')} AS txt FROM tables)",
+    f"r AS (SELECT id, {O.render('table_data', layout='separe', max_content_cells=None)} AS txt FROM tables)",
     "s AS (SELECT id, string_split(txt, '__CONTENU__') AS parts FROM r)",
     f"hdocs AS (SELECT id, {O.strip('parts[1]')} AS text FROM s)",
     f"bdocs AS (SELECT id, {O.strip(chr(39) + chr(39) + ' || coalesce(array_to_string(list_slice(parts, 2, len(parts)), ' + chr(39) + '__CONTENU__' + chr(39) + '), ' + chr(39) + chr(39) + ')')} AS text FROM s)",
@@ -359,7 +359,7 @@ _BP = TF.TfidfParams(max_features=5000)
     "SELECT id, field, count(*) AS n_terms, CAST(min(idx) AS BIGINT) AS min_idx, round(sum(weight * weight), 6) AS sq "
     "FROM allw GROUP BY id, field")
 def v09(spark, sf):
-    t = _tables(spark, sf).select("id", R.render_text("table_data", layout="separe").alias("txt"))
+    t = _tables(spark, sf).select("id", R.render_text("table_data", layout="separe", max_content_cells=None).alias("txt"))
     h, b = R.split_separated(F.col("txt"))
     docs = t.select("id", h.alias("header"), b.alias("body"))
     long = TF.double_tfidf_long(docs, _HP, _BP)
@@ -384,7 +384,10 @@ def v10(spark, sf):
                     F.round(F.coalesce("s", F.lit(0.0)), 6).alias("total")))
 
 
-@register("v12_sparse_vectors")
+@register("v12_sparse_vectors", O.with_tables(*_COUNTS_CTES,
+          "tf AS (SELECT id, count(*) AS n, sum(weight * weight) AS s FROM tfidf WHERE weight <> 0 GROUP BY id)") +
+          "SELECT d.id, CAST(coalesce(tf.n, 0) AS BIGINT) AS nnz, round(coalesce(tf.s, 0), 6) AS sq "
+          "FROM docs d LEFT JOIN tf ON d.id = tf.id")
 def v12(spark, sf):
     docs = _rendered(spark, sf)
     model = TF.fit_tfidf(docs, _P)
@@ -434,7 +437,6 @@ def v11(spark, sf):
           f"GROUP BY conv_id), r AS (SELECT id, {O.render('table_data')} AS txt FROM c) "
           f"SELECT id, {_sql_text_out('txt')}, CAST(len(table_data) AS BIGINT) AS n_turns FROM r JOIN c USING (id)")
 def p06c(spark, sf):
-    from .adapters import conversations_as_tables
-    t = conversations_as_tables(spark, sf)
-    r = t.select("id", R.render_text("table_data").alias("txt"), F.col("n_turns").cast("long").alias("n_turns"))
-    return r.select("id", *_text_out(F.col("txt")), "n_turns")
+    from .adapters import conversation_texts
+    r = conversation_texts(spark, sf)
+    return r.select("id", *_text_out(F.col("text")), "n_turns")

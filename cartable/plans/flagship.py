@@ -20,7 +20,7 @@ TOP_K = 10
 
 def top_terms_per_label(tables: DataFrame, params: TfidfParams | None = None, k: int = TOP_K) -> DataFrame:
     params = params or TfidfParams()
-    docs = tables.select("id", "label", render_text("table_data").alias("text"))
+    docs = tables.select("id", "label", render_text("table_data", max_content_cells=None).alias("text"))
     long = tfidf_long(docs, params, carry=["label"])
     n_per_label = docs.groupBy("label").agg(F.count(F.lit(1)).alias("n_docs"))
     # (label, term) sums: at most labels x vocabulary rows after partial aggregation.
@@ -38,7 +38,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     ctes = [
-        f"docs AS (SELECT id, label, {O.render('table_data')} AS text FROM tables)",
+        f"docs AS (SELECT id, label, {O.render('table_data', max_content_cells=None)} AS text FROM tables)",
         *O.tfidf_ctes("docs", carry="label"),
         "nlab AS (SELECT label, count(*) AS n_docs FROM docs GROUP BY label)",
         "mean AS (SELECT t.label, t.term, sum(t.weight) / any_value(n.n_docs) AS mean_tfidf "

@@ -8,6 +8,8 @@ vocabulary.
 from __future__ import annotations
 
 import copy
+import datetime
+import json
 import time
 from dataclasses import dataclass, field
 
@@ -22,17 +24,23 @@ from ..operators import tfidf as TF
 from ..operators.features import keyword_long, lemmatize, plural_lemma_dictionary
 from ..operators.ranking import ranked_probabilities
 
+# Spark's trees end at this depth; presets that ask for unlimited depth state it.
+MAX_DEPTH = 30
+# Iterations of Spark's OWLQN solver. Presets written for 2,000 passes of a
+# coordinate-descent solver state its own default, as the units differ.
+OWLQN_ITERATIONS = 100
 # The experiment presets (feature + model parameters).
+_SVC = {"type": "linear_svc", "params": {"C": 1.0, "max_iter": OWLQN_ITERATIONS, "class_weight": "balanced"}}
 _LR = {"type": "logistic_regression", "params": {"C": 1.0, "max_iter": 1000, "class_weight": "balanced"}}
 _TF = {"max_features": 15000, "ngram_range": [1, 2], "sublinear_tf": True, "min_df": 2}
 _TF10 = {"max_features": 10000, "ngram_range": [1, 2], "sublinear_tf": True, "min_df": 2}
 PRESETS: dict[str, dict] = {
     "tfidf_logistic": {"features": {"type": "tfidf", "params": {**_TF, "analyzer": "word"}}, "model": _LR},
     "tfidf_svm": {"features": {"type": "tfidf", "params": _TF},
-                  "model": {"type": "linear_svc", "params": {"C": 1.0, "max_iter": 2000, "class_weight": "balanced"}}},
+                  "model": _SVC},
     "tfidf_random_forest": {"features": {"type": "tfidf", "params": _TF10},
                             "model": {"type": "random_forest", "params": {
-                                "n_estimators": 300, "max_depth": None, "class_weight": "balanced",
+                                "n_estimators": 300, "max_depth": MAX_DEPTH, "class_weight": "balanced",
                                 "random_state": 42}}},
     "tfidf_gradient_boosting": {"features": {"type": "tfidf", "params": _TF10},
                                 "model": {"type": "gradient_boosting", "params": {
@@ -60,7 +68,7 @@ PRESETS: dict[str, dict] = {
     "ensemble_vote": {"features": {"type": "tfidf", "params": _TF},
                       "model": {"type": "ensemble_vote", "params": {"vote": "soft"}}, "training": {"cv_folds": 3}},
 }
-BASE = {"data": {"test_size": 0.2, "val_size": 0.1, "stratify": True, "random_seed": 42},
+BASE = {"data": {"test_size": 0.2, "val_size": 0.1, "stratify": True, "random_seed": 42, "labels": None},
         "preprocessing": {"header_rows": 1, "header_weight": 3, "max_content_cells": 200},
         "training": {"cv_folds": 5, "scoring": "accuracy", "train_on_train_val": False}}
 
@@ -107,6 +115,13 @@ class Featurizer:
         vec = TF.sparse_rows(self.long(docs), docs.select("id"), self.size)
         return docs.select("id", *keep).join(vec, "id")
 
+    def release(self) -> None:
+        """Drop the cached vocabularies and dictionary."""
+        for m in self.models:
+            m.vocab.unpersist()
+        if self.lemma_dict is not None:
+            self.lemma_dict.unpersist()
+
 
 def fit_features(train_docs: DataFrame, fcfg: dict) -> Featurizer:
     kind = fcfg.get("type", "tfidf")
@@ -131,7 +146,8 @@ def fit_features(train_docs: DataFrame, fcfg: dict) -> Featurizer:
 def render_docs(tables: DataFrame, pre: dict) -> DataFrame:
     """Text (and header / body for the separate layout)."""
     params = preprocess_params(**pre)
-    out = tables.select("id", "label", render_text("table_data", **params).alias("text"))
+    carry = [c for c in ("label", "split", "fold") if c in tables.columns]
+    out = tables.select("id", *carry, render_text("table_data", **params).alias("text"))
     if params["layout"] == "separe":
         h, b = split_separated(F.col("text"))
         out = out.select("*", h.alias("header"), b.alias("body"))
@@ -151,9 +167,15 @@ class Fitted:
         """``(id, prediction, proba)``; proba in class order."""
         return self.predict_long(self.featurizer.long(docs), docs.select("id"))
 
+    @property
+    def gives_probabilities(self) -> bool:
+        return not (self.spec.type == "ensemble_vote" and self.spec.params.get("vote", "soft") == "hard")
+
     def predict_long(self, long: DataFrame, ids: DataFrame) -> DataFrame:
         """Predict from long-form features ``(id, idx, weight)``; ``ids`` keeps
-        documents without any feature."""
+        documents without any feature. A hard vote has no probabilities: its
+        ``proba`` is null."""
+        from ..operators.ranking import argmax_label
         t = self.spec.type
         if t == "complement_nb":
             bounded = all(m.params.max_features is not None for m in self.featurizer.models)
@@ -163,26 +185,49 @@ class Fitted:
         if t == "linear_svc":
             pr = MD.calibrated_proba(self.model, vec)
         elif t == "ensemble_vote":
+            # One frame: the three voters are chained, so features are built once.
             lr, svm, rf = self.model
-            p1 = MD.predict_proba(lr, vec, MD.ModelSpec("logistic_regression", {})).select("id", F.col("proba").alias("a"))
-            p2 = MD.calibrated_proba(svm, vec).select("id", F.col("proba").alias("b"))
-            p3 = MD.predict_proba(rf, vec, MD.ModelSpec("random_forest", {})).select("id", F.col("proba").alias("c"))
-            pr = p1.join(p2, "id").join(p3, "id").select("id", MD.mean_arrays([F.col("a"), F.col("b"), F.col("c")]).alias("proba"))
+            pr = MD.predict_proba(lr, vec, MD.ModelSpec("logistic_regression", {}), "_a")
+            pr = MD.predict_proba(rf, MD.calibrated_proba(svm, pr, "_b"), MD.ModelSpec("random_forest", {}), "_c")
+            votes = [F.col(c) for c in ("_a", "_b", "_c")]
+            if not self.gives_probabilities:
+                return pr.select("id", MD.vote_labels(votes, self.classes).alias("prediction"),
+                                 F.lit(None).cast("array<double>").alias("proba"))
+            pr = pr.withColumn("proba", MD.mean_arrays(votes))
         else:
-            pr = MD.predict_proba(self.model, vec, self.spec).select("id", "proba")
-        from ..operators.ranking import argmax_label
+            pr = MD.predict_proba(self.model, vec, self.spec)
         return pr.select("id", argmax_label(F.col("proba"), self.classes).alias("prediction"), "proba")
 
+    def release(self) -> None:
+        """Drop what the fit keeps cached."""
+        if isinstance(self.model, DataFrame):
+            self.model.unpersist()
+        self.featurizer.release()
+
 
 def fit_model(train_docs: DataFrame, cfg: dict, seed: int = 42) -> Fitted:
     """Fit features on ``train_docs`` then the classifier."""
     feat = fit_features(train_docs, cfg["features"])
-    return fit_model_long(feat.long(train_docs), train_docs.select("id", "label"), cfg, feat, seed)
+    fitted = fit_model_long(feat.long(train_docs), train_docs.select("id", "label"), cfg, feat, seed)
+    fitted.extra["preprocessing"] = dict(cfg.get("preprocessing", {}))
+    return fitted
+
+
+VOTER_SPECS = {
+    "lr": MD.ModelSpec("logistic_regression", {"C": 1.0, "max_iter": 1000, "class_weight": "balanced"}),
+    "svm": MD.ModelSpec("linear_svc", dict(_SVC["params"])),
+    "rf": MD.ModelSpec("random_forest", {"n_estimators": 200, "max_depth": MAX_DEPTH, "class_weight": "balanced"}),
+}
 
 
 def fit_model_long(long: DataFrame, labels: DataFrame, cfg: dict, feat: Featurizer, seed: int = 42) -> Fitted:
-    """Fit the classifier on long-form features of the training rows."""
+    """Fit the classifier on long-form features of the training rows.
+
+    Weights and calibration folds come from ``(id, label)`` alone; the vectors
+    are built once, cached for the fit and released after it."""
     spec = MD.ModelSpec(cfg["model"]["type"], cfg["model"].get("params", {}))
+    if spec.type == "ensemble_vote" and spec.params.get("vote", "soft") not in ("soft", "hard"):
+        raise ValueError(f"unknown vote {spec.params['vote']!r}; expected 'soft' or 'hard'")
     classes = sorted(r.label for r in labels.select("label").distinct().collect())  # bounded: classes
     if spec.type == "complement_nb":
         model = MD.fit_complement_nb(long.join(labels, "id"), classes, float(spec.params.get("alpha", 1.0)),
@@ -190,23 +235,22 @@ def fit_model_long(long: DataFrame, labels: DataFrame, cfg: dict, feat: Featuriz
         return Fitted(spec, classes, model, feat)
     idx = {c: i for i, c in enumerate(classes)}
     lab = F.element_at(F.create_map(*[x for c, i in idx.items() for x in (F.lit(c), F.lit(float(i)))]), F.col("label"))
-    vec = labels.join(TF.sparse_rows(long, labels.select("id"), feat.size), "id").withColumn("label_idx", lab)
-    vec = MET.with_class_weights(vec).cache()
-    n = vec.count()
+    rows = MET.with_class_weights(labels.select("id", "label")).withColumn("label_idx", lab)
+    if spec.type in ("linear_svc", "ensemble_vote"):
+        rows = rows.join(SP.assign_folds(labels.select("id", "label"), k=3, seed=seed, out="_cal_fold").drop("label"), "id")
+    cached = rows.join(TF.sparse_rows(long, labels.select("id"), feat.size), "id").cache()
+    n = cached.count()  # balanced weights sum to the number of rows
+    vec = MD.sized_partitions(cached)
+    k = len(classes)
     if spec.type == "linear_svc":
-        folded = SP.assign_folds(vec, k=3, seed=seed, out="_cal_fold")
-        model = MD.fit_calibrated_svc(folded, spec, n, len(classes))
+        model = MD.fit_calibrated_svc(vec, spec, k)
     elif spec.type == "ensemble_vote":
-        lr = MD.build_estimator(MD.ModelSpec("logistic_regression", {"C": 1.0, "max_iter": 1000,
-                                                                     "class_weight": "balanced"}), n).fit(vec)
-        folded = SP.assign_folds(vec, k=3, seed=seed, out="_cal_fold")
-        svm = MD.fit_calibrated_svc(folded, MD.ModelSpec("linear_svc", {"C": 1.0, "max_iter": 2000,
-                                                                        "class_weight": "balanced"}), n, len(classes))
-        rf = MD.build_estimator(MD.ModelSpec("random_forest", {"n_estimators": 200, "class_weight": "balanced",
-                                                               "random_state": seed}), n).fit(vec)
-        model = (lr, svm, rf)
+        model = (MD.build_estimator(VOTER_SPECS["lr"], n, classes=k).fit(vec),
+                 MD.fit_calibrated_svc(vec, VOTER_SPECS["svm"], k),
+                 MD.build_estimator(VOTER_SPECS["rf"], n, seed=seed, classes=k).fit(vec))
     else:
-        model = MD.build_estimator(spec, n).fit(vec)
+        model = MD.build_estimator(spec, n, classes=k).fit(vec)
+    cached.unpersist()
     return Fitted(spec, classes, model, feat)
 
 
@@ -234,7 +278,9 @@ def cross_validate(tv_docs: DataFrame, cfg: dict, k: int, seed: int = 42) -> Dat
     scoring = cfg.get("training", {}).get("scoring", "accuracy")
     if scoring not in SCORERS:
         raise ValueError(f"unknown scorer {scoring!r}; available: {sorted(SCORERS)}")
-    folded = SP.assign_folds(tv_docs, k=k, seed=seed).cache()
+    # Ranks move (id, label) only; the text is joined to its fold once.
+    folds = SP.assign_folds(tv_docs.select("id", "label"), k=k, seed=seed).drop("label")
+    folded = tv_docs.join(folds, "id").cache()
     spark = tv_docs.sparkSession
     rows = []
     fcfg = cfg["features"]
@@ -258,7 +304,7 @@ def cross_validate(tv_docs: DataFrame, cfg: dict, k: int, seed: int = 42) -> Dat
             held = labels.where(F.col("fold") == f)
             pred = fit.predict_long(long_va, held.select("id")).join(held.select("id", "label"), "id")
             rows.append((f, _score(pred, scoring)))
-            vocab.unpersist()
+            fit.release()
         counts.unpersist()
     else:
         for f in range(k):
@@ -266,17 +312,40 @@ def cross_validate(tv_docs: DataFrame, cfg: dict, k: int, seed: int = 42) -> Dat
             held = SP.fold_valid(folded, f).drop("fold")
             pred = fit.predict(held).join(held.select("id", "label"), "id")
             rows.append((f, _score(pred, scoring)))
+            fit.release()
+    folded.unpersist()
     return spark.createDataFrame(rows, "fold int, score double")
 
 
-def run_experiment(tables: DataFrame, cfg: dict, cv_folds: int | None = None, out_root: str | None = None):
-    """J01 (+J02, J03): returns ``(run record DataFrame, Fitted, test predictions)``."""
-    t0 = time.time()
+def split_docs(tables: DataFrame, cfg: dict) -> DataFrame:
+    """Rendered documents with their ``split``: the split ranks ``(id, label)``
+    only, and the text meets it in one join."""
     d = cfg["data"]
-    seed = int(d.get("random_seed", 42))
-    split = SP.assign_split(tables, test_size=d["test_size"], val_size=d["val_size"],
-                            stratify=d.get("stratify", True), seed=seed)
-    docs = render_docs(split, cfg.get("preprocessing", {})).join(split.select("id", "split"), "id").cache()
+    split = SP.assign_split(tables.select("id", "label"), test_size=d["test_size"], val_size=d["val_size"],
+                            stratify=d.get("stratify", True), seed=int(d.get("random_seed", 42)))
+    return render_docs(tables, cfg.get("preprocessing", {})).join(split.select("id", "split"), "id")
+
+
+def run_experiment(tables: DataFrame, cfg: dict, cv_folds: int | None = None, out_root: str | None = None,
+                   docs: DataFrame | None = None, runs_table: str | None = None):
+    """J01 (+J02, J03): returns ``(run record DataFrame, Fitted, test predictions)``.
+
+    ``docs`` takes documents split and rendered before (``split_docs``). With
+    ``out_root`` the run is recorded as running when it starts and as finished
+    at the end, and every artefact is saved unless ``training.save_model`` is
+    off. Per-class metrics use ``data.labels``, the configured classes, where
+    they are given."""
+    from ..sources.runs import STATUS_DONE, STATUS_RUNNING, run_id, write_run
+    from .saved import save_fitted
+    t0 = time.time()
+    spark = tables.sparkSession
+    seed = int(cfg["data"].get("random_seed", 42))
+    started = {"experiment_id": run_id(cfg.get("name", "experiment")), "experiment_name": cfg.get("name", "experiment"),
+               "timestamp": datetime.datetime.now().isoformat(), "status": STATUS_RUNNING, "config": cfg}
+    if out_root:
+        write_run(spark, started, out_root)
+    own = docs is None
+    docs = split_docs(tables, cfg).cache() if own else docs
     train = docs.where("split = 'train'").drop("split")
     val = docs.where("split = 'val'").drop("split")
     test = docs.where("split = 'test'").drop("split")
@@ -289,18 +358,18 @@ def run_experiment(tables: DataFrame, cfg: dict, cv_folds: int | None = None, ou
     t1 = time.time()
     fitted = fit_model(final_train, cfg, seed)
     duration = time.time() - t1
+    labels = cfg["data"].get("labels") or fitted.classes
     pred = fitted.predict(test).join(test.select("id", "label"), "id").cache()
-    met = MET.all_metrics(pred, fitted.classes, y="label", p="prediction").first()
-    sizes = {r["split"]: r["n"] for r in docs.groupBy("split").count().withColumnRenamed("count", "n").collect()}
+    met = MET.all_metrics(pred, labels, y="label", p="prediction").first()
+    sizes = {r["split"]: r["n"] for r in docs.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
     from ..sources.tables import class_distribution
-    dist = {r["label"]: r["n"] for r in class_distribution(tables).collect()}  # one row per class
-    from ..sources.runs import run_id, write_run
+    dist = {r["label"]: r["n"] for r in class_distribution(docs).collect()}  # one row per class
+    if own:
+        docs.unpersist()
     rec = {
-        "experiment_id": run_id(cfg.get("name", "experiment")),
-        "experiment_name": cfg.get("name", "experiment"),
-        "timestamp": __import__("datetime").datetime.now().isoformat(),
+        **started,
         "duration_seconds": round(duration, 2),
-        "status": "terminee",
+        "status": STATUS_DONE,
         "data": {"n_train": sizes.get("train", 0), "n_val": sizes.get("val", 0), "n_test": sizes.get("test", 0),
                  "n_total": sum(sizes.values()), "distribution_classes": dist},
         # Field names follow the run-record layout; the scorer that produced
@@ -312,48 +381,53 @@ def run_experiment(tables: DataFrame, cfg: dict, cv_folds: int | None = None, ou
                          "par_classe": {k2: v.asDict() for k2, v in met["par_classe"].items()}},
         "config": {**cfg, "classes": fitted.classes, "total_seconds": round(time.time() - t0, 2)},
     }
-    spark = tables.sparkSession
     if out_root:
-        rec_df = write_run(spark, rec, out_root)
-        save_fitted(fitted, f"{out_root.rstrip('/')}/{rec['experiment_id']}")
+        rec_df = write_run(spark, rec, out_root, table=runs_table)
+        if cfg.get("training", {}).get("save_model", True):
+            save_fitted(fitted, f"{out_root.rstrip('/')}/{rec['experiment_id']}")
     else:
-        from ..sources.runs import RUN_SCHEMA
-        import json
-        rec2 = dict(rec)
-        rec2["config"] = json.dumps(rec["config"], default=str, sort_keys=True)
-        rec_df = spark.createDataFrame([rec2], RUN_SCHEMA)
+        from ..sources.runs import run_frame
+        rec_df = run_frame(spark, rec)
     return rec_df, fitted, pred
 
 
-def save_fitted(fitted: Fitted, run_dir: str) -> None:
-    """Vocabulary as parquet, Spark ML model with its own writer."""
-    if fitted.featurizer.models:
-        fitted.featurizer.models[0].vocab.write.mode("overwrite").parquet(f"{run_dir}/vocabulary")
-    m = fitted.model
-    if isinstance(m, DataFrame):  # Complement NB: the model is a table
-        m.write.mode("overwrite").parquet(f"{run_dir}/model")
-    elif hasattr(m, "write"):
-        m.write().overwrite().save(f"{run_dir}/model")
-
+def score(run: Fitted | str, tables: DataFrame, cfg: dict | None = None, ranked: bool = False, **overrides) -> DataFrame:
+    """Label (and ranked probabilities) for new tables.
 
-def score(fitted: Fitted, tables: DataFrame, cfg: dict, ranked: bool = False) -> DataFrame:
-    """Label (and ranked probabilities) for new tables, with the
-    run's own rendering parameters."""
-    docs = render_docs(tables.withColumn("label", F.lit(None).cast("string")) if "label" not in tables.columns
-                       else tables, cfg.get("preprocessing", {}))
-    pred = fitted.predict(docs)
+    ``run`` is a fit or the folder of a saved run. Tables are rendered with the
+    run's own parameters (P12); ``cfg["preprocessing"]`` and ``overrides`` replace
+    them key by key."""
+    if isinstance(run, str):
+        from .saved import load_fitted
+        run = load_fitted(tables.sparkSession, run)
+    if ranked and not run.gives_probabilities:
+        raise ValueError("a hard vote gives labels, no probabilities: score it with ranked=False")
+    pre = {**run.extra.get("preprocessing", {}), **(cfg or {}).get("preprocessing", {}), **overrides}
+    pred = run.predict(render_docs(tables, pre))
     if not ranked:
         return pred.select("id", F.col("prediction").alias("label"))
     return pred.select("id", F.col("prediction").alias("label"),
-                       ranked_probabilities(F.col("proba"), fitted.classes).alias("probabilities"))
+                       ranked_probabilities(F.col("proba"), run.classes).alias("probabilities"))
 
 
-def preset_sweep(tables: DataFrame, names: list[str], cv_folds: int = 0) -> DataFrame:
-    """Several presets on the same split; one metrics row per preset."""
-    out = None
+def preset_sweep(tables: DataFrame, names: list[str], cv_folds: int = 0, runs_table: str | None = None,
+                 out_root: str | None = None) -> DataFrame:
+    """Several presets on the same split; one metrics row per preset.
+    Presets that render alike share one rendered, split frame."""
+    rows, shared = [], {}
     for name in names:
-        rec, _, _ = run_experiment(tables, preset(name), cv_folds=cv_folds)
-        row = rec.select("experiment_name", "test_metrics.accuracy", "test_metrics.macro_f1",
-                         "test_metrics.weighted_f1")
-        out = row if out is None else out.unionByName(row)
+        cfg = preset(name)
+        key = json.dumps([cfg["data"], cfg.get("preprocessing", {})], sort_keys=True)
+        if key not in shared:
+            shared[key] = split_docs(tables, cfg).cache()
+        rec, fitted, pred = run_experiment(tables, cfg, cv_folds=cv_folds, docs=shared[key], out_root=out_root,
+                                           runs_table=runs_table)
+        r = rec.first()
+        rows.append((r["experiment_name"], r["test_metrics"]["accuracy"], r["test_metrics"]["macro_f1"],
+                     r["test_metrics"]["weighted_f1"]))
+        pred.unpersist()
+        fitted.release()
+    for docs in shared.values():
+        docs.unpersist()
+    out = tables.sparkSession.createDataFrame(rows, "experiment_name string, accuracy double, macro_f1 double, weighted_f1 double")
     return out.orderBy(F.desc("accuracy"), "experiment_name")

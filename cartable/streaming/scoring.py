@@ -11,6 +11,7 @@ stream exactly-once end to end).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.jobs import Fitted, score
 from ..sources.tables import parse_table_data
@@ -18,15 +19,29 @@ from ..sources.tables import parse_table_data
 
 def start_scoring_stream(spark: SparkSession, fitted: Fitted, cfg: dict, source_dir: str, out_dir: str,
                          checkpoint_dir: str, schema: str = "id long, table_data string",
-                         ranked: bool = True, trigger_once: bool = False):
-    """``readStream`` parquet tables -> score -> parquet, one folder per batch."""
+                         ranked: bool = True, trigger_once: bool = False, quarantine_dir: str | None = None):
+    """``readStream`` parquet tables -> score -> parquet, one folder per batch.
+
+    Rows whose matrix cannot be decoded are written, raw text included, to
+    ``quarantine_dir`` (default: ``out_dir`` + ``_quarantine``), one folder per
+    batch id like the scores, so a replay replaces both."""
     stream = spark.readStream.schema(schema).parquet(source_dir)
+    aside = (quarantine_dir or f"{out_dir.rstrip('/')}_quarantine").rstrip("/")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        tables = parse_table_data(batch, on_bad="quarantine")
-        good = tables.where("NOT _bad").drop("_bad") if "_bad" in tables.columns else tables
-        scored = score(fitted, good, cfg, ranked=ranked)
-        scored.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/batch_id={batch_id}")
+        raw = F.col("table_data").cast("string").alias("raw") if dict(batch.dtypes)["table_data"] == "string" else \
+            F.to_json("table_data").alias("raw")
+        tables = parse_table_data(batch.select("*", raw), on_bad="quarantine").persist()
+        if "_bad" in tables.columns:
+            bad = tables.where("_bad").select("id", "raw")
+            if not bad.isEmpty():
+                bad.write.mode("overwrite").parquet(f"{aside}/batch_id={batch_id}")
+            tables_ok = tables.where("NOT _bad").drop("_bad", "raw")
+        else:
+            tables_ok = tables.drop("raw")
+        score(fitted, tables_ok, cfg, ranked=ranked).write.mode("overwrite").parquet(
+            f"{out_dir.rstrip('/')}/batch_id={batch_id}")
+        tables.unpersist()
 
     w = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if trigger_once else w

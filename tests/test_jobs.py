@@ -26,10 +26,12 @@ def test_run_experiment_complement_nb(spark, tmpdir_path):
     from cartable.sources.runs import read_runs
     runs = read_runs(spark, os.path.join(tmpdir_path, "models")).collect()
     assert runs[0].experiment_name == "tfidf_complement_nb"
-    from cartable.sources.runs import RunNotFoundError, load_run
-    rec2, cfg2, vocab, model = load_run(spark, runs[0]._path)
-    assert cfg2["classes"] == fitted.classes and vocab.count() == fitted.featurizer.size
-    assert model.count() == fitted.model.count()
+    from cartable.plans.saved import load_run
+    from cartable.sources.runs import RunNotFoundError
+    rec2, cfg2, loaded = load_run(spark, runs[0]._path)
+    assert rec2.status == "terminee" and cfg2["classes"] == fitted.classes == loaded.classes
+    assert loaded.featurizer.models[0].vocab.count() == fitted.featurizer.size
+    assert loaded.model.count() == fitted.model.count()
     import pytest
     with pytest.raises(RunNotFoundError):
         load_run(spark, os.path.join(tmpdir_path, "nowhere"))
