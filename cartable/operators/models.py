@@ -109,7 +109,7 @@ def build_estimator(spec: ModelSpec, weight_sum: float, features: str = "feature
         # Node ids are kept, and one pass holds the histograms of a whole level.
         gbt = GBTClassifier(maxIter=iters, stepSize=float(p.get("learning_rate", 0.1)),
                             maxDepth=int(depth or 3), seed=int(p.get("random_state", seed)),
-                            cacheNodeIds=True, checkpointInterval=-1, maxMemoryInMB=1024)
+                            cacheNodeIds=True, maxMemoryInMB=1024)
         ovr = OneVsRest(classifier=gbt, parallelism=classes, **kw)
         return ovr.setWeightCol(wcol) if wcol else ovr
     raise ValueError(f"unknown model type {spec.type!r}; available: {list(MODEL_TYPES)}")
