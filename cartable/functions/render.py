@@ -38,7 +38,8 @@ def strip_ws(c) -> Column:
 def clean_cell(c) -> Column:
     """Null -> '', stringify, strip, collapse whitespace runs to one space."""
     s = F.coalesce(_col(c).cast("string"), F.lit(""))
-    return strip_ws(F.regexp_replace(s, f"{WS_CLASS}+", " "))
+    # After the collapse only a plain space can stand at either end.
+    return F.trim(F.regexp_replace(s, f"{WS_CLASS}+", " "))
 
 
 def header_row_count(table, header_rows: int) -> Column:

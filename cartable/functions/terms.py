@@ -158,8 +158,11 @@ def keyword_flag(txt, keywords: list[str], whole_word: bool = False) -> Column:
         import re
         alt = "|".join(re.escape(k) for k in keywords)
         return F.regexp_like(t, F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?:{alt})(?![\p{{L}}\p{{N}}_])")).cast("double")
-    kw = F.array(*[F.lit(k) for k in keywords])
-    return F.exists(kw, lambda k: F.contains(t, k)).cast("double")
+    # One lower-cased text (a common subexpression), one search per keyword.
+    hit = F.contains(t, F.lit(keywords[0]))
+    for k in keywords[1:]:
+        hit = hit | F.contains(t, F.lit(k))
+    return hit.cast("double")
 
 
 def keyword_flags(txt, lexicon: dict[str, list[str]] | None = None, prefix: str = "kw_") -> list[Column]:
@@ -187,18 +190,35 @@ def display_timestamp(iso) -> Column:
     return F.replace(F.substring(_col(iso), 1, 19), F.lit("T"), F.lit(" "))
 
 
-def strip_accents_unicode(c) -> Column:
-    """NFKD + drop combining marks (Arrow-batched pandas UDF)."""
+ACCENT_MODES = ("unicode", "ascii")
+
+
+def strip_accents(c, mode: str = "unicode") -> Column:
+    """NFKD, then drop combining marks (``unicode``) or everything outside
+    ASCII (``ascii``). Arrow-batched; texts that are ASCII already pass through."""
     import pandas as pd
     import unicodedata
+    if mode not in ACCENT_MODES:
+        raise ValueError(f"unknown accent mode {mode!r}; expected one of {ACCENT_MODES}")
 
     @F.pandas_udf("string")
     def _strip(s: pd.Series) -> pd.Series:
-        def one(x):
-            if x is None:
-                return None
-            d = unicodedata.normalize("NFKD", x)
-            return "".join(ch for ch in d if not unicodedata.combining(ch))
-        return s.map(one)
+        odd = s[~s.map(lambda x: x is None or x.isascii())]
+        if len(odd):
+            apart = odd.str.normalize("NFKD")
+            if mode == "ascii":
+                done = apart.map(lambda x: x.encode("ascii", "ignore").decode())
+            else:
+                # One table of the marks that occur, then one C-level pass a text.
+                marks = {ord(ch): None for ch in set().union(*apart) if unicodedata.combining(ch)}
+                done = apart.str.translate(marks)
+            s = s.copy()
+            s[odd.index] = done
+        return s
 
     return _strip(_col(c))
+
+
+def strip_accents_unicode(c) -> Column:
+    """F02, ``unicode`` mode."""
+    return strip_accents(c, "unicode")

@@ -34,18 +34,33 @@ def bucketed_rank(df: DataFrame, keys: list[str], order_col: str, tie_col: str,
             .drop("_bucket", "_off", "_r"))
 
 
-def global_index(df: DataFrame, order_cols: list[str], out_col: str = "idx",
-                 prefix_chars: int = 2) -> DataFrame:
-    """Consecutive 0-based index in the order of one string column, without a
-    single-task window: ``bucketed_rank`` with the first characters of the
-    string as bucket (a prefix order agrees with the string order). The
-    bucket is a pure function of the value, so the two passes (bucket sizes,
-    ranks inside buckets) always agree."""
-    if len(order_cols) != 1:
-        raise ValueError("global_index orders by exactly one string column")
-    col = order_cols[0]
-    ranked = bucketed_rank(df, [], col, col, F.substring(F.col(col), 1, prefix_chars), "_gi")
-    return ranked.withColumn(out_col, F.col("_gi") - 1).drop("_gi")
+# monotonically_increasing_id(): row inside the partition in the low 33 bits.
+_ROW_BITS = 33
+
+
+def ordered_index(df: DataFrame, order: list[Column], out_col: str = "idx") -> DataFrame:
+    """0-based position of every row in ``order``, without a single-task window
+    and whatever the values' distribution: rows are range-partitioned and sorted
+    on bounds from the data, a row's place comes from its partition and its
+    place inside it, and the partitions' sizes (one row each) give the offsets.
+
+    Range bounds are sampled anew for every job, so the ranged rows are
+    checkpointed (a reliable checkpoint, so one job runs here)."""
+    from ..session import cut_lineage
+    ranged = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                         .withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", _ROW_BITS)
+    sizes = ranged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per partition.
+    offsets = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_off"))
+    row = F.col("_m").bitwiseAND((1 << _ROW_BITS) - 1)
+    return (ranged.withColumn("_p", part).join(F.broadcast(offsets), "_p")
+            .withColumn(out_col, F.col("_off") + row).drop("_p", "_m", "_off"))
+
+
+def global_index(df: DataFrame, order_cols: list[str], out_col: str = "idx") -> DataFrame:
+    """Consecutive 0-based index in the order of the columns (``ordered_index``)."""
+    return ordered_index(df, [F.col(c) for c in order_cols], out_col)
 
 
 def ranked_probabilities(probs: Column, classes: list[str]) -> Column:
@@ -87,7 +102,8 @@ def top_k_exact(df: DataFrame, k: int, value_col: str, tie_col: str) -> DataFram
     the distributed ``global_index``. All of it stays lazy (scalar subqueries).
     """
     hist = df.groupBy(value_col).agg(F.count(F.lit(1)).alias("_n"))
-    # One row per distinct value; bounded far below the row count.
+    # One row per distinct value. Frequencies repeat: d distinct ones need at
+    # least d^2 / 2 occurrences, so this table stays near the root of the corpus.
     cum = hist.withColumn("_cum", F.sum("_n").over(
         Window.orderBy(F.desc(value_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     cut = cum.where(F.col("_cum") >= k).agg(F.max(value_col).alias("t"), F.max_by(F.col("_cum") - F.col("_n"),

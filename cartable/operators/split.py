@@ -11,17 +11,15 @@ rows is still ranked by many tasks.
 """
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import bucketed_rank
 
 # Target rows per rank bucket; the number of md5 hex digits used to bucket
-# rows is chosen so that the largest class stays near this size per bucket.
+# rows is derived so that the largest class stays near this size per bucket.
 ROWS_PER_BUCKET = 1_000_000
-MAX_HEX_DIGITS = 6
+MD5_DIGITS = 32
 SPLITS = ("train", "val", "test")
 
 
@@ -68,7 +66,7 @@ def split_quotas(df: DataFrame, label: str = "label", test_size: float = 0.2, va
 def bucket_digits(largest_group: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     """Hex digits so that ``largest_group / 16**digits <= rows_per_bucket``."""
     d = 1
-    while d < MAX_HEX_DIGITS and largest_group / (16 ** d) > rows_per_bucket:
+    while d < MD5_DIGITS and largest_group / (16 ** d) > rows_per_bucket:
         d += 1
     return d
 
@@ -140,7 +138,3 @@ def fold_valid(folded: DataFrame, fold: int, fold_col: str = "fold") -> DataFram
 def union_train_val(train: DataFrame, val: DataFrame) -> DataFrame:
     """Bag union."""
     return train.unionByName(val)
-
-
-def n_test_rows(n: int, test_size: float) -> int:
-    return math.ceil(test_size * n)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.render import WS_CLASS
-from ..functions.terms import (char_ngram_windows, code_points, char_wb_ngrams, normalize_for_char_ngrams, strip_accents_unicode,
+from ..functions.terms import (ACCENT_MODES, char_ngram_windows, code_points, char_wb_ngrams, normalize_for_char_ngrams, strip_accents,
                                word_ngrams, word_tokens)
 
 ANALYZERS = ("word", "char_wb", "char")
@@ -51,6 +51,8 @@ class TfidfParams:
             lowercase=d.get("lowercase", True),
             strip_accents=d.get("strip_accents", None),
         )
+        if p.strip_accents is not None and p.strip_accents not in ACCENT_MODES:
+            raise ValueError(f"unknown accent mode {p.strip_accents!r}; expected one of {ACCENT_MODES}")
         if p.analyzer not in ANALYZERS:
             raise ValueError(f"unknown analyzer {p.analyzer!r}; expected one of {ANALYZERS}")
         return p
@@ -70,7 +72,7 @@ def analyze_stages(p: TfidfParams):
     """
     def base(text: Column) -> Column:
         t = F.lower(text) if p.lowercase else text
-        return strip_accents_unicode(t) if p.strip_accents else t
+        return strip_accents(t, p.strip_accents) if p.strip_accents else t
 
     lo, hi = p.ngram_range
     if p.analyzer == "word":
@@ -82,13 +84,6 @@ def analyze_stages(p: TfidfParams):
             lambda t: char_ngram_windows(t, lo, hi))
 
 
-def analyze(text: Column, p: TfidfParams) -> Column:
-    """Text -> array of terms (one per occurrence). For whole corpora use
-    ``analyzed`` (two projections), which evaluates the tokenizer once."""
-    pre, post = analyze_stages(p)
-    return post(pre(text))
-
-
 def analyzed(df: DataFrame, p: TfidfParams, text_col: str = "text", keep=(), out: str = "term") -> DataFrame:
     """One row per term occurrence: ``(*keep, term)``."""
     pre, post = analyze_stages(p)
@@ -298,10 +293,6 @@ def sparse_rows(long: DataFrame, ids: DataFrame | None, size: int, id_col: str =
     return grouped.select(id_col, to_vec("e").alias("features"))
 
 
-def corpus_size(docs: DataFrame) -> int:
-    return docs.count()
-
-
 def sklearn_idf(n: int, df: int) -> float:
     """Plain-Python smoothed IDF (used by tests)."""
     return math.log((1 + n) / (1 + df)) + 1.0

@@ -98,19 +98,19 @@ def f13(spark, sf):
 @register("t03_runs_by_path", _RUN_SQL +
           "SELECT experiment_id, _path, CAST(row_number() OVER (ORDER BY _path DESC) AS INTEGER) AS pos FROM runs")
 def t03(spark, sf):
-    from pyspark.sql import Window
-    r = runs_from_tables(spark, sf)
-    return r.select("experiment_id", "_path", F.row_number().over(Window.orderBy(F.desc("_path"))).alias("pos"))
+    from ..operators.ranking import ordered_index
+    r = runs_from_tables(spark, sf).select("experiment_id", "_path")
+    return ordered_index(r, [F.desc("_path")], "i").select("experiment_id", "_path", (F.col("i") + 1).cast("int").alias("pos"))
 
 
 @register("t04_sort_by_accuracy", _RUN_SQL +
           "SELECT experiment_id, accuracy, CAST(row_number() OVER (ORDER BY accuracy, experiment_id) AS INTEGER) AS pos "
           "FROM runs WHERE accuracy IS NOT NULL")
 def t04(spark, sf):
-    from pyspark.sql import Window
-    r = flatten_runs(runs_from_tables(spark, sf)).na.drop(subset=["accuracy"])
-    return r.select("experiment_id", "accuracy",
-                    F.row_number().over(Window.orderBy("accuracy", "experiment_id")).alias("pos"))
+    from ..operators.ranking import ordered_index
+    r = flatten_runs(runs_from_tables(spark, sf)).na.drop(subset=["accuracy"]).select("experiment_id", "accuracy")
+    return ordered_index(r, [F.col("accuracy"), F.col("experiment_id")], "i").select(
+        "experiment_id", "accuracy", (F.col("i") + 1).cast("int").alias("pos"))
 
 
 @register("t05_default_selection", _RUN_SQL + "SELECT experiment_id FROM runs ORDER BY _path DESC LIMIT 4")
@@ -197,8 +197,13 @@ def a13(spark, sf):
           "CAST(rank() OVER (ORDER BY accuracy DESC) AS INTEGER) AS acc_rank, "
           "accuracy = max(accuracy) OVER () AS is_best FROM runs")
 def j06(spark, sf):
-    from pyspark.sql import Window
-    f = flatten_runs(runs_from_tables(spark, sf))
-    return f.select("experiment_id", "accuracy", "macro_f1", "weighted_f1",
-                    F.rank().over(Window.orderBy(F.desc("accuracy"))).alias("acc_rank"),
-                    (F.col("accuracy") == F.max("accuracy").over(Window.partitionBy())).alias("is_best"))
+    from ..operators.ranking import ordered_index
+    f = flatten_runs(runs_from_tables(spark, sf)).select("experiment_id", "accuracy", "macro_f1", "weighted_f1")
+    # Rank of a tie = place of its first row; accuracies repeat, so the first
+    # places are one row per value.
+    placed = ordered_index(f, [F.desc("accuracy")], "i")
+    firsts = placed.groupBy("accuracy").agg((F.min("i") + 1).cast("int").alias("acc_rank"))
+    best = f.agg(F.max("accuracy").alias("best")).select("best").scalar()
+    p, q = placed.alias("p"), firsts.alias("q")
+    return p.join(q, F.col("p.accuracy").eqNullSafe(F.col("q.accuracy"))).select(
+        "experiment_id", "p.accuracy", "macro_f1", "weighted_f1", "acc_rank", (F.col("p.accuracy") == best).alias("is_best"))
