@@ -3,9 +3,11 @@ automata over its trie, and context windows that tell quotation from abuse.
 
 * **Lexicon.** Terms are word starts of ``STEMS`` letters and short whole words
   (``word$``). A term enters if toxic training documents hold it far more often
-  than clean ones, in at least ``MIN_CONTEXTS`` different neighbourhoods (copies
-  of one text have one neighbourhood, so their rare words stay out). Counts
-  cover every labelled training row.
+  than clean ones, in about as many different neighbourhoods as documents
+  (copies of one text have one neighbourhood, so their rare words stay out).
+  Counts cover every labelled training row; the rows are written once, terms
+  are counted in the toxic ones first, and only terms that a share of these
+  hold are then counted in the clean ones.
 * **Automaton.** The states of the Levenshtein automaton of a token - one bit
   mask of matched token positions per number of errors - are stepped along the
   edges of the lexicon trie; a branch ends when no state is left. Tokens are
@@ -31,6 +33,9 @@ from .common import Scratch
 STEMS = (4, 5, 6)
 WHOLE_MAX = 9            # longest word that is a term as a whole
 MIN_CONTEXTS = 5
+CONTEXTS_KEPT = 20       # smallest neighbourhood hashes a task keeps of a term
+VARIED = 0.5             # different neighbourhoods of a term, per document that holds it
+PRODUCTIVE = 3           # words of the lexicon with one start: the start is the term
 MIN_SUPPORT = (5, 0.005)  # documents, and share of the toxic documents
 MIN_LOG_ODDS = 3.0
 WINDOW = 5
@@ -65,50 +70,63 @@ def held_out(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def term_counts(rows: DataFrame) -> DataFrame:
-    """Partial counts ``(term, toxic, clean, context)`` of ``rows(text, toxic)``.
-
-    A row with a context is one neighbourhood of the term in a toxic text; a
-    task keeps the ``MIN_CONTEXTS`` smallest per term, which settles whether
-    there are that many over all tasks."""
+def toxic_terms(rows: DataFrame) -> DataFrame:
+    """Partial counts ``(term, docs, context)`` of the toxic texts in ``rows``:
+    documents that hold the term, or one neighbourhood of it. A task keeps the
+    ``CONTEXTS_KEPT`` smallest neighbourhoods of a term, so the distinct ones
+    over all tasks are exact up to that number and reach it if there are more."""
     import pyarrow as pa
 
     def run(batches):
-        docs = ({}, {})
+        docs: dict[str, int] = {}
         contexts: dict[str, set] = {}
 
         def flush():
-            keys = {*docs[0], *docs[1]}
-            cols = [list(keys), [docs[1].get(t, 0) for t in keys], [docs[0].get(t, 0) for t in keys], [None] * len(keys)]
+            terms, counts, hashes = list(docs), list(docs.values()), [None] * len(docs)
             for t, c in contexts.items():
-                for h in c:
-                    for col, v in zip(cols, (t, 0, 0, h), strict=True):
-                        col.append(v)
-            for d in (*docs, contexts):
-                d.clear()
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()),
-                                               pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
-                                              ["term", "toxic", "clean", "context"])
+                terms += [t] * len(c)
+                counts += [0] * len(c)
+                hashes += c
+            docs.clear()
+            contexts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64()),
+                                               pa.array(hashes, pa.int64())], ["term", "docs", "context"])
 
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text in batch.column(0).to_pylist():
                 words = _LETTERS.findall((text or "").lower())
-                count = docs[toxic]
                 for t in {t for w in set(words) for t in terms_of(w)}:
-                    count[t] = count.get(t, 0) + 1
-                if toxic:
-                    for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-                        h = hash_of(f"{before} {after}")
-                        for t in terms_of(w):
-                            c = contexts.setdefault(t, set())
-                            c.add(h)
-                            if len(c) > MIN_CONTEXTS:
-                                c.discard(max(c))
-                if len(docs[0]) + len(docs[1]) > FLUSH or len(contexts) > FLUSH:
+                    docs[t] = docs.get(t, 0) + 1
+                for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+                    h = hash_of(f"{before} {after}")
+                    for t in terms_of(w):
+                        c = contexts.setdefault(t, set())
+                        c.add(h)
+                        if len(c) > CONTEXTS_KEPT:
+                            c.discard(max(c))
+                if len(contexts) > FLUSH:
                     yield flush()
         yield flush()
 
-    return rows.select("text", "toxic").mapInArrow(run, "term string, toxic bigint, clean bigint, context bigint")
+    return rows.where("toxic = 1").select("text").mapInArrow(run, "term string, docs bigint, context bigint")
+
+
+def clean_counts(rows: DataFrame, terms: set[str]) -> DataFrame:
+    """Partial counts ``(term, docs)`` of these terms in the clean texts."""
+    import pyarrow as pa
+
+    def run(batches):
+        found = TwoAgeCache(lambda w: [t for t in terms_of(w) if t in terms])
+        docs: dict[str, int] = {}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = set(_LETTERS.findall((text or "").lower()))
+                for t in {t for w in words for t in found[w]}:
+                    docs[t] = docs.get(t, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(docs), pa.string()), pa.array(list(docs.values()), pa.int64())],
+                                         ["term", "docs"])
+
+    return rows.where("toxic = 0").select("text").mapInArrow(run, "term string, docs bigint")
 
 
 def hash_of(s: str) -> int:
@@ -118,21 +136,23 @@ def hash_of(s: str) -> int:
 
 def learn_lexicon(rows: DataFrame, scratch: Scratch) -> tuple[dict[str, float], int, int]:
     """``({term: log odds}, toxic rows, clean rows)``. What reaches the driver is
-    bounded: a term needs a share ``MIN_SUPPORT`` of the toxic documents."""
+    bounded: a term needs a share ``MIN_SUPPORT`` of the toxic documents, so
+    their number is at most the terms of one document over that share."""
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return {}, n1, n0
-    parts = scratch.write(term_counts(rows), "terms")
+    parts = scratch.write(toxic_terms(rows), "terms")
     least = max(MIN_SUPPORT[0], math.ceil(MIN_SUPPORT[1] * n1))
-    odds = (F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))).alias("odds")
-    counts = (parts.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-              .where(F.col("a") >= least).select("term", odds).where(F.col("odds") >= MIN_LOG_ODDS))
+    held = parts.where("context is null").groupBy("term").agg(F.sum("docs").alias("a")).where(F.col("a") >= least)
     varied = (parts.where("context is not null").select("term", "context").distinct()
-              .groupBy("term").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= MIN_CONTEXTS))
-    lexicon = {r["term"]: r["odds"] for r in counts.join(varied, "term", "left_semi").collect()}
+              .groupBy("term").agg(F.count(F.lit(1)).alias("c")))
+    enough = F.greatest(F.lit(MIN_CONTEXTS), F.least(F.lit(CONTEXTS_KEPT), F.col("a") * VARIED))
+    toxic = {r["term"]: r["a"] for r in held.join(varied, "term").where(F.col("c") >= enough).collect()}
     scratch.drop(parts)
-    return lexicon, n1, n0
+    clean = {r["term"]: r["b"] for r in clean_counts(rows, set(toxic)).groupBy("term").agg(F.sum("docs").alias("b")).collect()}
+    odds = {t: math.log((a + 0.5) / (n1 + 1)) - math.log((clean.get(t, 0) + 0.5) / (n0 + 1)) for t, a in toxic.items()}
+    return {t: o for t, o in odds.items() if o >= MIN_LOG_ODDS}, n1, n0
 
 
 class Lexicon:
@@ -143,19 +163,23 @@ class Lexicon:
         self.trie: dict = {}
         self.parts: dict[int, dict[str, set[int]]] = {}
         self.reach: set[int] = set()
+        starts: dict[str, int] = {}
+        for term in terms:
+            if term.endswith("$"):
+                for k in STEMS:
+                    starts[term[:k]] = starts.get(term[:k], 0) + 1
         for term, weight in terms.items():
             body, errors = term.rstrip("$"), self.errors(term)
-            if not errors:
-                continue
+            if not errors or any(starts[body[:k]] >= PRODUCTIVE for k in STEMS if len(body) > k):
+                continue  # starts of words match exactly, whatever follows them
             node = self.trie
             for c in body:
                 node = node.setdefault(c, {})
             node[True] = max(node.get(True, (0, 0)), (errors, weight))
             # Of e + 1 parts, e errors leave one intact, moved by e places at most.
-            size = len(body) // (errors + 1)
-            for k in range(errors + 1):
-                at = k * size
-                self.parts.setdefault(size, {}).setdefault(body[at:at + size], set()).update(range(at - errors, at + errors + 1))
+            cuts = [len(body) * k // (errors + 1) for k in range(errors + 2)]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                self.parts.setdefault(end - at, {}).setdefault(body[at:end], set()).update(range(at - errors, at + errors + 1))
             self.reach.update(range(len(body) - errors, len(body) + errors + 1))
         self.cache = TwoAgeCache(self._find)
 
@@ -165,7 +189,7 @@ class Lexicon:
         longer word could hold one by chance."""
         if not term.endswith("$"):
             return 0
-        return 0 if len(term) < 6 else 1 if len(term) < 9 else 2
+        return 0 if len(term) < 6 else 1 if len(term) < 10 else 2
 
     def find(self, piece: str) -> tuple[float, int] | None:
         """``(weight, errors)`` of the best term in a white-space piece, or None."""
@@ -281,8 +305,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
     import pyarrow as pa
     scratch = Scratch(docs.sparkSession, "toxicity")
     own = training_rows(docs, labels)
-    text = docs.select("doc_id", "text")
-    terms, n1, n0 = learn_lexicon(text.where(~held_out("doc_id")).join(own, "doc_id"), scratch)
+    # Both sides are shuffled at every size; the labelled texts are then at hand.
+    text = docs.select("doc_id", "text").where(~held_out("doc_id"))
+    rows = scratch.write(text.join(own.hint("merge"), "doc_id").select("doc_id", "text", "toxic"), "labelled")
+    terms, n1, n0 = learn_lexicon(rows, scratch)
     prior = [0.0] * FEATURES + [math.log((n1 + 0.5) / (n0 + 0.5))]
     if not terms:
         return terms, prior
@@ -294,13 +320,12 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple
                 pa.array([lexicon.features(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64())),
                 batch.column(1)], ["x", "toxic"])
 
-    # At most fit_rows rows of 12 bytes: a proven bound for the broadcast.
-    sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = (text.join(F.broadcast(sample), "doc_id").select("text", "toxic")
-            .mapInArrow(run, "x array<double>, toxic int").collect())
-    if not rows:
-        return terms, prior
-    return terms, fit([r["x"] for r in rows], [r["toxic"] for r in rows])
+    # At most fit_rows ids: a proven bound for the broadcast.
+    sample = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    found = (rows.join(F.broadcast(sample), "doc_id").select("text", "toxic")
+             .mapInArrow(run, "x array<double>, toxic int").collect())
+    scratch.drop(rows)
+    return terms, fit([r["x"] for r in found], [r["toxic"] for r in found])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
