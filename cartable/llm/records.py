@@ -26,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import CACHE_PIECES, TwoAgeCache, _UNSURE, text_of
+from .bpe import TwoAgeCache, _UNSURE, text_of
 
 MASK = 0xA282EAD8  # fixed value of the masked-checksum convention
 MANIFEST = "part int, data string, offsets string, width int, n_docs bigint, n_tokens bigint, n_bytes bigint"
 CHUNK = 4 << 20
 DOCS_AT_ONCE = 64
+# Pieces in each age of a worker's cache; two ages of about 200 bytes a piece
+# bound it near 0.5 GB. A call of the library costs more than a lookup.
+PIECES_KEPT = 1_200_000
 
 
 def masked(data: bytes) -> int:
@@ -83,7 +86,7 @@ class LibraryEncoder:
         self.kind = np.dtype(f"<u{self.width}")
         self.cut = next(((t.content, i) for i, t in self.tok.get_added_tokens_decoder().items()
                          if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
-        self.cache = TwoAgeCache(None, CACHE_PIECES)
+        self.cache = TwoAgeCache(None, PIECES_KEPT)
 
     def pack(self, texts: list[str]) -> list[bytes]:
         import numpy as np
