@@ -198,9 +198,9 @@ def calibrated_proba(members, df: DataFrame, out: str = "proba") -> DataFrame:
 
 def vote_labels(probas: list[Column], classes: list[str]) -> Column:
     """M10 on one row: most frequent arg-max class; ties go to class order."""
-    votes = F.array(*[argmax_label(p, classes) for p in probas])
-    counts = F.array(*[F.size(F.filter(votes, lambda v, c=c: v == c)).cast("double") for c in classes])
-    return argmax_label(counts, classes)
+    won = [argmax_label(p, classes) for p in probas]
+    counts = [sum((F.when(w == c, 1.0).otherwise(0.0) for w in won[1:]), F.when(won[0] == c, 1.0).otherwise(0.0)) for c in classes]
+    return argmax_label(F.array(*counts), classes)
 
 
 # ------------------------------------------------ Complement Naive Bayes
