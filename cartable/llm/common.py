@@ -1,6 +1,9 @@
 """Shared pieces of the corpus operators: scratch tables, order, components."""
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +17,25 @@ from ..session import ensure_checkpoint_dir
 _ROW_BITS = 33
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package where they would not find it: tasks
+    import it, and a session may have been started from another folder."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    seen = [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or root in (os.path.abspath(p) for p in seen):
+        return
+    # The driver serves the archive to the executors.
+    base = os.path.join(tempfile.mkdtemp(prefix="cartable-"), "cartable")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "cartable"))
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
