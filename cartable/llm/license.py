@@ -117,3 +117,25 @@ def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col:
     units = units.select("doc_id", "u.unit", "u.digest").where("digest is not null")
     return (units.join(licenses, "digest").groupBy("doc_id", "license", "unit")
             .agg(F.count(F.lit(1)).alias("n")))
+
+
+def oracle() -> str:
+    """The scan of ``documents`` in DuckDB's SQL."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    rep = lambda x, pattern, new: f"regexp_replace({x}, {q(pattern)}, {new}, 'g')"
+    c = "chr(10) || lower(coalesce(raw, '')) || chr(10)"
+    c = rep(c, "\r\n?", "chr(10)")
+    c = rep(c, r"\n[ \t>*#/;%-]*(copyright|©|\(c\)|all rights reserved)[^\n]*", "chr(10)")
+    c = rep(c, "([a-z])[-‐‑–]([a-z])", q(r"\1\2"))
+    c = rep(c, r"[^\p{L}\p{N}\n]+", "' '")
+    for old, new in SPELLINGS.items():
+        c = rep(c, rf"\b{old}\b", q(new))
+    fold = lambda x: f"trim({rep(x, '[ ' + chr(10) + ']+', chr(39) + ' ' + chr(39))})"
+    known_rows = ", ".join(f"({q(n)}, {q(t)})" for n, t in [*TEXTS.items(), *((n, t) for n, ts in NOTICES.items() for t in ts)])
+    return f"""
+WITH known(license, raw) AS (VALUES {known_rows}),
+k AS (SELECT DISTINCT license, md5({fold('c')}) AS digest FROM (SELECT license, {c} AS c FROM known)),
+d AS (SELECT doc_id, {c} AS c FROM (SELECT doc_id, text AS raw FROM documents)),
+u AS (SELECT doc_id, 'text' AS unit, {fold('c')} AS f FROM d
+  UNION ALL SELECT doc_id, 'line', {fold('l')} FROM (SELECT doc_id, unnest(string_split(c, chr(10))) AS l FROM d))
+SELECT doc_id, license, unit, count(*) AS n FROM u JOIN k ON md5(u.f) = k.digest WHERE u.f <> '' GROUP BY ALL"""

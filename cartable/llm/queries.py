@@ -50,6 +50,9 @@ def op5_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents"), license.known(spark))
 
 
+ORACLES["op5_license_digests"] = license.oracle()
+
+
 @_query
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Scratch(spark, "op6").path("records")
