@@ -21,20 +21,22 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from itertools import filterfalse
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import TwoAgeCache, _UNSURE, text_of
+from .bpe import STABLE_BELOW, TwoAgeCache, text_of
 
 MASK = 0xA282EAD8  # fixed value of the masked-checksum convention
 MANIFEST = "part int, data string, offsets string, width int, n_docs bigint, n_tokens bigint, n_bytes bigint"
 CHUNK = 4 << 20
 DOCS_AT_ONCE = 64
 # Pieces in each age of a worker's cache; two ages of about 200 bytes a piece
-# bound it near 0.5 GB. A call of the library costs more than a lookup.
-PIECES_KEPT = 1_200_000
+# bound it near 0.4 GB. A call of the library costs more than a lookup.
+PIECES_KEPT = 900_000
+MARKS = ".,;:!?"
 
 
 def masked(data: bytes) -> int:
@@ -87,6 +89,7 @@ class LibraryEncoder:
         self.cut = next(((t.content, i) for i, t in self.tok.get_added_tokens_decoder().items()
                          if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
         self.cache = TwoAgeCache(None, PIECES_KEPT)
+        self.marks = dict(zip(MARKS, self.pack(list(MARKS)), strict=True))
 
     def pack(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -110,14 +113,24 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, in this encoder's width."""
-        cut = [t.split(" ") for t in texts]
-        whole = [len(c) == 1 or not c[0] or not c[-1] or _UNSURE.search(t) is not None for c, t in zip(cut, texts, strict=True)]
-        cache = self.cache
-        used = set().union(*(c[1:] for c, w in zip(cut, whole, strict=True) if not w))
-        new = [p for p in used if p not in cache]
+        cache, cut = self.cache, [t.split(" ") for t in texts]
+        used = set().union(*(c[1:] for c in cut))
+        new = list(filterfalse(cache.__contains__, used))
+        # White space at an end of a piece stands next to a space: the text is
+        # then encoded whole. Only sound pieces are kept, so old ones need no look.
+        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        whole = [not c[0] or c[0][-1].isspace() or bool(odd) and not odd.isdisjoint(c) for c in cut]
         again = [p for p in new if p in cache.old]
-        fresh = [p for p in new if p not in cache.old]
-        known = {p: cache.old[p] for p in again} | dict(zip(fresh, self.pieces(fresh), strict=True))
+        fresh = [p for p in new if p not in cache.old and p not in odd]
+        known = {p: cache.old[p] for p in again}
+        # Letters and one mark behind them are two pre-tokens, so the mark's ids
+        # follow those of the word, which is often known already.
+        marked = {p: p[:-1] for p in fresh if p[-1] in MARKS and p[:-1].isalpha() and max(p) < STABLE_BELOW}
+        stems = set(marked.values()).difference(known)
+        known.update((w, v) for w in stems if (v := cache.get(w) or cache.old.get(w)))
+        ask = [*{p for p in fresh if p not in marked} | {w for w in stems if w not in known}]
+        known.update(zip(ask, self.pieces(ask), strict=True))
+        known.update((p, known[w] + self.marks[p[-1]]) for p, w in marked.items())
         if len(cache) + len(known) > cache.limit:
             # The texts at hand may need pieces of the age that ends now.
             cache.old = dict(cache)
@@ -125,7 +138,8 @@ class LibraryEncoder:
             cache.update((p, cache.old[p]) for p in used if p in cache.old)
         cache.update(known)
         get = cache.__getitem__
-        return [self.pack([t])[0] if w else self.pack(c[:1])[0] + b"".join(map(get, c[1:]))
+        firsts = iter(self.pack([c[0] for c, w in zip(cut, whole, strict=True) if not w]))
+        return [(self.pack([t])[0] if t else b"") if w else next(firsts) + b"".join(map(get, c[1:]))
                 for t, c, w in zip(texts, cut, whole, strict=True)]
 
 
