@@ -29,7 +29,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 STABLE_BELOW = "԰"
 SCAN_MAX = 128
 NO_RANK = 1 << 30
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 _UNSURE = re.compile(r" \s|\s ")
 
 

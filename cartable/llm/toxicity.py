@@ -41,7 +41,8 @@ MIN_LOG_ODDS = 3.0
 WINDOW = 5
 FIT_ROWS = 20_000
 THRESHOLD = 0.7
-FLUSH = 200_000
+FLUSH = 100_000          # terms a task holds before it hands on its counts
+PIECES_KEPT = 100_000    # pieces in each age of a task's cache
 FEATURES = 8
 # Words that report speech and words of address, four languages.
 REPORTING = frozenset("said says say wrote writes called calls quoted quote reported according "
@@ -116,7 +117,7 @@ def clean_counts(rows: DataFrame, terms: set[str]) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        found = TwoAgeCache(lambda w: [t for t in terms_of(w) if t in terms])
+        found = TwoAgeCache(lambda w: [t for t in terms_of(w) if t in terms], PIECES_KEPT)
         docs: dict[str, int] = {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -181,7 +182,7 @@ class Lexicon:
             for at, end in zip(cuts, cuts[1:], strict=False):
                 self.parts.setdefault(end - at, {}).setdefault(body[at:end], set()).update(range(at - errors, at + errors + 1))
             self.reach.update(range(len(body) - errors, len(body) + errors + 1))
-        self.cache = TwoAgeCache(self._find)
+        self.cache = TwoAgeCache(self._find, PIECES_KEPT)
 
     @staticmethod
     def errors(term: str) -> int:
