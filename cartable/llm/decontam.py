@@ -6,7 +6,12 @@ benchmark items are hash-joined with those of all documents, so a question asked
 again with other numbers or names still meets its item. A pair is reported if
 the document holds at least ``COVER`` of the item's windows and its slots are
 consistent: each value of the item stands for one and the same value in the
-document in at least ``CONSISTENT`` of the places where they meet.
+document in at least ``CONSISTENT`` of the places where they meet. Both are judged
+for the whole document and for each occurrence of the item in it - windows that
+lie on one diagonal (place in the document minus place in the item), or on
+neighbouring ones - and one that passes is enough, so a second copy with other
+values never hides the first. Names are told apart by their value, numbers and
+units also by the word that follows them (3 apples, 3 days).
 
 * name: a capitalised word behind a lower-case letter, comma or semicolon and a
   space (so not the first word of a sentence);
@@ -15,14 +20,21 @@ document in at least ``CONSISTENT`` of the places where they meet.
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch
 
 W = 5
 COVER = 0.6
 CONSISTENT = 0.8
+WHOLE = "whole"
+MIN_LINE = -2 ** 31       # below every diagonal
+GROUP = ["doc_id", "item_id", "kind", "of", "key"]
 LITERALS = 2             # words that are no placeholders, in a window that counts
 BROADCAST_WINDOWS = 400_000  # rows of one 8-byte hash; beyond it the join shuffles
 
@@ -80,28 +92,68 @@ def _windows(words: str, lengths: list[int]) -> Column:
 
 
 def item_windows(items: DataFrame, scratch: Scratch, w: int) -> DataFrame:
-    """``(item_id, pos, n, hash, slots)`` of the windows that count: those with
+    """``(item_id, pos, n, length, hash, slots, next)`` of the windows that count: those with
     ``LITERALS`` words outside slots, or all if an item has none of these. An
     item of fewer than ``w`` words is one window."""
     words = items.select(F.col("item_id"), template_words(F.col("text")).alias("words"), valued_words(F.col("text")).alias("values"))
     words = words.where(F.size("words") > 0).withColumn("n", F.least(F.size("words"), F.lit(w)))
-    hashes = F.expr("transform(sequence(0, size(words) - n), i -> struct(i as pos, slice(words, i + 1, n) as w, slice(values, i + 1, n) as v))")
-    flat = words.select("item_id", "n", F.explode(hashes).alias("x")).select("item_id", "n", "x.pos", "x.w", "x.v")
+    words = words.withColumn("next", F.expr("concat(slice(values, 2, size(values)), array(''))"))
+    hashes = F.expr("transform(sequence(0, size(words) - n), i -> struct(i as pos, slice(words, i + 1, n) as w, "
+                    "slice(values, i + 1, n) as v, slice(next, i + 1, n) as next))")
+    flat = words.select("item_id", "n", F.size("words").alias("length"), F.explode(hashes).alias("x")).select(
+        "item_id", "n", "length", "x.pos", "x.w", "x.v", "x.next")
     hash_of = F.coalesce(*[F.when(F.col("n") == k, F.xxhash64(F.lit(k), *[F.col("w")[j] for j in range(k)])) for k in range(1, w + 1)])
     slots = F.transform("v", lambda x: F.when(is_slot(x), x))
-    flat = flat.select("item_id", "pos", "n", hash_of.alias("hash"), slots.alias("slots"),
+    flat = flat.select("item_id", "pos", "n", "length", hash_of.alias("hash"), slots.alias("slots"), "next",
                        (F.size(F.filter("w", lambda x: ~is_slot(x))) >= F.least(F.lit(LITERALS), F.col("n"))).alias("strong"))
     best = flat.groupBy("item_id").agg(F.max("strong").alias("any"))
     return scratch.write(flat.join(best, "item_id").where("strong = any").drop("any", "strong"), "items")
 
 
+def occurrences(meet: DataFrame) -> DataFrame:
+    """Rows of ``meet`` once for each group they are judged in: the whole
+    document, their diagonal, and their run of neighbouring diagonals (at most a
+    quarter of the item apart, so other names of more words, or a few words put
+    in, do not split an occurrence). Windows hold what one document and one item
+    share."""
+    pair = ["doc_id", "copy", "item_id"]
+    line = F.col("at") - F.col("pos")
+    meet = meet.withColumn("line", line)
+    gap = F.col("line") - F.lag("line").over(Window.partitionBy(*pair).orderBy("line"))
+    first = F.when(gap > F.greatest(F.lit(2), F.floor(F.col("length") / 4)), F.col("line"))
+    meet = meet.withColumn("first", first)
+    near = F.coalesce(F.max("first").over(Window.partitionBy(*pair).orderBy("line")), F.lit(MIN_LINE))
+    kinds = F.array(F.struct(F.lit(WHOLE).alias("kind"), F.lit(0).cast("bigint").alias("of"), F.lit(0).alias("key")),
+                    F.struct(F.lit("line").alias("kind"), F.col("copy").alias("of"), F.col("line").alias("key")),
+                    F.struct(F.lit("near").alias("kind"), F.col("copy").alias("of"), F.col("near").alias("key")))
+    return (meet.withColumn("near", near).select("doc_id", "item_id", "hash", "slots", "next", "v", F.explode(kinds).alias("g"))
+            .select("doc_id", "item_id", "g.kind", "g.of", "g.key", "hash", "slots", "next", "v"))
+
+
+def consistency(groups: DataFrame) -> DataFrame:
+    """Share of a group's slots that stand for one and the same value: over all
+    slots by value, or the lesser of that of names and that of numbers and units
+    by value and following word, whichever is greater."""
+    value = groups.distinct().select(*GROUP, F.explode(F.arrays_zip("slots", "next", "v")).alias("z")).where("z.slots is not null")
+    value = value.select(*GROUP, F.col("z.slots").alias("slot"), F.col("z.next").alias("next"), F.col("z.v").alias("value"))
+    name = F.substring("slot", 1, 1) == NAME
+    roles = F.array(F.struct(F.lit("all").alias("part"), F.lit("").alias("role")),
+                    F.struct(F.when(name, "names").otherwise("numbers").alias("part"),
+                             F.when(name, "").otherwise(F.col("next")).alias("role")))
+    each = value.withColumn("r", F.explode(roles)).groupBy(*GROUP, "r.part", "slot", "r.role", "value").agg(F.count(F.lit(1)).alias("c"))
+    most = each.groupBy(*GROUP, "part", "slot", "role").agg(F.max("c").alias("m"), F.sum("c").alias("c"))
+    share = most.groupBy(*GROUP, "part").agg((F.sum("m") / F.sum("c")).alias("share"))
+    of = lambda part: F.max(F.when(F.col("part") == part, F.col("share")))
+    return share.groupBy(*GROUP).agg(F.greatest(of("all"), F.least(of("names"), of("numbers"))).alias("consistency"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, w: int = W, cover: float = COVER, consistent: float = CONSISTENT,
                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                  item_text_col: str = "text") -> DataFrame:
     """``(doc_id, item_id, windows, coverage, consistency)`` of contaminated pairs.
 
-    ``coverage`` is the share of the item's distinct windows in the document,
-    ``consistency`` 1.0 for pairs without slots. Null, empty or word-less texts
+    ``coverage`` is the share of the item's distinct windows in the document (or,
+    if only an occurrence passes, in that), ``consistency`` 1.0 for pairs without slots. Null, empty or word-less texts
     and items match nothing; an item of fewer than ``w`` words must occur as a
     whole; rows that repeat an id count as one document; a null id is one
     document of its own; empty tables give an empty result; other columns are
@@ -132,24 +184,29 @@ def contaminated(docs: DataFrame, items: DataFrame, w: int = W, cover: float = C
         return pairs.select("doc_id", "item_id", "windows", "coverage", F.lit(1.0).alias("consistency"))
     pairs = scratch.write(pairs, "pairs")
 
-    # Slots: the windows of a pair that meet, with the values on either side.
+    # Slots: the windows of a pair that meet, with their places and the values on either side.
     held = docs.join(pairs.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(pairs["doc_id"]), "left_semi")
-    held = held.select("doc_id", template_words(F.col("text")).alias("words"), valued_words(F.col("text")).alias("values"))
-    parts = [F.expr(f"transform(sequence(0, size(words) - {n}), i -> struct(i as pos, {n} as n, slice(values, i + 1, {n}) as v))")
+    held = held.select("doc_id", F.xxhash64("text").alias("copy"), template_words(F.col("text")).alias("words"),
+                       valued_words(F.col("text")).alias("values"))
+    parts = [F.expr(f"transform(sequence(0, size(words) - {n}), i -> struct(i as pos, slice(values, i + 1, {n}) as v))")
              for n in lengths]
     parts = [F.when(F.size("words") >= n, p) for n, p in zip(lengths, parts, strict=True)]
     spots = held.withColumn("h", _windows("words", lengths)).withColumn(
-        "x", F.flatten(F.array_compact(F.array(*parts)))).select("doc_id", F.explode(F.arrays_zip("h", "x")).alias("z"))
-    spots = spots.select("doc_id", F.col("z.h").alias("hash"), F.col("z.x.v").alias("v")).where(
-        F.exists("v", is_slot)).distinct()
-    meet = (spots.join(own.select("item_id", "hash", "slots").distinct(), "hash")
+        "x", F.flatten(F.array_compact(F.array(*parts)))).select("doc_id", "copy", F.explode(F.arrays_zip("h", "x")).alias("z"))
+    spots = spots.select("doc_id", "copy", F.col("z.h").alias("hash"), F.col("z.x.pos").alias("at"), F.col("z.x.v").alias("v"))
+    meet = (spots.join(own, "hash")
             .join(pairs.select(F.col("doc_id").alias("d"), F.col("item_id").alias("t")),
                   F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("t")), "left_semi"))
-    value = meet.select("doc_id", "item_id", F.explode(F.arrays_zip("slots", "v")).alias("z")).where("z.slots is not null")
-    each = value.groupBy("doc_id", "item_id", F.col("z.slots").alias("slot"), F.col("z.v").alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    most = each.groupBy("doc_id", "item_id", "slot").agg(F.max("c").alias("m"), F.sum("c").alias("c"))
-    share = most.groupBy("doc_id", "item_id").agg((F.sum("m") / F.sum("c")).alias("consistency"))
-    p, s = pairs.alias("p"), share.alias("s")
-    out = p.join(s, F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("p.item_id") == F.col("s.item_id")), "left")
-    return out.select("p.doc_id", "p.item_id", "windows", "coverage",
-                      F.coalesce("consistency", F.lit(1.0)).alias("consistency")).where(F.col("consistency") >= consistent)
+    groups = scratch.write(occurrences(meet.distinct()), "groups")
+    covered = groups.groupBy(*GROUP).agg(F.count_distinct("hash").alias("windows")).join(total, "item_id")
+    shares = consistency(groups)
+    g, s = covered.alias("g"), shares.alias("s")
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"s.{c}")) for c in GROUP]
+    judged = g.join(s, reduce(and_, same), "left").select(
+        "g.doc_id", "g.item_id", "g.kind", (F.col("windows") / F.col("total")).alias("coverage"), "windows",
+        F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
+    judged = judged.where((F.col("coverage") >= cover) & (F.col("consistency") >= consistent))
+    # Whole document first, then the occurrence that covers most.
+    best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct(
+        (F.col("kind") == WHOLE).alias("whole"), "coverage", "consistency", "windows")).alias("b"))
+    return best.select("doc_id", "item_id", "b.windows", "b.coverage", "b.consistency")

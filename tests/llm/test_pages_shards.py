@@ -80,6 +80,20 @@ def test_templates(spark):
     assert decontam.contaminated(df, items.limit(0)).count() == 0
 
 
+def test_every_occurrence_is_judged(spark):
+    item = ("If a train leaves Boston with Mary at 60 km and then Mary walks 60 minutes more to reach the old station, "
+            "how far does she go before the 12 dogs find Peter?")
+    again = item.replace("Mary", "Anna").replace("60 km", "85 mi").replace("60 minutes", "85 hours").replace("12", "7")
+    more = item.replace("Mary", "Mary Ann").replace("60 km", "9 mi").replace("60 minutes", "9 hours").replace("Boston", "Rome")
+    odd = again.replace("Anna walks 85", "Berta walks 31")
+    roles = item.replace("60 km", "85 km").replace("60 minutes", "31 minutes")  # one number in two roles
+    docs = [(1, item + "\n" + again), (2, " ".join((again, more, item, again.replace("Anna", "Eve").replace("85", "4")))),
+            (3, odd), (4, roles), (5, odd + "\n" + odd), (6, odd), (6, item)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame([(10, item)], "item_id bigint, text string")
+    assert sorted(r.doc_id for r in decontam.contaminated(df, items).collect()) == [1, 2, 4, 6]
+
+
 def test_shuffled_join_gives_the_same(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     one = {tuple(r) for r in decontam.contaminated(docs, items).collect()}
