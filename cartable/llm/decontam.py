@@ -13,6 +13,17 @@ neighbouring ones - and one that passes is enough, so a second copy with other
 values never hides the first. Names are told apart by their value, numbers and
 units also by the word that follows them (3 apples, 3 days).
 
+A run of ``RUN`` or more words of an item on one diagonal, with consistent slots,
+counts whatever its share of the item. Documents and items have three templates:
+
+* plain: the slots below;
+* literal: no names (a lower-cased copy of an item with names meets it here; it
+  must hold ``COVER`` of the windows with names, too);
+* loose: every capitalised word is a name, also at a sentence start or behind a
+  digit, quote or bracket, and number words are numbers.
+
+Slots of the plain template:
+
 * name: a capitalised word behind a lower-case letter, comma or semicolon and a
   space (so not the first word of a sentence);
 * number: digits with inner points or commas, not part of a word;
@@ -31,10 +42,12 @@ from .common import Scratch
 
 W = 5
 COVER = 0.6
+RUN = 24                 # words of an item in a row that are a passage of it
 CONSISTENT = 0.8
 WHOLE = "whole"
 MIN_LINE = -2 ** 31       # below every diagonal
-GROUP = ["doc_id", "item_id", "kind", "of", "key"]
+GROUP = ["doc_id", "item_id", "form", "kind", "of", "key", "run"]
+FORMS = ("plain", "literal", "loose")
 LITERALS = 2             # words that are no placeholders, in a window that counts
 BROADCAST_WINDOWS = 400_000  # rows of one 8-byte hash; beyond it the join shuffles
 
@@ -50,8 +63,20 @@ MARKS = "\ue000-\ue002"
 # scan passes over other characters with one class test.
 _NAMES = r"(\p{Lu})(?<=[\p{Ll},;] \p{Lu})(\p{Ll}+)"
 _VALUE = r"(\d(?<![\p{L}\p{N}]\d)\d*(?:[.,]\d+)*)"
+_CAPITAL = r"(?<![\p{L}\p{N}\ue000])(\p{Lu}[\p{Ll}\p{M}]+)"
+# Number words without the articles among them, four languages.
+TENS = ("twenty thirty forty fifty sixty seventy eighty ninety vingt trente quarante cinquante soixante veinte treinta "
+        "cuarenta cincuenta sesenta setenta ochenta noventa zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig")
+ONES = ("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
+        "nineteen hundred thousand million deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize "
+        "cent mille zwei drei vier fünf sechs sieben acht neun zehn elf zwölf hundert tausend dos tres cuatro cinco seis siete "
+        "ocho nueve diez once doce trece catorce quince cien ciento mil")
+_ONE, _TEN = ("|".join(sorted(w.split(), key=len, reverse=True)) for w in (ONES, TENS))
+_COMPOUND = rf"(?i)(?<![\p{{L}}\p{{N}}])({_TEN})[ -]({_ONE})(?![\p{{L}}\p{{N}}])"
+_WORD_NUMBER = rf"(?i)(?<![\p{{L}}\p{{N}}])((?:{_TEN})(?:{_ONE})?|{_ONE})(?![\p{{L}}\p{{N}}])"
 _UNITS = _VALUE + r"[ -]?((?:" + "|".join(sorted(UNITS.split(), key=len, reverse=True)) + r")(?![\p{L}\p{N}])|[%°])"
 _MONEY = r"([$€£¥]) ?(?=\d)"
+_WORD_UNITS = (_WORD_NUMBER + r"[ -]((?:" + "|".join(sorted(UNITS.split(), key=len, reverse=True)) + r")(?![\p{L}\p{N}])|[%°])")
 _NUMBERS = _VALUE + r"(?![\p{L}\p{N}])"
 _SLOT = rf"([{MARKS}])[\p{{L}}\p{{N}}{SIGNS}]*(?:[.,]\d+)*"
 _BETWEEN = rf"[^\p{{L}}\p{{N}}{MARKS}]+"
@@ -60,22 +85,29 @@ _BETWEEN = rf"[^\p{{L}}\p{{N}}{MARKS}]+"
 _BETWEEN_VALUES = rf"(?:[^\p{{L}}\p{{N}}{MARKS}{SIGNS}.,]|[.,](?!\d)|(?<!\d)[.,]|(?<!{UNIT})[{SIGNS}])+"
 
 
-def marked(text: Column) -> Column:
+def marked(text: Column, form: str = "plain") -> Column:
     """Lower-cased text in which every slot value follows its type's mark."""
-    t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), _NAMES, f"{NAME}$1$2"))
-    t = F.regexp_replace(t, _MONEY, f" {UNIT}$1 ")
+    t = F.coalesce(text, F.lit(""))
+    if form == "plain":
+        t = F.regexp_replace(t, _NAMES, f"{NAME}$1$2")
+    if form == "loose":
+        t = F.regexp_replace(t, _COMPOUND, "$1$2")
+        t = F.regexp_replace(t, _WORD_UNITS, f"{NUMBER}$1 {UNIT}$2 ")
+        t = F.regexp_replace(t, _WORD_NUMBER, f"{NUMBER}$1")
+        t = F.regexp_replace(t, _CAPITAL, f"{NAME}$1")
+    t = F.regexp_replace(F.lower(t), _MONEY, f" {UNIT}$1 ")
     t = F.regexp_replace(t, _UNITS, f"{NUMBER}$1 {UNIT}$2 ")
     return F.regexp_replace(t, _NUMBERS, f"{NUMBER}$1")
 
 
-def template_words(text: Column) -> Column:
+def template_words(text: Column, form: str = "plain") -> Column:
     """Words of the template; slots are their mark alone."""
-    return F.array_remove(F.split(F.regexp_replace(marked(text), _SLOT, " $1 "), _BETWEEN), "")
+    return F.array_remove(F.split(F.regexp_replace(marked(text, form), _SLOT, " $1 "), _BETWEEN), "")
 
 
-def valued_words(text: Column) -> Column:
+def valued_words(text: Column, form: str = "plain") -> Column:
     """The same words, slots with their values."""
-    return F.array_remove(F.split(marked(text), _BETWEEN_VALUES), "")
+    return F.array_remove(F.split(marked(text, form), _BETWEEN_VALUES), "")
 
 
 def is_slot(word: Column) -> Column:
@@ -92,49 +124,61 @@ def _windows(words: str, lengths: list[int]) -> Column:
 
 
 def item_windows(items: DataFrame, scratch: Scratch, w: int) -> DataFrame:
-    """``(item_id, pos, n, length, hash, slots, next)`` of the windows that count: those with
-    ``LITERALS`` words outside slots, or all if an item has none of these. An
-    item of fewer than ``w`` words is one window."""
-    words = items.select(F.col("item_id"), template_words(F.col("text")).alias("words"), valued_words(F.col("text")).alias("values"))
+    """``(item_id, form, pos, rank, n, length, hash, slots, next, named)`` of the windows
+    that count: those with ``LITERALS`` words outside slots, or all if the plain
+    template of an item has none of these. ``rank`` is their place among these.
+    An item of fewer than ``w`` words is one window. The literal and the loose
+    template count where they differ from the plain one; the loose one needs
+    ``COVER`` of its windows to count, as slots alone say nothing. ``named``
+    windows hold a name of the plain template literally."""
+    words = items.select("item_id", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("form"), template_words(F.col("text"), f).alias("words"), valued_words(F.col("text"), f).alias("values"))
+        for f in FORMS])).alias("f"), template_words(F.col("text")).alias("plain"))
+    words = words.select("item_id", "f.*", "plain").where((F.col("form") == FORMS[0]) | (F.col("words") != F.col("plain")))
     words = words.where(F.size("words") > 0).withColumn("n", F.least(F.size("words"), F.lit(w)))
     words = words.withColumn("next", F.expr("concat(slice(values, 2, size(values)), array(''))"))
     hashes = F.expr("transform(sequence(0, size(words) - n), i -> struct(i as pos, slice(words, i + 1, n) as w, "
-                    "slice(values, i + 1, n) as v, slice(next, i + 1, n) as next))")
-    flat = words.select("item_id", "n", F.size("words").alias("length"), F.explode(hashes).alias("x")).select(
-        "item_id", "n", "length", "x.pos", "x.w", "x.v", "x.next")
+                    "slice(values, i + 1, n) as v, slice(next, i + 1, n) as next, slice(plain, i + 1, n) as p))")
+    flat = words.select("item_id", "form", "n", F.size("words").alias("length"), F.explode(hashes).alias("x")).select(
+        "item_id", "form", "n", "length", "x.pos", "x.w", "x.v", "x.next", "x.p")
     hash_of = F.coalesce(*[F.when(F.col("n") == k, F.xxhash64(F.lit(k), *[F.col("w")[j] for j in range(k)])) for k in range(1, w + 1)])
     slots = F.transform("v", lambda x: F.when(is_slot(x), x))
-    flat = flat.select("item_id", "pos", "n", "length", hash_of.alias("hash"), slots.alias("slots"), "next",
+    flat = flat.select("item_id", "form", "pos", "n", "length", hash_of.alias("hash"), slots.alias("slots"), "next",
+                       ((F.col("form") == "literal") & F.array_contains("p", NAME)).alias("named"),
                        (F.size(F.filter("w", lambda x: ~is_slot(x))) >= F.least(F.lit(LITERALS), F.col("n"))).alias("strong"))
-    best = flat.groupBy("item_id").agg(F.max("strong").alias("any"))
-    return scratch.write(flat.join(best, "item_id").where("strong = any").drop("any", "strong"), "items")
+    best = flat.groupBy("item_id", "form").agg(F.max("strong").alias("any"), F.avg(F.col("strong").cast("int")).alias("share"))
+    own = flat.join(best, ["item_id", "form"]).where("strong = any").where(
+        (F.col("form") == FORMS[0]) | F.col("any") & ((F.col("form") != "loose") | (F.col("share") >= COVER)))
+    rank = F.row_number().over(Window.partitionBy("item_id", "form").orderBy("pos"))
+    return scratch.write(own.withColumn("rank", rank).drop("any", "share", "strong"), "items")
 
 
 def occurrences(meet: DataFrame) -> DataFrame:
     """Rows of ``meet`` once for each group they are judged in: the whole
-    document, their diagonal, and their run of neighbouring diagonals (at most a
-    quarter of the item apart, so other names of more words, or a few words put
-    in, do not split an occurrence). Windows hold what one document and one item
-    share."""
-    pair = ["doc_id", "copy", "item_id"]
-    line = F.col("at") - F.col("pos")
-    meet = meet.withColumn("line", line)
+    document, their diagonal, their run of windows on it, and their run of
+    neighbouring diagonals (at most a quarter of the item apart, so other names
+    of more words, or a few words put in, do not split an occurrence). Windows
+    hold what one document and one template of an item share."""
+    pair = ["doc_id", "copy", "item_id", "form"]
+    meet = meet.withColumn("line", F.col("at") - F.col("pos"))
     gap = F.col("line") - F.lag("line").over(Window.partitionBy(*pair).orderBy("line"))
-    first = F.when(gap > F.greatest(F.lit(2), F.floor(F.col("length") / 4)), F.col("line"))
-    meet = meet.withColumn("first", first)
+    meet = meet.withColumn("first", F.when(gap > F.greatest(F.lit(2), F.floor(F.col("length") / 4)), F.col("line")))
     near = F.coalesce(F.max("first").over(Window.partitionBy(*pair).orderBy("line")), F.lit(MIN_LINE))
-    kinds = F.array(F.struct(F.lit(WHOLE).alias("kind"), F.lit(0).cast("bigint").alias("of"), F.lit(0).alias("key")),
-                    F.struct(F.lit("line").alias("kind"), F.col("copy").alias("of"), F.col("line").alias("key")),
-                    F.struct(F.lit("near").alias("kind"), F.col("copy").alias("of"), F.col("near").alias("key")))
-    return (meet.withColumn("near", near).select("doc_id", "item_id", "hash", "slots", "next", "v", F.explode(kinds).alias("g"))
-            .select("doc_id", "item_id", "g.kind", "g.of", "g.key", "hash", "slots", "next", "v"))
+    run = F.col("rank") - F.row_number().over(Window.partitionBy(*pair, "line").orderBy("rank"))
+    meet = meet.withColumn("near", near).withColumn("run", run)
+    group = lambda kind, of, key, run: F.struct(F.lit(kind).alias("kind"), of.alias("of"), key.alias("key"), run.alias("run"))
+    copy, zero = F.col("copy"), F.lit(0)
+    kinds = F.array(group(WHOLE, zero.cast("bigint"), zero, zero), group("line", copy, F.col("line"), zero),
+                    group("run", copy, F.col("line"), F.col("run")), group("near", copy, F.col("near"), zero))
+    return (meet.select("doc_id", "item_id", "form", "n", "hash", "rank", "slots", "next", "named", "v", F.explode(kinds).alias("g"))
+            .select("doc_id", "item_id", "form", "g.*", "n", "hash", "rank", "slots", "next", "named", "v"))
 
 
 def consistency(groups: DataFrame) -> DataFrame:
     """Share of a group's slots that stand for one and the same value: over all
     slots by value, or the lesser of that of names and that of numbers and units
     by value and following word, whichever is greater."""
-    value = groups.distinct().select(*GROUP, F.explode(F.arrays_zip("slots", "next", "v")).alias("z")).where("z.slots is not null")
+    value = groups.drop("rank").distinct().select(*GROUP, F.explode(F.arrays_zip("slots", "next", "v")).alias("z")).where("z.slots is not null")
     value = value.select(*GROUP, F.col("z.slots").alias("slot"), F.col("z.next").alias("next"), F.col("z.v").alias("value"))
     name = F.substring("slot", 1, 1) == NAME
     roles = F.array(F.struct(F.lit("all").alias("part"), F.lit("").alias("role")),
@@ -153,7 +197,8 @@ def contaminated(docs: DataFrame, items: DataFrame, w: int = W, cover: float = C
     """``(doc_id, item_id, windows, coverage, consistency)`` of contaminated pairs.
 
     ``coverage`` is the share of the item's distinct windows in the document (or,
-    if only an occurrence passes, in that), ``consistency`` 1.0 for pairs without slots. Null, empty or word-less texts
+    if only an occurrence passes, in that; less than ``cover`` if it is a run of
+    ``RUN`` words), ``consistency`` 1.0 for pairs without slots. Null, empty or word-less texts
     and items match nothing; an item of fewer than ``w`` words must occur as a
     whole; rows that repeat an id count as one document; a null id is one
     document of its own; empty tables give an empty result; other columns are
@@ -162,32 +207,34 @@ def contaminated(docs: DataFrame, items: DataFrame, w: int = W, cover: float = C
     Texts are read, not shuffled: window hashes meet the items' hashes in a
     broadcast join while those are at most ``BROADCAST_WINDOWS`` (their number
     is checked; beyond it the join shuffles hashes). Texts are read a second
-    time for documents that cover an item with slots.
+    time for documents that may hold an item or a passage of it.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     own = item_windows(items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), scratch, w)
-    facts = own.agg(F.collect_set("n").alias("n"), F.count_distinct("hash").alias("c"),
-                    F.max(F.exists("slots", lambda x: x.isNotNull())).alias("slots")).first()
+    facts = own.agg(F.collect_set("n").alias("n"), F.count_distinct("hash").alias("c")).first()
     lengths = sorted(facts["n"]) or [w]
     hashes = own.select("hash").distinct()
     hashes = F.broadcast(hashes) if facts["c"] <= BROADCAST_WINDOWS else hashes
 
-    found = (docs.select("doc_id", template_words(F.col("text")).alias("words"))
-             .select("doc_id", F.explode(_windows("words", lengths)).alias("hash")))
+    found = docs.select("doc_id", *[template_words(F.col("text"), f).alias(f) for f in FORMS])
+    found = found.select("doc_id", F.explode(F.concat(_windows(FORMS[0], lengths), *[
+        F.when(F.col(f) == F.col(FORMS[0]), F.array().cast("array<bigint>")).otherwise(_windows(f, lengths))
+        for f in FORMS[1:]])).alias("hash"))
     met = scratch.write(found.join(hashes, "hash").distinct(), "met")
-    total = own.groupBy("item_id").agg(F.count_distinct("hash").alias("total"))
-    pairs = (met.join(own.select("item_id", "hash").distinct(), "hash").groupBy("doc_id", "item_id")
-             .agg(F.count(F.lit(1)).alias("windows")).join(total, "item_id")
-             .withColumn("coverage", F.col("windows") / F.col("total")).where(F.col("coverage") >= cover).drop("total"))
-    if not facts["slots"]:
-        return pairs.select("doc_id", "item_id", "windows", "coverage", F.lit(1.0).alias("consistency"))
-    pairs = scratch.write(pairs, "pairs")
+    total = own.groupBy("item_id", "form").agg(F.count_distinct("hash").alias("total"), F.count_distinct(F.when(F.col("named"), F.col("hash"))).alias("names"))
+    # A run has as many places of the item as its windows.
+    pairs = (met.join(own.select("item_id", "form", "hash", "rank"), "hash").groupBy("doc_id", "item_id", "form")
+             .agg(F.count_distinct("hash").alias("windows"), F.count_distinct("rank").alias("places"))
+             .join(total, ["item_id", "form"]).withColumn("coverage", F.col("windows") / F.col("total"))
+             .where((F.col("coverage") >= cover) | (F.col("places") >= RUN - w + 1)))
+    pairs = scratch.write(pairs.select("doc_id", "item_id", "form"), "pairs")
 
     # Slots: the windows of a pair that meet, with their places and the values on either side.
     held = docs.join(pairs.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(pairs["doc_id"]), "left_semi")
-    held = held.select("doc_id", F.xxhash64("text").alias("copy"), template_words(F.col("text")).alias("words"),
-                       valued_words(F.col("text")).alias("values"))
+    held = held.select("doc_id", F.xxhash64("text").alias("copy"), F.explode(F.array(*[
+        F.struct(template_words(F.col("text"), f).alias("words"), valued_words(F.col("text"), f).alias("values"))
+        for f in FORMS])).alias("f")).select("doc_id", "copy", "f.*").distinct()
     parts = [F.expr(f"transform(sequence(0, size(words) - {n}), i -> struct(i as pos, slice(values, i + 1, {n}) as v))")
              for n in lengths]
     parts = [F.when(F.size("words") >= n, p) for n, p in zip(lengths, parts, strict=True)]
@@ -195,17 +242,22 @@ def contaminated(docs: DataFrame, items: DataFrame, w: int = W, cover: float = C
         "x", F.flatten(F.array_compact(F.array(*parts)))).select("doc_id", "copy", F.explode(F.arrays_zip("h", "x")).alias("z"))
     spots = spots.select("doc_id", "copy", F.col("z.h").alias("hash"), F.col("z.x.pos").alias("at"), F.col("z.x.v").alias("v"))
     meet = (spots.join(own, "hash")
-            .join(pairs.select(F.col("doc_id").alias("d"), F.col("item_id").alias("t")),
-                  F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("t")), "left_semi"))
-    groups = scratch.write(occurrences(meet.distinct()), "groups")
-    covered = groups.groupBy(*GROUP).agg(F.count_distinct("hash").alias("windows")).join(total, "item_id")
+            .join(pairs.select(F.col("doc_id").alias("d"), F.col("item_id").alias("t"), F.col("form").alias("f")),
+                  F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("t")) & (F.col("form") == F.col("f")),
+                  "left_semi"))
+    # Templates of a document that agree in a window give it once.
+    meet = meet.dropDuplicates(["doc_id", "copy", "item_id", "form", "pos", "at"])
+    groups = scratch.write(occurrences(meet), "groups")
+    covered = groups.groupBy(*GROUP).agg(F.count_distinct("hash").alias("windows"), F.count_distinct(F.when(F.col("named"), F.col("hash"))).alias("named"),
+                                         (F.count(F.lit(1)) + F.max("n") - 1).alias("words")).join(total, ["item_id", "form"])
     shares = consistency(groups)
     g, s = covered.alias("g"), shares.alias("s")
     same = [F.col(f"g.{c}").eqNullSafe(F.col(f"s.{c}")) for c in GROUP]
     judged = g.join(s, reduce(and_, same), "left").select(
         "g.doc_id", "g.item_id", "g.kind", (F.col("windows") / F.col("total")).alias("coverage"), "windows",
+        (F.col("named") >= cover * F.col("names")).alias("named"), ((F.col("g.kind") == "run") & (F.col("words") >= RUN)).alias("passage"),
         F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
-    judged = judged.where((F.col("coverage") >= cover) & (F.col("consistency") >= consistent))
+    judged = judged.where(((F.col("coverage") >= cover) & F.col("named") | F.col("passage")) & (F.col("consistency") >= consistent))
     # Whole document first, then the occurrence that covers most.
     best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct(
         (F.col("kind") == WHOLE).alias("whole"), "coverage", "consistency", "windows")).alias("b"))

@@ -94,6 +94,22 @@ def test_every_occurrence_is_judged(spark):
     assert sorted(r.doc_id for r in decontam.contaminated(df, items).collect()) == [1, 2, 4, 6]
 
 
+def test_passages_and_names_anywhere(spark):
+    rng = random.Random(5)
+    long = " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(300))
+    word = ('Mary has three apples. Peter gives her 5 more. "Mary eats twenty-one days later (Peter watches). Mary sells the rest '
+            "of the apples. How many are left?")
+    swap = lambda t, *p: re.sub("|".join(a for a, _ in p), lambda m: dict(p)[m[0]], t)
+    other = swap(word, ("Mary", "Joan"), ("Peter", "Karl"), ("three", "nine"), ("5", "8"), ("twenty-one", "40"))
+    german = "dann ging der Hund mit dem Ball in das Haus und der Vater sah das Kind mit dem Brot auf der Bank"
+    docs = [(1, "before " + " ".join(long.split()[60:210]) + " after"), (2, other), (3, german.lower()),
+            (4, "x " + " ".join(long.split()[60:75])), (5, " ".join(long.split()[::2]))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame([(10, long), (11, word), (12, german)], "item_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontam.contaminated(df, items).collect())
+    assert got == [(1, 10), (2, 11), (3, 12)]
+
+
 def test_shuffled_join_gives_the_same(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     one = {tuple(r) for r in decontam.contaminated(docs, items).collect()}
