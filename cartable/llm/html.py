@@ -28,23 +28,79 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp
     small span strike strong sub sup time tt u var wbr""".split())
 RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noscript"))
-# Words of class, id and role attributes that mark what is not the article.
+# Words of class, id and role attributes that mark what is not the article, and
+# words beside them that name a place or a box: a name of both kinds alone is a
+# mark (site-footer), others only mention one (has-sidebar).
 MARKS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent
     notice notices alert popup modal newsletter subscribe sidebar menu navbar navigation nav breadcrumb breadcrumbs
     pagination pager share sharing social related recommended comments comment disqus respond footer complementary
     contentinfo search masthead""".split())
+PLACES = frozenset("""a access area article articles aside bar block body bottom box btn button buttons center col column
+    container content div entry first footer form global group header holder icon icons inline inner item items last left
+    link links list main media mobile module nav outer overlay page panel post posts primary right row secondary section
+    site slot small story sticky text thread title top unit widget widgets wrap wrapper""".split())
+# Elements whose start ends an open paragraph, heads' own elements,
+# and elements that end tags and implied ends do not reach out of.
+ENDS_P = frozenset("""address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer
+    form h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p plaintext pre search section summary table ul
+    xmp""".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes script style title noscript".split())
+TABLE = frozenset("table caption colgroup tbody thead tfoot tr td th".split())
+SCOPE = frozenset("table caption td th template object applet marquee button select svg math".split())
+LISTS = frozenset("ul ol menu dir dl".split())
+SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "optgroup": ("option", "optgroup"),
+        "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "tbody": ("tbody", "thead", "tfoot"),
+        "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot")}
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"([a-z])([A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
+def _ended(tag: str, closing: bool, open_: list[str]) -> int:
+    """How many open elements stay when this tag comes (HTML's implied ends): an
+    end tag ends what lies inside its element, the start of a block a paragraph,
+    a list or table part its sibling, anything that is no part of a head the head."""
+    n = len(open_)
+    if closing:
+        if tag in ("body", "html"):
+            return n
+        for i in range(n - 1, -1, -1):
+            x = open_[i]
+            if x == tag:
+                return i
+            if (x in SCOPE and not (tag in TABLE and x in TABLE)) or (tag in INLINE and x not in INLINE) or (
+                    tag in SAME and tag not in TABLE and x in LISTS):
+                return n
+        return n
+    if "head" in open_ and tag not in IN_HEAD:
+        n = open_.index("head")
+    if tag in ENDS_P:
+        for i in range(n - 1, -1, -1):
+            if open_[i] == "p":
+                n = i
+                break
+            if open_[i] in SCOPE:
+                break
+    if siblings := SAME.get(tag):
+        table = tag in TABLE
+        for i in range(n - 1, -1, -1):
+            x = open_[i]
+            if x in siblings:
+                return i
+            if x == "table" if table else x not in INLINE and x not in ("address", "div", "p", "option"):
+                break
+    return n
+
+
 def lines(html: str) -> list[tuple[str, bool]]:
     """Text lines outside skipped elements, and whether each lies in an article
     or main element."""
     out: list[tuple[str, bool]] = []
     parts: list[str] = []
-    skip_tag, skip_depth, main = "", 0, 0
+    open_: list[str] = []
+    skip, wrapper, main, seen = -1, False, 0, False  # place of the skipped element in open_, whether a mark made it one
     at, end = 0, len(html)
 
     def close():
@@ -56,8 +112,12 @@ def lines(html: str) -> list[tuple[str, bool]]:
     for_next = _TOKEN.search
     while at < end:
         m = for_next(html, at)
-        if not skip_depth:
-            parts.append(html[at:m.start() if m else end])
+        piece = html[at:m.start() if m else end]
+        if skip >= 0 and open_[skip] == "head" and len(open_) == skip + 1 and piece.strip():
+            del open_[skip:]  # text is no part of a head
+            skip = -1
+        if skip < 0:
+            parts.append(piece)
         if not m:
             break
         at, tag = m.end(), (m[2] or "").lower()
@@ -68,27 +128,45 @@ def lines(html: str) -> list[tuple[str, bool]]:
             stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
             at = stop.end() if stop else end
             continue
-        if skip_depth:
-            if tag == skip_tag:
-                skip_depth += -1 if closing else 1
-            continue
-        if tag not in INLINE:
+        if skip < 0 and tag not in INLINE:
             close()
-        if closing:
-            if tag in MAIN and main:
-                main -= 1
-        elif tag not in VOID and not m[3].endswith("/"):
-            if tag in SKIPPED or (tag == "header" and not main) or (m[3] and tag not in ("html", "body") and _marked(m[3])):
+        if (stay := _ended(tag, closing, open_)) < len(open_):
+            if skip < 0 and main and any(x in MAIN for x in open_[stay:]):
                 close()
-                skip_tag, skip_depth = tag, 1
-            elif tag in MAIN:
-                main += 1
+            if skip >= stay:
+                skip = -1
+            del open_[stay:]
+            main = sum(x in MAIN for x in open_) if main else 0
+        if closing or tag in VOID or m[3].endswith("/"):
+            continue
+        open_.append(tag)
+        if skip >= 0:
+            # A marked element that holds the page's first article is its wrapper.
+            if not (tag in MAIN and wrapper and not seen):
+                continue
+            skip = -1
+        if tag in SKIPPED or (tag == "header" and not main):
+            marked = structural = True
+        else:
+            structural = False
+            # Articles inside an article are its comments or teasers if marked so.
+            marked = bool(m[3]) and tag not in ("html", "body") and (tag not in MAIN or main > 0) and _marked(m[3])
+        if marked:
+            close()
+            skip, wrapper = len(open_) - 1, not structural
+        elif tag in MAIN:
+            main, seen = main + 1, True
     close()
     return out
 
 
 def _marked(attributes: str) -> bool:
-    return any(w in MARKS for m in _ATTR.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+    for m in _ATTR.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = _WORD.findall(_CAMEL.sub(r"\1-\2", name).lower() if not name.islower() else name)
+            if any(w in MARKS for w in words) and all(w in MARKS or w in PLACES or len(w) == 1 for w in words):
+                return True
+    return False
 
 
 def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:

@@ -160,6 +160,27 @@ def test_structure():
     assert html.main_text(shared + [("own", True)], shared) == "copied own"
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<html><head><title>t</title><meta charset=x><body><p>one<p>two", ["one", "two"]),
+    ("<head><title>t</title>\n<p>one", ["one"]),
+    ("<head><title>t</title>bare", ["bare"]),
+    ('<div><p class="ad">buy<p>one<p>two</div><p>three', ["one", "two", "three"]),
+    ('<div><p class="ad">buy <b>now</b></div>three', ["three"]),
+    ('<ul><li class="share">tweet<li>one<li>two</ul><p>three', ["one", "two", "three"]),
+    ('<ul><li class="share">tweet<ul><li>x</ul><li>one</ul>two', ["one", "two"]),
+    ('<select><option>a<option>b</select>one', ["one"]),
+    ('<article><div class="ad">buy</article><p>one', ["one"]),
+    ('<div class="content has-sidebar"><p>one</div>', ["one"]),
+    ('<article class="post has-comments"><p>one</article>', ["one"]),
+    ('<main id="search-results"><p>one</main>', ["one"]),
+    ('<div class="entry social-share-on"><p>one</div>', ["one"]),
+    ('<div class="sidebar"><p>x</p><article><p>one</article></div>', ["one"]),
+    ('<div class="site-footer">x</div><div id="cookie_notice-2">y</div><div class="a ad">z</div>one', ["one"]),
+    ('<article>one<div class="comments"><article>x</article></div>two</article>', ["one", "two"])])
+def test_implied_ends_and_whole_marks(source, want):
+    assert [t for t, _ in html.lines(source)] == want
+
+
 def test_common_is_a_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(300):
