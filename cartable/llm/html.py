@@ -15,11 +15,17 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from functools import reduce
 from html import unescape
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, ordered_index
+
+SPOOLED = 4096  # rows of a run that a task holds before it writes them to a file
+
 # HTML element classes.
 SKIPPED = frozenset("""nav footer aside form script style noscript template svg math button select option textarea
     iframe object embed applet canvas audio video head title menu dialog""".split())
@@ -229,59 +235,160 @@ def _alike(a: str, b: str) -> int:
     return n
 
 
+KEY = ("host", "path", "page_id", "digest")
+
+
+def edges(keys: DataFrame, buckets: int, scratch: Scratch) -> tuple[list, list]:
+    """Bounds that cut the pages, in the order of ``KEY``, into equal buckets, and
+    the pages beyond its edges that a bucket needs: ``(*KEY, bucket)`` of one page
+    of the run (adjacent pages with one host and html) before that of its first
+    page, and of the run after that of its last, if on the same host. All lists
+    have a few rows per bucket, whatever the number of pages."""
+    own = scratch.write(ordered_index(keys, list(KEY), scratch), "order")
+    n = own.count()
+    at = lambda places: {r["idx"]: r for r in own.where(F.col("idx").isin(list(places))).collect()} if places else {}
+    found = at({n * k // buckets for k in range(1, buckets)} if n else set())
+    bounds = [tuple(found[i][c] for c in KEY) for i in sorted(found)]
+    bounds = list(dict.fromkeys(bounds))
+    before = own.select((F.col("idx") + 1).alias("idx"), F.col("host").alias("h"), F.col("digest").alias("d"))
+    head = F.col("h").isNull() | (F.col("h") != F.col("host")) | (F.col("d") != F.col("digest"))
+    heads = own.join(before, "idx", "left").withColumn("head", F.when(head, F.col("idx")))
+    spans = sorted(heads.groupBy(bucket_of(bounds, keys).alias("b")).agg(
+        F.min("idx").alias("first"), F.max("idx").alias("last"), F.min("head").alias("low"), F.max("head").alias("high")).collect())
+    near, latest = [], None  # (bucket, own place, place beyond)
+    for s in spans:
+        start = s["first"] if s["low"] == s["first"] else latest
+        if start:
+            near.append((s["b"], s["first"], start - 1))
+        latest = latest if s["high"] is None else s["high"]
+    later = None
+    for s in reversed(spans):
+        if later is not None:
+            near.append((s["b"], s["last"], later))
+        later = later if s["low"] is None else s["low"]
+    rows = at({i for _, *two in near for i in two})
+    return bounds, [(*(rows[j][c] for c in KEY), b) for b, i, j in near if rows[i]["host"] == rows[j]["host"]]
+
+
+def bucket_of(bounds: list, keys: DataFrame) -> Column:
+    if not bounds:
+        return F.lit(0)
+    kinds = {f.name: f.dataType for f in keys.schema}
+    known = F.array(*[F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(KEY, x, strict=True)]) for x in bounds])
+    own = F.struct(*[F.col(c) for c in KEY])
+    return F.size(F.filter(known, lambda x: x <= own))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)``, one row per row of ``pages``.
 
     Null or empty html gives an empty text; a null url is a host of its own
-    name; pages with the same html are one page for pairing, so copies do not
-    delete each other; a page whose host has no other html in its partition is
-    settled by structure alone; repeated rows come back as often as they came;
-    other columns are not read. One shuffle: pages are range-partitioned by
-    (host, path), which splits a hot host, and paired while streaming; a task
-    holds three parsed pages.
+    name; adjacent pages with the same html are one page for pairing, so copies do
+    not delete each other; a page whose host has no other html is settled by
+    structure alone; repeated rows come back as often as they came; other columns
+    are not read. Partners follow from the order of (host, path, page_id, html)
+    alone, not from partitions: its keys are ordered first, and one shuffle of
+    the pages deals that order out in equal buckets, which split a hot host, with
+    the neighbours beyond the edges of each bucket. Pages are paired while
+    streaming; a task holds three parsed pages and spools the ids of long runs.
     """
     import pyarrow as pa
 
     def run(batches):
+        import pickle
+        import tempfile
         before = now = None  # groups of adjacent rows with the same host and html
+        bucket = None
         out: list[tuple] = []
 
         def finish(group, after):
-            host, path, _, parsed, rows, text = group
-            if text is None:
-                near = [g for g in (after, before) if g and g[0] == host]
-                other = max(near, key=lambda g: _alike(path, g[1]))[3] if near else None
-                group[5] = text = main_text(parsed, other)
+            host, path, _, parsed, rows, spool = group
+            if not rows and not spool:
+                return
+            near = [g for g in (after, before) if g and g[0] == host]
+            other = max(near, key=lambda g: _alike(path, g[1]))[3] if near else None
+            text = main_text(parsed, other)
+            if spool:
+                spool.seek(0)
+                left = spool.held
+                while left:
+                    ids = pickle.load(spool)
+                    left -= len(ids)
+                    yield _rows(pa, [(*r, text, len(text)) for r in ids], page_type)
+                spool.close()
             out.extend((*r, text, len(text)) for r in rows)
 
         for batch in batches:
-            for host, path, page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for b, host, path, page_id, url, html, beyond in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 html = html or ""
-                if now and now[0] == host and now[2] == html:
+                if b != bucket:
+                    if now:
+                        yield from finish(now, None)
+                    before, now, bucket = None, None, b
+                if not (now and now[0] == host and now[2] == html):
+                    group = [host, path, html, lines(html), [], None]
+                    if now:
+                        yield from finish(now, group)
+                        before = now
+                    now = group
+                if not beyond:
                     now[4].append((page_id, url))
-                    if len(now[4]) >= 4096:  # a long run of copies: one text for all
-                        finish(now, None)
-                        now[4].clear()
-                    continue
-                group = [host, path, html, lines(html), [(page_id, url)], None]
-                if now:
-                    finish(now, group)
-                    before = now
-                now = group
+                    if len(now[4]) >= SPOOLED:  # a long run of copies
+                        now[5] = now[5] or _Spool(tempfile.TemporaryFile())
+                        now[5].put(pickle.dumps(now[4]), len(now[4]))
+                        now[4] = []
             if out:
                 yield _rows(pa, out, page_type)
-                out = []
+                out.clear()
         if now:
-            finish(now, None)
+            yield from finish(now, None)
         if out:
             yield _rows(pa, out, page_type)
 
+    spark = pages.sparkSession
+    scratch = Scratch(spark, "pages")
     kind = pages.schema[id_col].dataType.simpleString()
     page_type = pa.int32() if kind == "int" else pa.string() if kind == "string" else pa.int64()
     keyed = pages.select(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"),
-                         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return (keyed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-            .mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint"))
+                         F.col(id_col).alias("page_id"), F.xxhash64(F.coalesce(html_col, F.lit(""))).alias("digest"),
+                         F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds, near = edges(scratch.write(keyed.select(*KEY), "keys"), buckets, scratch)
+    # Numbers whose hash partition is the bucket: each bucket has a task of its own.
+    free = (spark.range(64 * buckets).select(F.col("id").cast("int").alias("id")).groupBy(
+        F.expr(f"pmod(hash(id), {buckets})").alias("p")).agg(F.min("id").alias("id")).orderBy("p").collect())
+    deal = F.array(*[F.lit(r["id"]) for r in free])
+    keyed = keyed.withColumn("bucket", bucket_of(bounds, keyed))
+    if near:  # a few rows per bucket: a proven bound for the broadcast
+        fields = ", ".join(f"k_{f.name} {f.dataType.simpleString()}" for f in keyed.select(*KEY).schema)
+        beyond = spark.createDataFrame(near, f"{fields}, target int").groupBy(*[f"k_{c}" for c in KEY]).agg(
+            F.collect_list(F.struct(F.col("target").alias("bucket"), F.lit(True).alias("beyond"))).alias("targets"))
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in KEY])
+        joined = keyed.join(F.broadcast(beyond), same, "left")
+        here = F.array(F.struct("bucket", F.lit(False).alias("beyond")))
+        keyed = joined.withColumn("to", F.explode(F.when(F.col("targets").isNull(), here).otherwise(F.concat(here, "targets"))))
+        keyed = keyed.select(*KEY, "url", "html", "to.bucket", "to.beyond")
+    else:
+        keyed = keyed.withColumn("beyond", F.lit(False))
+    # Rows before the bucket's own sort first, rows behind it last, by their keys.
+    dealt = (keyed.withColumn("deal", deal[F.col("bucket") % len(free)]).repartition(buckets, "deal")
+             .sortWithinPartitions("bucket", *KEY))
+    return dealt.select("bucket", "host", "path", "page_id", "url", "html", "beyond").mapInArrow(
+        run, f"page_id {kind}, url string, text string, n_chars bigint")
+
+
+class _Spool:
+    """Pickled lists in a temporary file, and how many rows they hold."""
+
+    def __init__(self, file):
+        self.file, self.held = file, 0
+
+    def put(self, data: bytes, rows: int) -> None:
+        self.file.write(data)
+        self.held += rows
+
+    def __getattr__(self, name):
+        return getattr(self.file, name)
 
 
 def _rows(pa, out, page_type):

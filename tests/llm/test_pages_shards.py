@@ -160,6 +160,23 @@ def test_structure():
     assert html.main_text(shared + [("own", True)], shared) == "copied own"
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_partners_do_not_depend_on_partitions(spark, monkeypatch, parts):
+    monkeypatch.setattr(html, "SPOOLED", 8)
+    body = lambda h, k, x: f"<ul><li>menu {h}</li></ul><p>{x} {k}</p>"
+    rows = [(k, f"http://h{k % 3}.org/{k:03}", body(k % 3, k, "page")) for k in range(60)]
+    rows += [(100 + k, "http://h1.org/000", body(1, 0, "copy")) for k in range(50)]  # a long run, first on its host
+    rows += [(200 + k, f"http://z.org/{k}", body(9, k // 30, "run")) for k in range(60)] + [(None, "http://z.org/0", body(9, 0, "run"))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(7)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = sorted(((r.page_id or 0), r.text) for r in html.extract(df).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == sorted(((i or 0), re.search("<p>(.*)</p>", h)[1]) for i, _, h in rows)
+
+
 @pytest.mark.parametrize("source, want", [
     ("<html><head><title>t</title><meta charset=x><body><p>one<p>two", ["one", "two"]),
     ("<head><title>t</title>\n<p>one", ["one"]),
