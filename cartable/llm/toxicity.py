@@ -1,8 +1,8 @@
 """Toxicity of whole texts: a learned lexicon, misspellings by Levenshtein
 automata over its trie, and context windows that tell quotation from abuse.
 
-* **Lexicon.** Terms are word starts of ``STEMS`` letters and short whole words
-  (``word$``). A term enters if toxic training documents hold it far more often
+* **Lexicon.** Terms are word starts of ``STEMS`` letters and whole words of two
+  letters or more (``word$``). A term enters if toxic training documents hold it far more often
   than clean ones, in about as many different neighbourhoods as documents
   (copies of one text have one neighbourhood, so their rare words stay out).
   Counts cover every labelled training row; the rows are written once, terms
@@ -10,7 +10,10 @@ automata over its trie, and context windows that tell quotation from abuse.
   hold are then counted in the clean ones.
 * **Automaton.** The states of the Levenshtein automaton of a token - one bit
   mask of matched token positions per number of errors - are stepped along the
-  edges of the lexicon trie; a branch ends when no state is left. Tokens are
+  edges of the lexicon trie; a branch ends when no state is left. The trie holds
+  every whole word that allows errors, and the longest starts that many words
+  share, which accept whatever follows. A piece with digits or signs between its
+  letters is tried as a whole, too. Tokens are
   tried only if they hold a part of some term about where the term has it (e
   errors leave one of e + 1 parts intact); results are kept in a bounded cache.
 * **Context.** A hit is weighed by its window of ``WINDOW`` tokens: inside
@@ -31,11 +34,11 @@ from .bpe import TwoAgeCache
 from .common import Scratch
 
 STEMS = (4, 5, 6)
-WHOLE_MAX = 9            # longest word that is a term as a whole
+WHOLE_MIN = 2            # letters of the shortest word that is a term
 MIN_CONTEXTS = 5
 CONTEXTS_KEPT = 20       # smallest neighbourhood hashes a task keeps of a term
 VARIED = 0.5             # different neighbourhoods of a term, per document that holds it
-PRODUCTIVE = 3           # words of the lexicon with one start: the start is the term
+PRODUCTIVE = 3           # words of the lexicon with one start: the start is searched with errors, too
 MIN_SUPPORT = (5, 0.005)  # documents, and share of the toxic documents
 MIN_LOG_ODDS = 3.0
 WINDOW = 5
@@ -49,13 +52,14 @@ REPORTING = frozenset("said says say wrote writes called calls quoted quote repo
                       "dit écrit appelé selon sagte sagt schrieb nannte laut dijo dice escribió llamó según".split())
 ADDRESS = frozenset("you your yourself tu toi vous votre du dich dir ihr euch tú usted ustedes vosotros".split())
 OPENING, CLOSING = "\"“„«‘'([", "\"”“»’'])"
+EDGES = OPENING + CLOSING + ".,;:!?…-_*/"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(word: str) -> list[str]:
-    """Lexicon terms a word can hold: its starts, and itself if it is short."""
+    """Lexicon terms a word can hold: its starts, and itself."""
     out = [word[:k] for k in STEMS if len(word) >= k]
-    if 4 <= len(word) <= WHOLE_MAX:
+    if len(word) >= WHOLE_MIN:
         out.append(word + "$")
     return out
 
@@ -161,33 +165,43 @@ class Lexicon:
 
     def __init__(self, terms: dict[str, float]):
         self.terms = terms
-        self.trie: dict = {}
-        self.parts: dict[int, dict[str, set[int]]] = {}
-        self.reach: set[int] = set()
+        # One trie, and its parts, for each number of errors its terms allow.
+        self.tries: dict[int, dict] = {}
+        self.parts: dict[int, dict[int, dict[str, set[int]]]] = {}
+        self.reach: dict[int, set[int]] = {}
+        self.free: dict[int, int] = {}  # words of this length or more can hold a start
         starts: dict[str, int] = {}
         for term in terms:
             if term.endswith("$"):
                 for k in STEMS:
+                    if len(term) <= k:
+                        break
                     starts[term[:k]] = starts.get(term[:k], 0) + 1
         for term, weight in terms.items():
             body, errors = term.rstrip("$"), self.errors(term)
-            if not errors or any(starts[body[:k]] >= PRODUCTIVE for k in STEMS if len(body) > k):
-                continue  # starts of words match exactly, whatever follows them
-            node = self.trie
+            start = not term.endswith("$") and starts.get(term, 0) >= PRODUCTIVE
+            if start:
+                errors = self.errors(term + "$")
+            if not errors:
+                continue
+            node = self.tries.setdefault(errors, {})
             for c in body:
                 node = node.setdefault(c, {})
-            node[True] = max(node.get(True, (0, 0)), (errors, weight))
+            ends = False if start else True  # what follows a start is free
+            node[ends] = max(node.get(ends, (0, 0)), (errors, weight))
             # Of e + 1 parts, e errors leave one intact, moved by e places at most.
             cuts = [len(body) * k // (errors + 1) for k in range(errors + 2)]
             for at, end in zip(cuts, cuts[1:], strict=False):
-                self.parts.setdefault(end - at, {}).setdefault(body[at:end], set()).update(range(at - errors, at + errors + 1))
-            self.reach.update(range(len(body) - errors, len(body) + errors + 1))
+                self.parts.setdefault(errors, {}).setdefault(end - at, {}).setdefault(body[at:end], set()).update(range(at - errors, at + errors + 1))
+            self.reach.setdefault(errors, set()).update(range(len(body) - errors, len(body) + errors + 1))
+            if start:
+                self.free[errors] = min(self.free.get(errors, len(body)), len(body) - errors)
         self.cache = TwoAgeCache(self._find, PIECES_KEPT)
 
     @staticmethod
     def errors(term: str) -> int:
         """Errors a whole-word term allows; starts of words allow none, as any
-        longer word could hold one by chance."""
+        longer word could hold one by chance, unless many words share them."""
         if not term.endswith("$"):
             return 0
         return 0 if len(term) < 6 else 1 if len(term) < 10 else 2
@@ -203,44 +217,58 @@ class Lexicon:
             hit = (max(exact), 0) if exact else self.fuzzy(word)
             if hit and (best is None or (hit[1] == 0, hit[0]) > (best[1] == 0, best[0])):
                 best = hit
+        if best is None and not (core := piece.strip(EDGES)).isalpha():
+            best = self.fuzzy(core)  # digits or signs between the letters
         return best
 
-    def _worth_trying(self, word: str) -> bool:
-        if len(word) not in self.reach:
+    def _worth_trying(self, word: str, errors: int) -> bool:
+        size = len(word)
+        if size not in self.reach[errors] and size < self.free.get(errors, size + 1):
             return False
-        for n, parts in self.parts.items():
-            for i in range(len(word) - n + 1):
+        for n, parts in self.parts[errors].items():
+            for i in range(size - n + 1):
                 if (places := parts.get(word[i:i + n])) and i in places:
                     return True
         return False
 
     def fuzzy(self, word: str) -> tuple[float, int] | None:
-        """Best term within its allowed errors: trie walk of the automaton."""
-        if not self._worth_trying(word):
-            return None
+        """Best term within its allowed errors: trie walks of the automaton."""
         where: dict[str, int] = {}
-        for i, c in enumerate(word):
-            where[c] = where.get(c, 0) | 1 << i
-        full, end = (1 << len(word) + 1) - 1, 1 << len(word)
-        start = [1, 3, 7]  # e errors may skip the first e characters of the token
         best = None
-        stack = [(self.trie, start)]
+        for errors, trie in self.tries.items():
+            if not self._worth_trying(word, errors):
+                continue
+            if not where:
+                for i, c in enumerate(word):
+                    where[c] = where.get(c, 0) | 1 << i
+            found = self._walk(trie, errors, where, len(word))
+            if found and (best is None or (-found[1], found[0]) > (-best[1], best[0])):
+                best = found
+        return best
+
+    @staticmethod
+    def _walk(trie: dict, errors: int, where: dict[str, int], size: int) -> tuple[float, int] | None:
+        full, end = (1 << size + 1) - 1, 1 << size
+        best = None
+        stack = [(trie, [(2 << e) - 1 for e in range(errors + 1)])]  # e errors may skip the first e characters of the token
         while stack:
             node, state = stack.pop()
             for c, child in node.items():
-                if c is True:
+                if c is True or c is False:
                     allowed, weight = child
-                    e = next((e for e in range(allowed + 1) if state[e] & end), None)
+                    accepted = end if c else full  # behind a start any place will do
+                    e = next((e for e in range(allowed + 1) if state[e] & accepted), None)
                     if e is not None and (best is None or (-e, weight) > (-best[1], best[0])):
                         best = (weight, e)
                     continue
-                m, new = where.get(c, 0), []
-                for e in range(3):
-                    r = (state[e] & m) << 1
-                    if e:
-                        r |= state[e - 1] | state[e - 1] << 1 | new[e - 1] << 1
-                    new.append(r & full)
-                if new[2]:
+                m = where.get(c, 0)
+                last = (state[0] & m) << 1 & full
+                new = [last]
+                for e in range(1, errors + 1):
+                    before = state[e - 1]
+                    last = ((state[e] & m) << 1 | before | before << 1 | last << 1) & full
+                    new.append(last)
+                if last:
                     stack.append((child, new))
         return best
 

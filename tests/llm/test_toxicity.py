@@ -115,3 +115,14 @@ def test_held_out_accuracy(spark):
     seen = [got[i].predicted for i, t in held if t and any(w in docs[i] for w in ("idiot", "scum", "trash", "moron", "clown", "stupid",
                                                                                  "loser", "pathetic", "worthless", "disgusting"))]
     assert sum(clean) <= 0.02 * len(clean) and sum(seen) >= 0.95 * len(seen) > 5
+
+
+def test_every_whole_word_is_searched():
+    words = ["grombel", "grombeler", "grombeling", "grombeled", "disgusting", "zak"]
+    terms = {t: 5.0 for w in words for t in tx.terms_of(w)}
+    assert {"disgusting$", "zak$", "grombe"} <= set(terms)
+    find = tx.Lexicon(terms).find
+    assert find("zak,") == (5.0, 0) and find("zap") is None
+    for slip in ("gxombel", "gxombeler", "gormbeling", "dxsgusting", "dsgusting", "gr0mbel", "d!sgusting", "\"gr*mbel!\"", "grxmbelous"):
+        assert find(slip) and find(slip)[1] > 0, slip
+    assert find("gardens") is None and find("3.14159") is None
