@@ -162,7 +162,7 @@ def test_structure():
 
 @pytest.mark.parametrize("parts", [1, 3, 40])
 def test_partners_do_not_depend_on_partitions(spark, monkeypatch, parts):
-    monkeypatch.setattr(html, "SPOOLED", 8)
+    monkeypatch.setattr(html, "SPOOLED", 8, raising=False)
     body = lambda h, k, x: f"<ul><li>menu {h}</li></ul><p>{x} {k}</p>"
     rows = [(k, f"http://h{k % 3}.org/{k:03}", body(k % 3, k, "page")) for k in range(60)]
     rows += [(100 + k, "http://h1.org/000", body(1, 0, "copy")) for k in range(50)]  # a long run, first on its host
@@ -170,10 +170,12 @@ def test_partners_do_not_depend_on_partitions(spark, monkeypatch, parts):
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(7)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         got = sorted(((r.page_id or 0), r.text) for r in html.extract(df).collect())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == sorted(((i or 0), re.search("<p>(.*)</p>", h)[1]) for i, _, h in rows)
 
 
