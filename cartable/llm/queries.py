@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, embed, html, license, minhash, quality, records, repair, rollup, shard, toxicity
+from . import bpe, decontam, embed, html, license, minhash, quality, records, repair, rollup, shard, toxicity, trie
 from .common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +122,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_digests(repair.repair(rows, F.col("present")))
 
 
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op12")
+    return trie.prefix_trie(trie.rebuilt(trie.sequences(table(spark, sf_dir, "conversations"), scratch)), scratch)
+
+
+ORACLES["op12_prefix_trie"] = trie.ORACLE
+
+
 @_query
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
