@@ -1,7 +1,7 @@
 """Classifiers.
 
 * Spark ML estimators for logistic regression, linear SVM (one-vs-rest +
-  sigmoid calibration), random forest and gradient-boosted trees (one-vs-rest).
+  sigmoid calibration) and random forest. Boosted trees are in ``boosting``.
 * Complement Naive Bayes written as two aggregations over the long-form
   features (no vectors, SQL-checkable), including the weight normalisation
   Spark's own ``NaiveBayes`` lacks.
@@ -16,8 +16,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +25,7 @@ from .ranking import argmax_label, softmax
 
 MODEL_TYPES = ("logistic_regression", "linear_svc", "random_forest", "gradient_boosting",
                "complement_nb", "lightgbm", "xgboost", "ensemble_vote")
+BOOSTED = ("gradient_boosting", "lightgbm", "xgboost")
 
 
 # ----------------------------------------------------------- helpers
@@ -64,14 +64,9 @@ class ModelSpec:
     params: dict
 
 
-def leaves_to_depth(leaves: int) -> int:
-    """Depth of the smallest level-wise tree with at least ``leaves`` leaves."""
-    return max(1, math.ceil(math.log2(max(2, leaves))))
-
-
 def build_estimator(spec: ModelSpec, weight_sum: float, features: str = "features", label: str = "label_idx",
                     weight: str | None = "weight", seed: int = 42, classes: int = 4):
-    """The Spark ML estimator for a model spec.
+    """The Spark ML estimator for a model spec.
 
     ``C`` (inverse regularisation on the summed loss) becomes
     ``regParam = 1 / (C * weight_sum)``, where ``weight_sum`` is the sum of the
@@ -101,17 +96,6 @@ def build_estimator(spec: ModelSpec, weight_sum: float, features: str = "feature
         est = RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), featureSubsetStrategy="sqrt",
                                      maxDepth=int(depth), seed=int(p.get("random_state", seed)), **kw)
         return est.setWeightCol(wcol) if wcol else est
-    if spec.type in ("gradient_boosting", "lightgbm", "xgboost"):
-        iters = int(p.get("max_iter", p.get("n_estimators", 100)))
-        depth = p.get("max_depth")
-        if depth is None and "num_leaves" in p:
-            depth = leaves_to_depth(int(p["num_leaves"]))
-        # Node ids are kept, and one pass holds the histograms of a whole level.
-        gbt = GBTClassifier(maxIter=iters, stepSize=float(p.get("learning_rate", 0.1)),
-                            maxDepth=int(depth or 3), seed=int(p.get("random_state", seed)),
-                            cacheNodeIds=True, maxMemoryInMB=1024)
-        ovr = OneVsRest(classifier=gbt, parallelism=classes, **kw)
-        return ovr.setWeightCol(wcol) if wcol else ovr
     raise ValueError(f"unknown model type {spec.type!r}; available: {list(MODEL_TYPES)}")
 
 
@@ -136,7 +120,7 @@ def predict_proba(model, df: DataFrame, spec: ModelSpec, out: str = "proba") ->
     """Adds ``out: array<double>`` (class order) to ``df``; Spark's own output
     columns do not stay, so models can be chained on one frame."""
     scored = model.transform(df)
-    if spec.type in ("linear_svc", "gradient_boosting", "lightgbm", "xgboost"):
+    if spec.type == "linear_svc":
         proba = ovr_margin_probs(scored)
     else:
         proba = vector_to_array(F.col("probability"))

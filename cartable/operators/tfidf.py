@@ -293,6 +293,16 @@ def sparse_rows(long: DataFrame, ids: DataFrame | None, size: int, id_col: str =
     return grouped.select(id_col, to_vec("e").alias("features"))
 
 
+def feature_lists(long: DataFrame, ids: DataFrame, id_col: str = "id", idx_col: str = "idx",
+                  value_col: str = "weight") -> DataFrame:
+    """Long form -> ``(id, f, v)``: features in index order and, beside them, their
+    values; ids without any entry have empty lists."""
+    entry = F.struct(F.col(idx_col).cast("int").alias("i"), F.col(value_col).cast("double").alias("v"))
+    grouped = long.groupBy(id_col).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    return ids.select(id_col).join(grouped, id_col, "left").select(
+        id_col, F.coalesce("e.i", F.array().cast("array<int>")).alias("f"), F.coalesce("e.v", F.array().cast("array<double>")).alias("v"))
+
+
 def sklearn_idf(n: int, df: int) -> float:
     """Plain-Python smoothed IDF (used by tests)."""
     return math.log((1 + n) / (1 + df)) + 1.0

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.render import preprocess_params, render_text, split_separated
+from ..operators import boosting as BO
 from ..operators import metrics as MET
 from ..operators import models as MD
 from ..operators import split as SP
@@ -181,6 +182,10 @@ class Fitted:
             bounded = all(m.params.max_features is not None for m in self.featurizer.models)
             return MD.predict_complement_nb(long, self.model, self.classes, ids, bounded=bounded).select(
                 "id", "prediction", "proba")
+        if t in MD.BOOSTED:
+            rows = TF.feature_lists(long, ids)
+            pr = rows.select("id", self.model.probabilities(F.col("f"), F.col("v")).alias("proba"))
+            return pr.select("id", argmax_label(F.col("proba"), self.classes).alias("prediction"), "proba")
         vec = TF.sparse_rows(long, ids, self.featurizer.size)
         if t == "linear_svc":
             pr = MD.calibrated_proba(self.model, vec)
@@ -236,6 +241,10 @@ def fit_model_long(long: DataFrame, labels: DataFrame, cfg: dict, feat: Featuriz
     idx = {c: i for i, c in enumerate(classes)}
     lab = F.element_at(F.create_map(*[x for c, i in idx.items() for x in (F.lit(c), F.lit(float(i)))]), F.col("label"))
     rows = MET.with_class_weights(labels.select("id", "label")).withColumn("label_idx", lab)
+    if spec.type in MD.BOOSTED:
+        if spec.params.get("class_weight") != "balanced":
+            rows = rows.withColumn("weight", F.lit(1.0))
+        return Fitted(spec, classes, BO.fit_boosted(long, rows, len(classes), BO.boosting_params(spec.type, spec.params)), feat)
     if spec.type in ("linear_svc", "ensemble_vote"):
         rows = rows.join(SP.assign_folds(labels.select("id", "label"), k=3, seed=seed, out="_cal_fold").drop("label"), "id")
     cached = rows.join(TF.sparse_rows(long, labels.select("id"), feat.size), "id").cache()

@@ -7,9 +7,11 @@ checkpoint directory, ...) always win.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings this library relies on. They are applied only when the running
 # session does not define them already.
@@ -75,3 +77,41 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+class SharedTables:
+    """Tables written to a folder of their own under the shared folder: they cut
+    lineage like a checkpoint, and are deleted when no later step reads them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self._written = 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self._written += 1
+        path = f"{self.root}/{self._written:04d}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._shared_path = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let tasks import this package although their workers may have been started
+    from another folder: the driver serves an archive of its code, once."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or root in map(os.path.abspath, found):
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="cartable-"), "cartable")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "cartable"))
+    _SHIPPED.add(app)
