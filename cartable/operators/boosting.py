@@ -83,16 +83,16 @@ def feature_edges(long: DataFrame, idx: str = "idx", value: str = "weight", bins
     return edges.where(F.col("n") >= min_rows).drop("n")
 
 
-def binned_rows(long: DataFrame, labels: DataFrame, edges: DataFrame, idx: str = "idx", value: str = "weight") -> DataFrame:
-    """``(y, w, f, b)`` per row of ``labels(id, label_idx, weight)``: its features and the
-    bins of their values (number of edges below the value)."""
+def binned_rows(long: DataFrame, labels: DataFrame, edges: DataFrame, idx: str = "idx", value: str = "weight", keep=()) -> DataFrame:
+    """``(*keep, y, w, f, b)`` per row of ``labels(id, label_idx, weight)``: its features
+    and the bins of their values (number of edges below the value)."""
     bin_of = lambda v: F.size(F.filter("edges", lambda e: e < v))
     cells = (long.select("id", F.col(idx).cast("int").alias("idx"), F.col(value).cast("double").alias("_v")).join(edges, "idx")
              .select("id", F.struct("idx", bin_of(F.col("_v")).alias("bin")).alias("c")))
     rows = cells.groupBy("id").agg(F.array_sort(F.collect_list("c")).alias("c"))
     none = F.array().cast("array<int>")
     return labels.join(rows, "id", "left").select(
-        F.col("label_idx").cast("int").alias("y"), F.col("weight").cast("double").alias("w"),
+        *keep, F.col("label_idx").cast("int").alias("y"), F.col("weight").cast("double").alias("w"),
         F.coalesce("c.idx", none).alias("f"), F.coalesce("c.bin", none).alias("b"))
 
 

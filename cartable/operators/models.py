@@ -1,7 +1,8 @@
 """Classifiers.
 
 * Spark ML estimators for logistic regression, linear SVM (one-vs-rest +
-  sigmoid calibration) and random forest. Boosted trees are in ``boosting``.
+  sigmoid calibration). Boosted trees are in ``boosting``, random forests in
+  ``forest``.
 * Complement Naive Bayes written as two aggregations over the long-form
   features (no vectors, SQL-checkable), including the weight normalisation
   Spark's own ``NaiveBayes`` lacks.
@@ -16,7 +17,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,13 +67,12 @@ class ModelSpec:
 
 def build_estimator(spec: ModelSpec, weight_sum: float, features: str = "features", label: str = "label_idx",
                     weight: str | None = "weight", seed: int = 42, classes: int = 4):
-    """The Spark ML estimator for a model spec.
+    """The Spark ML estimator for a model spec.
 
     ``C`` (inverse regularisation on the summed loss) becomes
     ``regParam = 1 / (C * weight_sum)``, where ``weight_sum`` is the sum of the
     weights of the rows this estimator is fitted on. One-vs-rest models train
-    their classes side by side. Spark trees need a depth of at most 30, so a
-    random forest without one is refused (the presets state it).
+    their classes side by side.
     """
     p = dict(spec.params or {})
     balanced = p.get("class_weight") == "balanced"
@@ -89,13 +89,6 @@ def build_estimator(spec: ModelSpec, weight_sum: float, features: str = "feature
         ovr = OneVsRest(classifier=svc, parallelism=classes, **kw)
         # One-vs-rest hands the weight column to each binary model.
         return ovr.setWeightCol(wcol) if wcol else ovr
-    if spec.type == "random_forest":
-        depth = p.get("max_depth")
-        if not depth or int(depth) > 30:
-            raise ValueError("random_forest needs max_depth between 1 and 30")
-        est = RandomForestClassifier(numTrees=int(p.get("n_estimators", 100)), featureSubsetStrategy="sqrt",
-                                     maxDepth=int(depth), seed=int(p.get("random_state", seed)), **kw)
-        return est.setWeightCol(wcol) if wcol else est
     raise ValueError(f"unknown model type {spec.type!r}; available: {list(MODEL_TYPES)}")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.render import preprocess_params, render_text, split_separated
 from ..operators import boosting as BO
+from ..operators import forest as FO
 from ..operators import metrics as MET
 from ..operators import models as MD
 from ..operators import split as SP
@@ -25,8 +26,6 @@ from ..operators import tfidf as TF
 from ..operators.features import keyword_long, lemmatize, plural_lemma_dictionary
 from ..operators.ranking import ranked_probabilities
 
-# Spark's trees end at this depth; presets that ask for unlimited depth state it.
-MAX_DEPTH = 30
 # Iterations of Spark's OWLQN solver. Presets written for 2,000 passes of a
 # coordinate-descent solver state its own default, as the units differ.
 OWLQN_ITERATIONS = 100
@@ -41,7 +40,7 @@ PRESETS: dict[str, dict] = {
                   "model": _SVC},
     "tfidf_random_forest": {"features": {"type": "tfidf", "params": _TF10},
                             "model": {"type": "random_forest", "params": {
-                                "n_estimators": 300, "max_depth": MAX_DEPTH, "class_weight": "balanced",
+                                "n_estimators": 300, "class_weight": "balanced",
                                 "random_state": 42}}},
     "tfidf_gradient_boosting": {"features": {"type": "tfidf", "params": _TF10},
                                 "model": {"type": "gradient_boosting", "params": {
@@ -182,18 +181,19 @@ class Fitted:
             bounded = all(m.params.max_features is not None for m in self.featurizer.models)
             return MD.predict_complement_nb(long, self.model, self.classes, ids, bounded=bounded).select(
                 "id", "prediction", "proba")
-        if t in MD.BOOSTED:
+        if t in (*MD.BOOSTED, "random_forest"):
             rows = TF.feature_lists(long, ids)
-            pr = rows.select("id", self.model.probabilities(F.col("f"), F.col("v")).alias("proba"))
+            pr = self.model.predict(rows) if t == "random_forest" else rows.select(
+                "id", self.model.probabilities(F.col("f"), F.col("v")).alias("proba"))
             return pr.select("id", argmax_label(F.col("proba"), self.classes).alias("prediction"), "proba")
         vec = TF.sparse_rows(long, ids, self.featurizer.size)
         if t == "linear_svc":
             pr = MD.calibrated_proba(self.model, vec)
         elif t == "ensemble_vote":
-            # One frame: the three voters are chained, so features are built once.
+            # The linear voters are chained on one frame; the forest reads the rows as lists.
             lr, svm, rf = self.model
-            pr = MD.predict_proba(lr, vec, MD.ModelSpec("logistic_regression", {}), "_a")
-            pr = MD.predict_proba(rf, MD.calibrated_proba(svm, pr, "_b"), MD.ModelSpec("random_forest", {}), "_c")
+            pr = MD.calibrated_proba(svm, MD.predict_proba(lr, vec, MD.ModelSpec("logistic_regression", {}), "_a"), "_b")
+            pr = pr.join(rf.predict(TF.feature_lists(long, ids)).withColumnRenamed("proba", "_c"), "id")
             votes = [F.col(c) for c in ("_a", "_b", "_c")]
             if not self.gives_probabilities:
                 return pr.select("id", MD.vote_labels(votes, self.classes).alias("prediction"),
@@ -207,6 +207,9 @@ class Fitted:
         """Drop what the fit keeps cached."""
         if isinstance(self.model, DataFrame):
             self.model.unpersist()
+        for m in self.model if isinstance(self.model, tuple) else (self.model,):
+            if isinstance(m, FO.RandomForest):
+                m.release()
         self.featurizer.release()
 
 
@@ -221,7 +224,7 @@ def fit_model(train_docs: DataFrame, cfg: dict, seed: int = 42) -> Fitted:
 VOTER_SPECS = {
     "lr": MD.ModelSpec("logistic_regression", {"C": 1.0, "max_iter": 1000, "class_weight": "balanced"}),
     "svm": MD.ModelSpec("linear_svc", dict(_SVC["params"])),
-    "rf": MD.ModelSpec("random_forest", {"n_estimators": 200, "max_depth": MAX_DEPTH, "class_weight": "balanced"}),
+    "rf": MD.ModelSpec("random_forest", {"n_estimators": 200, "class_weight": "balanced"}),
 }
 
 
@@ -245,6 +248,12 @@ def fit_model_long(long: DataFrame, labels: DataFrame, cfg: dict, feat: Featuriz
         if spec.params.get("class_weight") != "balanced":
             rows = rows.withColumn("weight", F.lit(1.0))
         return Fitted(spec, classes, BO.fit_boosted(long, rows, len(classes), BO.boosting_params(spec.type, spec.params)), feat)
+    forest = lambda weighted, params: FO.fit_forest(
+        long, weighted, len(classes), feat.size, FO.forest_params({"random_state": seed, **params}))
+    if spec.type == "random_forest":
+        if spec.params.get("class_weight") != "balanced":
+            rows = rows.withColumn("weight", F.lit(1.0))
+        return Fitted(spec, classes, forest(rows, spec.params), feat)
     if spec.type in ("linear_svc", "ensemble_vote"):
         rows = rows.join(SP.assign_folds(labels.select("id", "label"), k=3, seed=seed, out="_cal_fold").drop("label"), "id")
     cached = rows.join(TF.sparse_rows(long, labels.select("id"), feat.size), "id").cache()
@@ -256,7 +265,7 @@ def fit_model_long(long: DataFrame, labels: DataFrame, cfg: dict, feat: Featuriz
     elif spec.type == "ensemble_vote":
         model = (MD.build_estimator(VOTER_SPECS["lr"], n, classes=k).fit(vec),
                  MD.fit_calibrated_svc(vec, VOTER_SPECS["svm"], k),
-                 MD.build_estimator(VOTER_SPECS["rf"], n, seed=seed, classes=k).fit(vec))
+                 forest(rows, VOTER_SPECS["rf"].params))
     else:
         model = MD.build_estimator(spec, n, classes=k).fit(vec)
     cached.unpersist()

@@ -18,7 +18,7 @@ SMALL = {"max_features": 300, "ngram_range": [1, 1], "min_df": 2}
 MODELS = {
     "logistic_regression": {"C": 1.0, "max_iter": 5, "class_weight": "balanced"},
     "linear_svc": {"C": 1.0, "max_iter": 5, "class_weight": "balanced"},
-    "random_forest": {"n_estimators": 3, "max_depth": 3, "class_weight": "balanced"},
+    "random_forest": {"n_estimators": 3, "class_weight": "balanced"},
     "gradient_boosting": {"max_iter": 2, "max_depth": 2},
     "lightgbm": {"n_estimators": 2, "num_leaves": 5, "class_weight": "balanced"},
     "xgboost": {"n_estimators": 2, "max_depth": 2},
@@ -138,8 +138,8 @@ def test_estimator_settings():
     spec = MD.ModelSpec("linear_svc", {"C": 2.0, "max_iter": 2000})
     svc = MD.build_estimator(spec, 50).getClassifier()
     assert svc.getMaxIter() == 2000 and abs(svc.getRegParam() - 0.01) < 1e-12
-    with pytest.raises(ValueError, match="max_depth"):
-        MD.build_estimator(MD.ModelSpec("random_forest", {"max_depth": None}), 50)
+    with pytest.raises(ValueError, match="unknown model type"):
+        MD.build_estimator(MD.ModelSpec("forest", {}), 50)
 
 
 def test_confusion_of_quoted_class_names(spark):
