@@ -1,8 +1,7 @@
 """Classifiers.
 
-* Spark ML estimators for logistic regression, linear SVM (one-vs-rest +
-  sigmoid calibration). Boosted trees are in ``boosting``, random forests in
-  ``forest``.
+* Spark ML's logistic regression. The calibrated linear SVM is in ``svm``, boosted
+  trees are in ``boosting``, random forests in ``forest``.
 * Complement Naive Bayes written as two aggregations over the long-form
   features (no vectors, SQL-checkable), including the weight normalisation
   Spark's own ``NaiveBayes`` lacks.
@@ -17,7 +16,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,13 +65,12 @@ class ModelSpec:
 
 
 def build_estimator(spec: ModelSpec, weight_sum: float, features: str = "features", label: str = "label_idx",
-                    weight: str | None = "weight", seed: int = 42, classes: int = 4):
-    """The Spark ML estimator for a model spec.
+                    weight: str | None = "weight"):
+    """The Spark ML estimator for a model spec.
 
     ``C`` (inverse regularisation on the summed loss) becomes
     ``regParam = 1 / (C * weight_sum)``, where ``weight_sum`` is the sum of the
-    weights of the rows this estimator is fitted on. One-vs-rest models train
-    their classes side by side.
+    weights of the rows this estimator is fitted on.
     """
     p = dict(spec.params or {})
     balanced = p.get("class_weight") == "balanced"
@@ -83,12 +81,6 @@ def build_estimator(spec: ModelSpec, weight_sum: float, features: str = "feature
         est = LogisticRegression(family="multinomial", regParam=reg, elasticNetParam=0.0,
                                  standardization=False, maxIter=int(p.get("max_iter", 100)), **kw)
         return est.setWeightCol(wcol) if wcol else est
-    if spec.type == "linear_svc":
-        reg = 1.0 / (float(p.get("C", 1.0)) * max(weight_sum, 1.0))
-        svc = LinearSVC(regParam=reg, maxIter=int(p.get("max_iter", 100)), standardization=False)
-        ovr = OneVsRest(classifier=svc, parallelism=classes, **kw)
-        # One-vs-rest hands the weight column to each binary model.
-        return ovr.setWeightCol(wcol) if wcol else ovr
     raise ValueError(f"unknown model type {spec.type!r}; available: {list(MODEL_TYPES)}")
 
 
@@ -102,77 +94,14 @@ def sized_partitions(cached: DataFrame, target_bytes: int = 32 << 20) -> DataFra
     return cached.coalesce(max(1, math.ceil(size / target_bytes)))
 
 
-def ovr_margin_probs(pred: DataFrame, scale: float = 2.0) -> Column:
-    """One-vs-rest models give per-class margins, not probabilities:
-    ``sigmoid(scale * margin)`` per class, rows normalised."""
-    m = vector_to_array(F.col("rawPrediction"))
-    return normalize_rows(F.transform(m, lambda x: sigmoid(F.lit(scale) * x)))
-
-
 def predict_proba(model, df: DataFrame, spec: ModelSpec, out: str = "proba") -> DataFrame:
     """Adds ``out: array<double>`` (class order) to ``df``; Spark's own output
     columns do not stay, so models can be chained on one frame."""
     scored = model.transform(df)
-    if spec.type == "linear_svc":
-        proba = ovr_margin_probs(scored)
-    else:
-        proba = vector_to_array(F.col("probability"))
-    return scored.withColumn(out, proba).drop("rawPrediction", "probability", "prediction")
-
-
-# --------------------------------------------------- Platt calibration
-def platt_rows(scored: DataFrame, margin: Column, positive: Column) -> DataFrame:
-    """``(mc, yc, wc)``: each example as a weighted positive and a weighted
-    negative row, whose weights are Platt's smoothed targets
-    ``(N+ + 1) / (N+ + 2)`` for positives and ``1 / (N- + 2)`` for negatives."""
-    one = scored.select(margin.alias("mc"), positive.cast("int").alias("pos"))
-    n = one.agg(F.sum("pos").alias("p"), F.count(F.lit(1)).alias("n")).first()  # two numbers
-    n_pos = int(n["p"] or 0)
-    n_neg = int(n["n"]) - n_pos
-    target = F.when(F.col("pos") == 1, (n_pos + 1.0) / (n_pos + 2.0)).otherwise(1.0 / (n_neg + 2.0))
-    return one.select("mc", F.explode(F.array(F.struct(F.lit(1.0).alias("yc"), target.alias("wc")),
-                                              F.struct(F.lit(0.0).alias("yc"), (1.0 - target).alias("wc")))).alias("r")
-                      ).select("mc", "r.yc", "r.wc")
-
-
-def fit_platt(scored: DataFrame, margin: Column, positive: Column) -> tuple[float, float]:
-    """``(a, b)`` of ``sigmoid(a * margin + b)`` fitted on Platt's targets."""
-    from pyspark.ml.feature import VectorAssembler
-    rows = VectorAssembler(inputCols=["mc"], outputCol="x").transform(platt_rows(scored, margin, positive))
-    lr = LogisticRegression(featuresCol="x", labelCol="yc", weightCol="wc", regParam=0.0, maxIter=100, tol=1e-9).fit(rows)
-    return float(lr.coefficients[0]), float(lr.intercept)
-
-
-def fit_calibrated_svc(train: DataFrame, spec: ModelSpec, k_classes: int, folds: int = 3,
-                       features: str = "features", label: str = "label_idx", fold_col: str = "_cal_fold"):
-    """M02 + M03: for each of ``folds`` folds, fit the one-vs-rest SVM on the
-    other folds (class weights and regularisation of those rows alone), score
-    the held-out fold, and fit one sigmoid per class on its margins. Returns
-    the list of ``(svm model, [sigmoid (a, b) per class])``."""
-    from .metrics import with_class_weights
-    members = []
-    for f in range(folds):
-        part = with_class_weights(train.drop("weight").where(F.col(fold_col) != f), label=label)
-        weight_sum = part.agg(F.sum("weight")).first()[0] or 0.0
-        svm = build_estimator(spec, float(weight_sum), features, label, classes=k_classes).fit(part)
-        held = svm.transform(train.where(F.col(fold_col) == f)).select(
-            label, vector_to_array("rawPrediction").alias("m")).cache()
-        members.append((svm, [fit_platt(held, F.col("m")[c], F.col(label) == c) for c in range(k_classes)]))
-        held.unpersist()
-    return members
-
-
-def calibrated_proba(members, df: DataFrame, out: str = "proba") -> DataFrame:
-    """Adds the average over fold members of the row-normalised per-class
-    sigmoids: the members are chained on one frame, without joins."""
-    for j, (svm, sig) in enumerate(members):
-        scored = svm.transform(df).withColumn(f"_m{j}", vector_to_array("rawPrediction"))
-        p = F.array(*[sigmoid(F.lit(a) * F.col(f"_m{j}")[c] + F.lit(b)) for c, (a, b) in enumerate(sig)])
-        df = scored.withColumn(f"_p{j}", normalize_rows(p)).drop("rawPrediction", "prediction", f"_m{j}")
-    parts = [f"_p{j}" for j in range(len(members))]
-    return df.withColumn(out, mean_arrays([F.col(c) for c in parts])).drop(*parts)
+    return scored.withColumn(out, vector_to_array(F.col("probability"))).drop("rawPrediction", "probability", "prediction")
 
 
+# ----------------------------------------------------------------- votes
 def vote_labels(probas: list[Column], classes: list[str]) -> Column:
     """M10 on one row: most frequent arg-max class; ties go to class order."""
     won = [argmax_label(p, classes) for p in probas]

@@ -22,15 +22,13 @@ from ..operators import forest as FO
 from ..operators import metrics as MET
 from ..operators import models as MD
 from ..operators import split as SP
+from ..operators import svm as SV
 from ..operators import tfidf as TF
 from ..operators.features import keyword_long, lemmatize, plural_lemma_dictionary
 from ..operators.ranking import ranked_probabilities
 
-# Iterations of Spark's OWLQN solver. Presets written for 2,000 passes of a
-# coordinate-descent solver state its own default, as the units differ.
-OWLQN_ITERATIONS = 100
 # The experiment presets (feature + model parameters).
-_SVC = {"type": "linear_svc", "params": {"C": 1.0, "max_iter": OWLQN_ITERATIONS, "class_weight": "balanced"}}
+_SVC = {"type": "linear_svc", "params": {"C": 1.0, "max_iter": 2000, "class_weight": "balanced"}}
 _LR = {"type": "logistic_regression", "params": {"C": 1.0, "max_iter": 1000, "class_weight": "balanced"}}
 _TF = {"max_features": 15000, "ngram_range": [1, 2], "sublinear_tf": True, "min_df": 2}
 _TF10 = {"max_features": 10000, "ngram_range": [1, 2], "sublinear_tf": True, "min_df": 2}
@@ -181,19 +179,18 @@ class Fitted:
             bounded = all(m.params.max_features is not None for m in self.featurizer.models)
             return MD.predict_complement_nb(long, self.model, self.classes, ids, bounded=bounded).select(
                 "id", "prediction", "proba")
-        if t in (*MD.BOOSTED, "random_forest"):
+        if t in (*MD.BOOSTED, "random_forest", "linear_svc"):
             rows = TF.feature_lists(long, ids)
             pr = self.model.predict(rows) if t == "random_forest" else rows.select(
                 "id", self.model.probabilities(F.col("f"), F.col("v")).alias("proba"))
             return pr.select("id", argmax_label(F.col("proba"), self.classes).alias("prediction"), "proba")
         vec = TF.sparse_rows(long, ids, self.featurizer.size)
-        if t == "linear_svc":
-            pr = MD.calibrated_proba(self.model, vec)
-        elif t == "ensemble_vote":
-            # The linear voters are chained on one frame; the forest reads the rows as lists.
+        if t == "ensemble_vote":
             lr, svm, rf = self.model
-            pr = MD.calibrated_proba(svm, MD.predict_proba(lr, vec, MD.ModelSpec("logistic_regression", {}), "_a"), "_b")
-            pr = pr.join(rf.predict(TF.feature_lists(long, ids)).withColumnRenamed("proba", "_c"), "id")
+            lists = TF.feature_lists(long, ids)
+            pr = MD.predict_proba(lr, vec, MD.ModelSpec("logistic_regression", {}), "_a").select("id", "_a")
+            pr = pr.join(lists.select("id", svm.probabilities(F.col("f"), F.col("v")).alias("_b")), "id")
+            pr = pr.join(rf.predict(lists).withColumnRenamed("proba", "_c"), "id")
             votes = [F.col(c) for c in ("_a", "_b", "_c")]
             if not self.gives_probabilities:
                 return pr.select("id", MD.vote_labels(votes, self.classes).alias("prediction"),
@@ -254,20 +251,20 @@ def fit_model_long(long: DataFrame, labels: DataFrame, cfg: dict, feat: Featuriz
         if spec.params.get("class_weight") != "balanced":
             rows = rows.withColumn("weight", F.lit(1.0))
         return Fitted(spec, classes, forest(rows, spec.params), feat)
+    k, svm = len(classes), None
     if spec.type in ("linear_svc", "ensemble_vote"):
-        rows = rows.join(SP.assign_folds(labels.select("id", "label"), k=3, seed=seed, out="_cal_fold").drop("label"), "id")
+        folds = SP.assign_folds(labels.select("id", "label"), k=3, seed=seed, out="_cal_fold").drop("label")
+        params = spec.params if spec.type == "linear_svc" else VOTER_SPECS["svm"].params
+        svm = SV.fit_calibrated_svm(TF.feature_lists(long, labels), rows.join(folds, "id"), k, feat.size, params)
+        if spec.type == "linear_svc":
+            return Fitted(spec, classes, svm, feat)
     cached = rows.join(TF.sparse_rows(long, labels.select("id"), feat.size), "id").cache()
     n = cached.count()  # balanced weights sum to the number of rows
     vec = MD.sized_partitions(cached)
-    k = len(classes)
-    if spec.type == "linear_svc":
-        model = MD.fit_calibrated_svc(vec, spec, k)
-    elif spec.type == "ensemble_vote":
-        model = (MD.build_estimator(VOTER_SPECS["lr"], n, classes=k).fit(vec),
-                 MD.fit_calibrated_svc(vec, VOTER_SPECS["svm"], k),
-                 forest(rows, VOTER_SPECS["rf"].params))
+    if spec.type == "ensemble_vote":
+        model = (MD.build_estimator(VOTER_SPECS["lr"], n).fit(vec), svm, forest(rows, VOTER_SPECS["rf"].params))
     else:
-        model = MD.build_estimator(spec, n, classes=k).fit(vec)
+        model = MD.build_estimator(spec, n).fit(vec)
     cached.unpersist()
     return Fitted(spec, classes, model, feat)
 

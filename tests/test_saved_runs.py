@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cartable.operators import metrics as MET
 from cartable.operators import models as MD
+from cartable.operators import svm as SV
 from cartable.plans import jobs as J
 from cartable.plans.adapters import documents_as_tables
 from cartable.plans.saved import load_fitted, save_fitted
@@ -115,7 +116,7 @@ def test_run_is_recorded_from_its_start(spark, tables, tmpdir_path):
 def test_platt_targets(spark):
     margins = [(-2.0, 0), (-1.0, 0), (-0.5, 1), (0.3, 0), (0.8, 1), (2.0, 1), (2.5, 1), (3.0, 1)]
     df = spark.createDataFrame(margins, "m double, y int")
-    a, b = MD.fit_platt(df, F.col("m"), F.col("y") == 1)
+    a, b = SV.fit_platt(df, F.col("m"), F.col("y") == 1)
     n1, n0 = 5, 3
     x, y = 0.0, 0.0  # plain Newton on the smoothed targets
     for _ in range(200):
@@ -131,13 +132,14 @@ def test_platt_targets(spark):
         x, y = x - (h[1][1] * g[0] - h[0][1] * g[1]) / det, y - (h[0][0] * g[1] - h[1][0] * g[0]) / det
     assert abs(a - x) < 1e-4 and abs(b - y) < 1e-4
     sure = spark.createDataFrame([(-1.0, 0), (1.0, 1)] * 4, "m double, y int")
-    assert MD.fit_platt(sure, F.col("m"), F.col("y") == 1)[0] < 4  # separable margins do not diverge
+    assert SV.fit_platt(sure, F.col("m"), F.col("y") == 1)[0] < 4  # separable margins do not diverge
 
 
 def test_estimator_settings():
-    spec = MD.ModelSpec("linear_svc", {"C": 2.0, "max_iter": 2000})
-    svc = MD.build_estimator(spec, 50).getClassifier()
-    assert svc.getMaxIter() == 2000 and abs(svc.getRegParam() - 0.01) < 1e-12
+    lr = MD.build_estimator(MD.ModelSpec("logistic_regression", {"C": 2.0, "max_iter": 1000}), 50)
+    assert lr.getMaxIter() == 1000 and abs(lr.getRegParam() - 0.01) < 1e-12
+    assert J.PRESETS["tfidf_svm"]["model"]["params"]["max_iter"] == 2000
+    assert J.PRESETS["tfidf_random_forest"]["model"]["params"].get("max_depth") is None
     with pytest.raises(ValueError, match="unknown model type"):
         MD.build_estimator(MD.ModelSpec("forest", {}), 50)
 
