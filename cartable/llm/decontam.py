@@ -145,6 +145,7 @@ def item_windows(items: DataFrame, scratch: Scratch, w: int) -> DataFrame:
     slots = F.transform("v", lambda x: F.when(is_slot(x), x))
     flat = flat.select("item_id", "form", "pos", "n", "length", hash_of.alias("hash"), slots.alias("slots"), "next",
                        ((F.col("form") == "literal") & F.array_contains("p", NAME)).alias("named"),
+                       F.transform("w", lambda x: F.when(~is_slot(x), x)).alias("lits"),
                        (F.size(F.filter("w", lambda x: ~is_slot(x))) >= F.least(F.lit(LITERALS), F.col("n"))).alias("strong"))
     best = flat.groupBy("item_id", "form").agg(F.max("strong").alias("any"), F.avg(F.col("strong").cast("int")).alias("share"))
     own = flat.join(best, ["item_id", "form"]).where("strong = any").where(
@@ -153,6 +154,50 @@ def item_windows(items: DataFrame, scratch: Scratch, w: int) -> DataFrame:
     return scratch.write(own.withColumn("rank", rank).drop("any", "share", "strong"), "items")
 
 
+def _bigrams(words: str) -> Column:
+    """Hashes of adjacent words."""
+    return F.when(F.size(words) >= 2, F.transform(F.sequence(F.lit(0), F.size(words) - 2),
+                                                  lambda i: F.xxhash64(F.col(words)[i], F.col(words)[i + 1]))).otherwise(F.array().cast("array<bigint>"))
+
+
+def candidates(docs: DataFrame, own: DataFrame, scratch: Scratch, w: int, cover: float) -> DataFrame | None:
+    """Ids of the documents that may hold an item, or None if that cannot be told
+    without their templates.
+
+    Adjacent words that no template masks are adjacent in the lower-cased text, too.
+    A document with ``cover`` of an item's windows lacks at most the rest, so it
+    holds one of any larger set of them; a run of ``RUN`` words holds a whole block of
+    half as many windows. Of the windows those are taken whose rarest pair of adjacent
+    unmasked words is in the fewest documents, and these pairs are the anchors. A
+    window without such a pair comes last; if one has to be taken, every
+    document is looked at."""
+    pairs = F.expr("filter(transform(sequence(0, greatest(size(lits) - 2, 0)), i -> if(get(lits, i) is null or get(lits, i + 1) is null, "
+                   "null, xxhash64(get(lits, i), get(lits, i + 1)))), x -> x is not null)")
+    windows = own.select("item_id", "form", "rank", "hash", pairs.alias("pairs"))
+    known = windows.select(F.explode("pairs").alias("pair")).distinct()
+    known = F.broadcast(known) if known.count() <= BROADCAST_WINDOWS else known
+    words = docs.select("doc_id", F.array_remove(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"[^\p{L}\p{N}]+"), "").alias("words"))
+    seen = scratch.write(words.select("doc_id", F.explode(F.array_distinct(_bigrams("words"))).alias("pair")).join(known, "pair"), "pairs_seen")
+    often = seen.groupBy("pair").agg(F.count(F.lit(1)).alias("df"))
+    # The rarest pair of every window; a pair in no document is the best anchor of all.
+    rare = (windows.select("item_id", "form", "rank", "hash", F.explode_outer("pairs").alias("pair")).join(often, "pair", "left")
+            .groupBy("item_id", "form", "hash").agg(F.min("rank").alias("rank"), F.min(F.struct(
+                F.when(F.col("pair").isNull(), F.lit(2 ** 62)).otherwise(F.coalesce("df", F.lit(0))).alias("df"), "pair")).alias("best")))
+    item = Window.partitionBy("item_id", "form")
+    place = F.row_number().over(item.orderBy("best", "hash"))
+    need = F.floor((1 - cover) * F.count(F.lit(1)).over(item) + 1e-9) + 1
+    # Every window by its rank, for the runs: hashes that repeat have several ranks.
+    block = Window.partitionBy("item_id", "form", F.floor(F.col("rank") / max(1, (RUN - w + 2) // 2))).orderBy("best", "hash")
+    ranked = windows.select("item_id", "form", "rank", "hash").join(rare.select("item_id", "form", "hash", "best"), ["item_id", "form", "hash"])
+    long = ranked.withColumn("longest", F.max("rank").over(item)).where(F.col("longest") >= RUN - w)
+    taken = scratch.write(rare.withColumn("place", place).withColumn("need", need).where("place <= need").select("best")
+                          .unionByName(long.withColumn("first", F.row_number().over(block)).where("first = 1").select("best")), "anchors")
+    if not taken.where("best.pair is null").isEmpty():
+        return None
+    anchors = taken.select("best.pair").distinct()
+    return scratch.write(seen.join(anchors, "pair", "left_semi").select("doc_id").distinct(), "candidates")
+
+
 def occurrences(meet: DataFrame) -> DataFrame:
     """Rows of ``meet`` once for each group they are judged in: the whole
     document, their diagonal, their run of windows on it, and their run of
@@ -204,16 +249,22 @@ def contaminated(docs: DataFrame, items: DataFrame, w: int = W, cover: float = C
     document of its own; empty tables give an empty result; other columns are
     not read.
 
-    Texts are read, not shuffled: window hashes meet the items' hashes in a
+    Texts are read, not shuffled. A first pass looks at pairs of adjacent words only
+    (``candidates``); documents without an anchor of any item cannot match and are
+    not turned into templates. Of the others, window hashes meet the items' hashes in a
     broadcast join while those are at most ``BROADCAST_WINDOWS`` (their number
-    is checked; beyond it the join shuffles hashes). Texts are read a second
-    time for documents that may hold an item or a passage of it.
+    is checked; beyond it the join shuffles hashes). Texts are read again for
+    documents that may hold an item or a passage of it.
     """
     scratch = Scratch(docs.sparkSession, "decontam")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     own = item_windows(items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), scratch, w)
     facts = own.agg(F.collect_set("n").alias("n"), F.count_distinct("hash").alias("c")).first()
     lengths = sorted(facts["n"]) or [w]
+    maybe = candidates(docs, own, scratch, w, cover)
+    if maybe is not None:
+        docs = docs.join(maybe.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    own = own.drop("lits")
     hashes = own.select("hash").distinct()
     hashes = F.broadcast(hashes) if facts["c"] <= BROADCAST_WINDOWS else hashes
 

@@ -223,3 +223,29 @@ def test_op9_gives_the_articles(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = {r.page_id: r.text for r in QUERIES["op9_page_differencing"](spark, SF).collect()}
     assert got == {i: article(h) for i, h in pages.items()}
+
+
+def test_anchor_filter_keeps_every_document_that_can_match(spark, monkeypatch):
+    """With and without the first pass over pairs of words, the same pairs are found,
+    also for items that have no two literal words side by side."""
+    from cartable.llm import decontam
+    from cartable.llm.common import Scratch
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu".split()
+    story = " ".join(words[(i * i + 3 * i) % 12] + str("abc"[i % 3]) for i in range(60))
+    items = [(1, "If Anna has 12 apples and gives 3 apples to Bert, how many apples are left for Anna to eat?"), (2, story),
+             (3, "the 1 the 2 the 3 the 4 the 5 the 6 the 7"), (4, "two words")]
+    docs = [(1, items[0][1]), (2, items[0][1].replace("12", "99").replace("Anna", "Zoe")), (3, "x " + " ".join(story.split()[20:46]) + " y"),
+            (4, " ".join(story.split()[:20])), (5, items[2][1]), (6, "so two words it is"), (7, None), (8, ""), (9, "apples and pears " * 30),
+            (10, items[0][1].lower()), (11, items[0][1].upper()), (None, story)]
+    ds, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    own = decontam.item_windows(it, Scratch(spark, "t"), 5)
+    assert decontam.candidates(ds, own, Scratch(spark, "t"), 5, 0.6) is None  # item 3 has no anchor
+    some = it.where("item_id <> 3")
+    kept = decontam.candidates(ds, decontam.item_windows(some, Scratch(spark, "t"), 5), Scratch(spark, "t"), 5, 0.6)
+    assert {9, 8, 7} & {r.doc_id for r in kept.collect()} == set()
+    found = {frozenset(decontam.contaminated(ds, i).collect()) for i in (some,)}
+    everything = {frozenset(decontam.contaminated(ds, i).collect()) for i in (it,)}
+    monkeypatch.setattr(decontam, "candidates", lambda *a: None)
+    assert found == {frozenset(decontam.contaminated(ds, some).collect())}
+    assert everything == {frozenset(decontam.contaminated(ds, it).collect())}
+    assert {(None, 2), (1, 1), (2, 1), (3, 2)} <= {(r.doc_id, r.item_id) for f in found for r in f}
