@@ -112,7 +112,8 @@ def vote_labels(probas: list[Column], classes: list[str]) -> Column:
 # ------------------------------------------------ Complement Naive Bayes
 def fit_complement_nb(long: DataFrame, classes: list[str], alpha: float = 1.0, norm: bool = False,
                       label: str = "label", idx: str = "idx", value: str = "weight") -> DataFrame:
-    """Model table ``(idx, flp: array<double>)``, one row per feature.
+    """Model table ``(idx, flp: array<double>)``, one row per feature; cached, the
+    caller releases it.
 
     ``comp[c,t] = all[t] + alpha - count[c,t]``; ``logged = ln(comp / sum_t comp)``;
     weights are ``-logged`` or, with ``norm``, ``logged / sum_t logged``.
@@ -133,15 +134,18 @@ def fit_complement_nb(long: DataFrame, classes: list[str], alpha: float = 1.0, n
         flp = [F.col(f"l{i}") / F.lit(float(lsum[f"t{i}"])) for i in range(k)]
     else:
         flp = [-F.col(f"l{i}") for i in range(k)]
-    return logged.select(idx, F.array(*flp).alias("flp"))
+    model = logged.select(idx, F.array(*flp).alias("flp")).cache()
+    model.count()
+    comp.unpersist()
+    return model
 
 
 def predict_complement_nb(long: DataFrame, model: DataFrame, classes: list[str], ids: DataFrame,
                           id_col: str = "id", idx: str = "idx", value: str = "weight",
                           bounded: bool = False) -> DataFrame:
     """Joint log-likelihood ``X @ flp`` per class, arg-max label and softmax
-    probabilities. The model has one row per feature: it is broadcast when
-    ``max_features`` bounds it, otherwise AQE decides from its measured size.
+    probabilities. The model has one row per feature: it is broadcast when the
+    caller has counted them (``bounded``), otherwise AQE decides from its measured size.
     Documents without features score 0 for every class."""
     k = len(classes)
     m = F.broadcast(model) if bounded else model

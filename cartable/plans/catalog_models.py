@@ -216,12 +216,15 @@ def j03(spark, sf):
     return _flat_run(rec)
 
 
-def _benchmark_tables(spark, sf):
-    b = read_table(spark, sf, "benchmark")
+def _as_tables(b):
     return b.select(F.col("item_id").alias("id"),
                     F.transform(F.split("text", "\n"), lambda r: F.split(r, ", ")).alias("table_data"))
 
 
+def _benchmark_tables(spark, sf):
+    return _as_tables(read_table(spark, sf, "benchmark"))
+
+
 _BENCH_SQL = ("SELECT id, CAST(NULL AS VARCHAR) AS label, " + O.render("table_data") + " AS text FROM "
               "(SELECT item_id AS id, list_transform(string_split(text, chr(10)), lambda r: string_split(r, ', ')) "
               "AS table_data FROM benchmark)")
@@ -273,8 +276,8 @@ def j05(spark, sf):
 @register("j07_preset_sweep")
 def j07(spark, sf):
     return J.preset_sweep(documents_as_tables(spark, sf),
-                          ["tfidf_complement_nb", "entetes_seuls_logistic", "tfidf_separe_logistic",
-                           "features_explicites_logistic", "lemmatisation_logistic", "tfidf_chars"])
+                          ["tfidf_logistic", "tfidf_complement_nb", "entetes_seuls_logistic", "tfidf_separe_logistic",
+                           "features_explicites_logistic", "lemmatisation_logistic", "tfidf_chars", "tfidf_svm", "tfidf_random_forest"])
 
 
 @register("m03_platt_calibration")
@@ -312,21 +315,16 @@ def s15(spark, sf):
 
 @register("j08_stream_scoring", _j04_oracle)
 def j08(spark, sf):
-    """The benchmark table read as a file stream, each micro-batch scored by
-    a fitted Complement NB run, written per batch id; returns what was written."""
+    """The benchmark table read as a file stream, each micro-batch scored by a
+    saved Complement NB run, written per batch id; returns what was written."""
+    from ..streaming.scoring import start_scoring_stream
+    from .saved import save_fitted
     cfg = J.preset("tfidf_complement_nb")
     train, _ = _split_docs(spark, sf, cfg)
     fitted = J.fit_model(train, cfg)
     out = _shared_dir(spark, "j08")
-    stream = (spark.readStream.schema("item_id long, text string").option("pathGlobFilter", "benchmark.parquet")
-              .parquet(sf))
-
-    def handle(batch, batch_id):
-        tables = batch.select(F.col("item_id").alias("id"),
-                              F.transform(F.split("text", "\n"), lambda r: F.split(r, ", ")).alias("table_data"))
-        J.score(fitted, tables).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{out}-ckpt")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    save_fitted(fitted, f"{out}-run")
+    fitted.release()
+    start_scoring_stream(spark, f"{out}-run", None, sf, out, f"{out}-ckpt", schema="item_id long, text string", ranked=False,
+                         trigger_once=True, files="benchmark.parquet", prepare=_as_tables).awaitTermination()
     return spark.read.parquet(out).select("id", "label")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import copy
 import datetime
+import functools
 import json
 import time
 from dataclasses import dataclass, field
@@ -26,7 +27,10 @@ from ..operators import svm as SV
 from ..operators import tfidf as TF
 from ..operators.features import keyword_long, lemmatize, plural_lemma_dictionary
 from ..operators.ranking import ranked_probabilities
+from ..session import side_by_side
 
+# Folds of a cross-validation, and presets of a sweep, that run side by side.
+PARALLEL_FOLDS = 4
 # The experiment presets (feature + model parameters).
 _SVC = {"type": "linear_svc", "params": {"C": 1.0, "max_iter": 2000, "class_weight": "balanced"}}
 _LR = {"type": "logistic_regression", "params": {"C": 1.0, "max_iter": 1000, "class_weight": "balanced"}}
@@ -176,7 +180,7 @@ class Fitted:
         from ..operators.ranking import argmax_label
         t = self.spec.type
         if t == "complement_nb":
-            bounded = all(m.params.max_features is not None for m in self.featurizer.models)
+            bounded = self.featurizer.size <= TF.BROADCAST_VOCAB_MAX
             return MD.predict_complement_nb(long, self.model, self.classes, ids, bounded=bounded).select(
                 "id", "prediction", "proba")
         if t in (*MD.BOOSTED, "random_forest", "linear_svc"):
@@ -236,7 +240,7 @@ def fit_model_long(long: DataFrame, labels: DataFrame, cfg: dict, feat: Featuriz
     classes = sorted(r.label for r in labels.select("label").distinct().collect())  # bounded: classes
     if spec.type == "complement_nb":
         model = MD.fit_complement_nb(long.join(labels, "id"), classes, float(spec.params.get("alpha", 1.0)),
-                                     bool(spec.params.get("norm", False))).cache()
+                                     bool(spec.params.get("norm", False)))
         return Fitted(spec, classes, model, feat)
     idx = {c: i for i, c in enumerate(classes)}
     lab = F.element_at(F.create_map(*[x for c, i in idx.items() for x in (F.lit(c), F.lit(float(i)))]), F.col("label"))
@@ -297,38 +301,48 @@ def cross_validate(tv_docs: DataFrame, cfg: dict, k: int, seed: int = 42) -> Dat
     folds = SP.assign_folds(tv_docs.select("id", "label"), k=k, seed=seed).drop("label")
     folded = tv_docs.join(folds, "id").cache()
     spark = tv_docs.sparkSession
-    rows = []
-    fcfg = cfg["features"]
-    if fcfg.get("type", "tfidf") == "tfidf":
-        p = TF.TfidfParams.from_dict(fcfg.get("params", {}))
-        counts = TF.term_counts(folded, p, carry=["fold"]).persist()
-        sizes = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
-        total = sum(sizes.values())
-        labels = folded.select("id", "label", "fold")
-        for f in range(k):
-            tr = counts.where(F.col("fold") != f).drop("fold")
-            vocab = TF.fit_vocabulary(tr, total - sizes.get(f, 0), p).cache()
+    fcfg, counts = cfg["features"], None
+
+    def scored(fit: Fitted, pred: DataFrame) -> float:
+        try:
+            return _score(pred, scoring)
+        finally:
+            fit.release()
+
+    def refit(f: int) -> tuple:
+        fit = fit_model(SP.fold_train(folded, f).drop("fold"), cfg, seed)
+        held = SP.fold_valid(folded, f).drop("fold")
+        return f, scored(fit, fit.predict(held).join(held.select("id", "label"), "id"))
+
+    def from_counts(f: int) -> tuple:
+        tr = counts.where(F.col("fold") != f).drop("fold")
+        vocab = TF.fit_vocabulary(tr, total - sizes.get(f, 0), p).cache()
+        try:
             size = vocab.count()
-            model = TF.TfidfModel(p, vocab, total - sizes.get(f, 0), size)
-            feat = Featurizer("tfidf", [model], size)
-            long_tr = TF.transform_counts(tr, vocab, p)
-            fit = fit_model_long(long_tr.select("id", F.col("idx").cast("int").alias("idx"), "weight"),
-                                 labels.where(F.col("fold") != f).drop("fold"), cfg, feat, seed)
-            va = counts.where(F.col("fold") == f).drop("fold")
-            long_va = TF.transform_counts(va, vocab, p).select("id", F.col("idx").cast("int").alias("idx"), "weight")
+            feat = Featurizer("tfidf", [TF.TfidfModel(p, vocab, total - sizes.get(f, 0), size)], size)
+            long = lambda c: TF.transform_counts(c, vocab, p).select("id", F.col("idx").cast("int").alias("idx"), "weight")
+            fit = fit_model_long(long(tr), labels.where(F.col("fold") != f).drop("fold"), cfg, feat, seed)
             held = labels.where(F.col("fold") == f)
-            pred = fit.predict_long(long_va, held.select("id")).join(held.select("id", "label"), "id")
-            rows.append((f, _score(pred, scoring)))
-            fit.release()
-        counts.unpersist()
-    else:
-        for f in range(k):
-            fit = fit_model(SP.fold_train(folded, f).drop("fold"), cfg, seed)
-            held = SP.fold_valid(folded, f).drop("fold")
-            pred = fit.predict(held).join(held.select("id", "label"), "id")
-            rows.append((f, _score(pred, scoring)))
-            fit.release()
-    folded.unpersist()
+            pred = fit.predict_long(long(counts.where(F.col("fold") == f).drop("fold")), held.select("id"))
+            return f, scored(fit, pred.join(held.select("id", "label"), "id"))
+        finally:
+            vocab.unpersist()
+
+    try:
+        if fcfg.get("type", "tfidf") == "tfidf":
+            p = TF.TfidfParams.from_dict(fcfg.get("params", {}))
+            counts = TF.term_counts(folded, p, carry=["fold"]).persist()
+            sizes = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+            total = sum(sizes.values())
+            labels = folded.select("id", "label", "fold")
+            counts.count()  # once, before the folds share it
+        fold = refit if counts is None else from_counts
+        rows = side_by_side(spark, [functools.partial(fold, f) for f in range(k)], "fold",
+                            int(cfg.get("training", {}).get("parallel_folds", PARALLEL_FOLDS)))
+    finally:
+        if counts is not None:
+            counts.unpersist()
+        folded.unpersist()
     return spark.createDataFrame(rows, "fold int, score double")
 
 
@@ -350,12 +364,13 @@ def run_experiment(tables: DataFrame, cfg: dict, cv_folds: int | None = None, ou
     at the end, and every artefact is saved unless ``training.save_model`` is
     off. Per-class metrics use ``data.labels``, the configured classes, where
     they are given."""
-    from ..sources.runs import STATUS_DONE, STATUS_RUNNING, run_id, write_run
+    from ..sources.runs import STATUS_DONE, STATUS_RUNNING, claim_run, run_id, write_run
     from .saved import save_fitted
     t0 = time.time()
     spark = tables.sparkSession
     seed = int(cfg["data"].get("random_seed", 42))
-    started = {"experiment_id": run_id(cfg.get("name", "experiment")), "experiment_name": cfg.get("name", "experiment"),
+    name = cfg.get("name", "experiment")
+    started = {"experiment_id": claim_run(spark, out_root, name) if out_root else run_id(name), "experiment_name": cfg.get("name", "experiment"),
                "timestamp": datetime.datetime.now().isoformat(), "status": STATUS_RUNNING, "config": cfg}
     if out_root:
         write_run(spark, started, out_root)
@@ -426,23 +441,28 @@ def score(run: Fitted | str, tables: DataFrame, cfg: dict | None = None, ranked:
 
 
 def preset_sweep(tables: DataFrame, names: list[str], cv_folds: int = 0, runs_table: str | None = None,
-                 out_root: str | None = None) -> DataFrame:
+                 out_root: str | None = None, at_once: int = PARALLEL_FOLDS) -> DataFrame:
     """Several presets on the same split; one metrics row per preset.
-    Presets that render alike share one rendered, split frame."""
-    rows, shared = [], {}
-    for name in names:
-        cfg = preset(name)
-        key = json.dumps([cfg["data"], cfg.get("preprocessing", {})], sort_keys=True)
-        if key not in shared:
-            shared[key] = split_docs(tables, cfg).cache()
-        rec, fitted, pred = run_experiment(tables, cfg, cv_folds=cv_folds, docs=shared[key], out_root=out_root,
-                                           runs_table=runs_table)
+    Presets that render alike share one rendered, split frame, and run side by side."""
+    shared: dict = {}
+    cfgs = [preset(name) for name in names]
+    key = lambda cfg: json.dumps([cfg["data"], cfg.get("preprocessing", {})], sort_keys=True)
+    for cfg in cfgs:
+        if key(cfg) not in shared:
+            shared[key(cfg)] = split_docs(tables, cfg).cache()
+
+    def run(cfg: dict) -> tuple:
+        rec, fitted, pred = run_experiment(tables, cfg, cv_folds=cv_folds, docs=shared[key(cfg)], out_root=out_root, runs_table=runs_table)
         r = rec.first()
-        rows.append((r["experiment_name"], r["test_metrics"]["accuracy"], r["test_metrics"]["macro_f1"],
-                     r["test_metrics"]["weighted_f1"]))
         pred.unpersist()
         fitted.release()
-    for docs in shared.values():
-        docs.unpersist()
+        m = r["test_metrics"]
+        return r["experiment_name"], m["accuracy"], m["macro_f1"], m["weighted_f1"]
+
+    try:
+        rows = side_by_side(tables.sparkSession, [functools.partial(run, c) for c in cfgs], "preset", at_once)
+    finally:
+        for docs in shared.values():
+            docs.unpersist()
     out = tables.sparkSession.createDataFrame(rows, "experiment_name string, accuracy double, macro_f1 double, weighted_f1 double")
     return out.orderBy(F.desc("accuracy"), "experiment_name")

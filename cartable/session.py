@@ -10,7 +10,10 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings this library relies on. They are applied only when the running
@@ -115,3 +118,27 @@ def ship(spark: SparkSession) -> None:
     base = os.path.join(tempfile.mkdtemp(prefix="cartable-"), "cartable")
     spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "cartable"))
     _SHIPPED.add(app)
+
+
+def side_by_side(spark: SparkSession, tasks: list[Callable], name: str, at_once: int = 4) -> list:
+    """Results of independent driver tasks whose Spark jobs overlap. Each runs in a
+    thread that inherits the caller's properties, with a job group and a scheduler
+    pool of its own (pools share the cores under ``spark.scheduler.mode=FAIR``). The
+    first error is raised once all running tasks have ended; the rest do not start."""
+    sc = spark.sparkContext
+
+    def run(i: int, task: Callable):
+        sc.setJobGroup(f"{name}-{i}", f"{name} {i}")
+        sc.setLocalProperty("spark.scheduler.pool", f"{name}-{i}")
+        return task()
+
+    if len(tasks) < 2 or at_once < 2:
+        return [t() for t in tasks]
+    with ThreadPoolExecutor(min(at_once, len(tasks))) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(run), i, t) for i, t in enumerate(tasks)]
+        try:
+            return [s.result() for s in started]
+        except BaseException:
+            for s in started:
+                s.cancel()
+            raise

@@ -2,6 +2,7 @@
 streaming scoring, plan shape of the flagship query."""
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from cartable.plans import jobs as J
@@ -109,3 +110,34 @@ def test_flagship_shuffles_text_once(spark):
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     text_exchanges = [ln for ln in final.split("\n") if "Exchange hashpartitioning(id" in ln and "ReusedExchange" not in ln]
     assert len(text_exchanges) == 1
+
+
+def test_tasks_side_by_side_overlap_and_stop_on_error(spark):
+    import time
+
+    from cartable.session import side_by_side
+    group = lambda: spark.sparkContext.getLocalProperty("spark.jobGroup.id")
+    spans = []
+
+    def task(i):
+        t = time.time()
+        n = spark.range(10).repartition(2).count()
+        time.sleep(0.3)
+        spans.append((t, time.time(), group()))
+        return n + i
+    assert side_by_side(spark, [lambda i=i: task(i) for i in range(4)], "t", 4) == [10, 11, 12, 13]
+    assert max(a for a, _, _ in spans) < min(b for _, b, _ in spans) and sorted(g for *_, g in spans) == [f"t-{i}" for i in range(4)]
+    assert group() is None
+    with pytest.raises(ZeroDivisionError):
+        side_by_side(spark, [lambda: 1 / 0, lambda: 1], "t", 2)
+    assert side_by_side(spark, [lambda: 5], "t") == [5]
+
+
+def test_folds_one_by_one_and_side_by_side_agree(spark):
+    tables = documents_as_tables(spark, SF).where("id < 120")
+    cfg = J.preset("tfidf_complement_nb", features={"type": "tfidf", "params": {"max_features": 300}})
+    docs = J.render_docs(tables, cfg["preprocessing"])
+    score = lambda n: sorted(map(tuple, J.cross_validate(docs, {**cfg, "training": {"parallel_folds": n}}, k=3).collect()))
+    before = len(spark.sparkContext._jsc.getPersistentRDDs())
+    assert score(1) == score(3)
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == before
