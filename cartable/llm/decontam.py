@@ -292,7 +292,8 @@ def contaminated(docs: DataFrame, items: DataFrame, w: int = W, cover: float = C
     spots = held.withColumn("h", _windows("words", lengths)).withColumn(
         "x", F.flatten(F.array_compact(F.array(*parts)))).select("doc_id", "copy", F.explode(F.arrays_zip("h", "x")).alias("z"))
     spots = spots.select("doc_id", "copy", F.col("z.h").alias("hash"), F.col("z.x.pos").alias("at"), F.col("z.x.v").alias("v"))
-    meet = (spots.join(own, "hash")
+    # Only windows that some item has are shuffled.
+    meet = (spots.join(hashes, "hash", "left_semi").join(own, "hash")
             .join(pairs.select(F.col("doc_id").alias("d"), F.col("item_id").alias("t"), F.col("form").alias("f")),
                   F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("item_id") == F.col("t")) & (F.col("form") == F.col("f")),
                   "left_semi"))
