@@ -1,4 +1,5 @@
 """op1: automata against edit distance, learning, context, held-out accuracy."""
+import os
 import random
 import zlib
 
@@ -48,10 +49,11 @@ def test_quotation_and_address():
     said = lexicon.features("he wrote idiot on the wall")
     you = lexicon.features("you idiot")
     assert plain[0] > 0 and plain[2] == 0 and quoted[0] == 0 and quoted[2] > 0 and said[2] > 0
-    assert you[5] > 0 and plain[5] == 0
+    assert you[3] > 0 and plain[3] == 0
     whole = tx.Lexicon({"idiot$": 5.0})
     wrong = whole.features("the idoit went")
-    assert whole.features("the idiott went")[3] > 0 and wrong[3] == 0  # a swap is two errors, five letters allow one
+    right = whole.features("the idiott went")
+    assert 0 < right[0] < whole.features("the idiot went")[0] and wrong[0] == 0  # a swap is two errors, five letters allow one
     assert lexicon.features(None) == lexicon.features("") == [0.0] * tx.FEATURES
 
 
@@ -102,7 +104,7 @@ def test_copies_add_no_terms(spark):
     rows += [(100 + i, f"other w{i}a w{i}b", "x") for i in range(40)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     lab = spark.createDataFrame([(i, int(i < 100)) for i, _, _ in rows], "doc_id bigint, toxic int")
-    terms, _ = tx.train(d, lab)
+    (terms, _, _), _ = tx.train(d, lab)
     assert terms == {}
 
 
@@ -115,6 +117,48 @@ def test_held_out_accuracy(spark):
     seen = [got[i].predicted for i, t in held if t and any(w in docs[i] for w in ("idiot", "scum", "trash", "moron", "clown", "stupid",
                                                                                  "loser", "pathetic", "worthless", "disgusting"))]
     assert sum(clean) <= 0.02 * len(clean) and sum(seen) >= 0.95 * len(seen) > 5
+    caught = [got[i].predicted for i, t in held if t]
+    assert sum(caught) >= 0.75 * len(caught)  # recall over every held-out toxic row
+
+
+def other_letter(piece, k=2):
+    return piece[:k] + ("x" if piece[k:k + 1] != "x" else "y") + piece[k + 1:]
+
+
+def test_misspelled_abuse_is_caught(spark):
+    """Every hit of the held-out toxic rows misspelled: at least 0.9 of the
+    recall; quotation and abuse are told apart, misspelled or not."""
+    sf = "/root/testdata/check_s"
+    if not os.path.exists(sf):
+        pytest.skip("needs the larger table")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 12000")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = tx.train(docs, labels)
+    scorer = tx.Scorer(*model)
+    hit = scorer.lexicon.cache
+    held = labels.where("toxic = 1").where(tx.held_out("doc_id")).select("doc_id").distinct()
+    texts = [r.text for r in docs.join(held, "doc_id").collect()]
+    plain = sum(scorer.score(t) >= tx.THRESHOLD for t in texts)
+    for change in (other_letter, tx.slip):
+        wrong = [" ".join(change(p) if hit[p] else p for p in t.lower().split()) for t in texts]
+        assert sum(scorer.score(t) >= tx.THRESHOLD for t in wrong) >= 0.9 * plain > 50
+    for abuse in ("you are an idiot", "you are an idot", "you idi0t"):
+        assert scorer.score(abuse) >= tx.THRESHOLD, abuse
+    for quoted in ('the word "idiot" appears in a study', 'the word "idot" appears in a study', "he wrote idiot on it"):
+        assert scorer.score(quoted) < tx.THRESHOLD, quoted
+
+
+def test_known_words_are_no_misspellings():
+    lexicon = tx.Lexicon({"trash$": 5.0, "moron$": 5.0}, frozenset({"moron$"}), frozenset({"crash"}))
+    assert lexicon.find("trxsh") == (5.0 * tx.DISCOUNT, 1) and lexicon.find("crash") is None
+    assert lexicon.find("morxn") is None and lexicon.find("moron") == (5.0, 0)
+    # Toxic share 0.2: one unknown word in 1,000 clean texts leaves trust, 30 do not.
+    assert tx.exact_only({"a$": 1, "b$": 30}, {"a$": 0.2, "b$": 0.2}, 1000) == {"b$"}
+
+
+def test_slip_changes_a_letter():
+    for piece in ("idiot", "a", "«scum!»", "café", "qqq"):
+        assert tx.slip(piece) != piece and distance(piece, tx.slip(piece)) == 1
 
 
 def test_every_whole_word_is_searched():
