@@ -374,6 +374,22 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def fit_sample(rows: DataFrame, n: int, most: int, scratch: Scratch) -> DataFrame:
+    """``(text, toxic)`` of at most ``most`` different labelled rows, by the
+    smallest hashes of id and text. Rows whose hash is far above the share wanted
+    go first, so the texts that are shuffled number about half as many again as
+    ``most`` whatever ``n``, and only their hashes are sorted together."""
+    wanted = int(2 ** 40 * min(1.0, 1.5 * most / max(n, 1)))
+    some = (rows.select("doc_id", "text", "toxic", F.xxhash64("doc_id", "text").alias("h"))
+            .where(F.shiftrightunsigned("h", 24) < wanted))
+    some = scratch.write(some.distinct().repartition(rows.sparkSession.sparkContext.defaultParallelism, "h"), "sample")
+    place = F.shiftrightunsigned("h", 1)
+    last = some.select(place.alias("p")).orderBy("p").limit(most).agg(F.max("p")).first()[0]
+    out = some.where(place <= last).select("text", "toxic")
+    out._scratch_path = some._scratch_path
+    return out
+
+
 def own_words(sample: DataFrame, terms: dict[str, float], shares: dict[str, float],
               scratch: Scratch) -> tuple[frozenset, frozenset]:
     """``(terms not searched with errors, known words)`` by the words near terms
@@ -432,10 +448,7 @@ def train(docs: DataFrame, labels: DataFrame,
         scratch.drop(rows)
         return (terms, frozenset(), frozenset()), prior
 
-    # At most fit_rows rows, repeated ids included, and of bounded number.
-    order = F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")
-    sample = scratch.write(rows.orderBy(*order).limit(fit_rows).select("text", "toxic")
-                           .repartition(docs.sparkSession.sparkContext.defaultParallelism), "sample")
+    sample = fit_sample(rows, n1 + n0, fit_rows, scratch)
     lexicon_of = terms, *own_words(sample, terms, shares, scratch)
 
     def run(batches):

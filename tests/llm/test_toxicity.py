@@ -156,6 +156,18 @@ def test_known_words_are_no_misspellings():
     assert tx.exact_only({"a$": 1, "b$": 30}, {"a$": 0.2, "b$": 0.2}, 1000) == {"b$"}
 
 
+def test_sample_is_bounded_in_rows(spark):
+    """One id with a third of all rows, and one row repeated: the bound holds."""
+    rows = [(i if i % 3 else 7, f"text {i}", i % 2) for i in range(3000)] + [(9999, "again", 1)] * 2000
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    scratch = tx.Scratch(spark, "test-toxicity")
+    for most in (1, 100, 10_000):
+        got = [tuple(r) for r in tx.fit_sample(d, len(rows), most, scratch).collect()]
+        assert len(set(got)) == len(got) <= min(most, 3001)
+    assert len(got) == 3001
+    assert len(tx.fit_sample(d, len(rows), 100, scratch).collect()) >= 50
+
+
 def test_slip_changes_a_letter():
     for piece in ("idiot", "a", "«scum!»", "café", "qqq"):
         assert tx.slip(piece) != piece and distance(piece, tx.slip(piece)) == 1
