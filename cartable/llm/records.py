@@ -3,8 +3,9 @@
 A data file is a run of records in ascending ``doc_id`` order::
 
     record  := header check(header) payload check(payload)
-    header  := u64 payload length
-    payload := i64 doc_id, then the ids, u16 each (u32 if the vocabulary needs it)
+    header  := u64 payload length, its highest bit set if the document has no id
+    payload := i64 doc_id (absent without id), then the ids, u16 each (u32 if the
+               vocabulary needs it)
     check   := u32 masked CRC-32: rotate right by 15 and add 0xA282EAD8
 
 and its index file holds one u64 per record, the record's offset, so a reader
@@ -30,6 +31,7 @@ from pyspark.sql.window import Window
 from .bpe import STABLE_BELOW, TwoAgeCache, text_of
 
 MASK = 0xA282EAD8  # fixed value of the masked-checksum convention
+NO_ID = 1 << 63
 MANIFEST = "part int, data string, offsets string, width int, n_docs bigint, n_tokens bigint, n_bytes bigint"
 CHUNK = 4 << 20
 DOCS_AT_ONCE = 64
@@ -46,23 +48,41 @@ def masked(data: bytes) -> int:
     return ((c >> 15 | c << 17) + MASK) & 0xFFFFFFFF
 
 
-def frame(payload: bytes) -> bytes:
-    head = struct.pack("<Q", len(payload))
+def frame(payload: bytes, has_id: bool = True) -> bytes:
+    head = struct.pack("<Q", len(payload) if has_id else len(payload) | NO_ID)
     return b"".join((head, struct.pack("<I", masked(head)), payload, struct.pack("<I", masked(payload))))
 
 
+def record(doc_id: int | None, ids: bytes) -> bytes:
+    return frame(ids, False) if doc_id is None else frame(struct.pack("<q", doc_id) + ids)
+
+
+def read_record(stream) -> tuple[int | None, bytes] | None:
+    """Next ``(doc_id, ids as stored)``, or None at the end."""
+    if (found := _read(stream)) is None:
+        return None
+    payload, has_id = found
+    return (struct.unpack("<q", payload[:8])[0], payload[8:]) if has_id else (None, payload)
+
+
 def read_frame(stream) -> bytes | None:
     """Next payload, or None at the end; a torn or changed record raises."""
+    found = _read(stream)
+    return found and found[0]
+
+
+def _read(stream) -> tuple[bytes, bool] | None:
     head = stream.read(12)
     if not head:
         return None
     if len(head) < 12 or struct.unpack("<I", head[8:])[0] != masked(head[:8]):
         raise ValueError("record header is damaged")
     n = struct.unpack("<Q", head[:8])[0]
+    has_id, n = n < NO_ID, n & NO_ID - 1
     body = stream.read(n + 4)
     if len(body) < n + 4 or struct.unpack("<I", body[n:])[0] != masked(body[:n]):
         raise ValueError("record payload is damaged")
-    return body[:n]
+    return body[:n], has_id
 
 
 def filesystem(uri: str):
@@ -162,7 +182,7 @@ def write_records(docs: DataFrame, out_dir: str, path: str, end_id: int, id_col:
     Null or empty texts become records of the end id alone; repeated ids stay,
     ordered by text; an empty table gives an empty manifest; other columns are
     not read. One shuffle: texts range-partitioned by id (splits a hot id range,
-    and equal ids by text). A null id is refused: the format has no place for it.
+    and equal ids by text). Documents without id come first and keep none.
     """
     import pyarrow as pa
 
@@ -182,13 +202,11 @@ def write_records(docs: DataFrame, out_dir: str, path: str, end_id: int, id_col:
                     data, index = fs.open_output_stream(p + ".rec"), fs.open_output_stream(p + ".idx")
                 encoded = enc.encode([text_of(t) for t in some.column(1)])
                 for doc_id, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
-                    if doc_id is None:
-                        raise ValueError("a record needs an id")
                     ids += end
-                    record = frame(struct.pack("<q", doc_id) + ids)
-                    data.write(record)
+                    framed = record(doc_id, ids)
+                    data.write(framed)
                     index.write(struct.pack("<Q", offset))
-                    offset, tokens, docs_n = offset + len(record), tokens + len(ids) // enc.width, docs_n + 1
+                    offset, tokens, docs_n = offset + len(framed), tokens + len(ids) // enc.width, docs_n + 1
         if data is not None:
             data.close()
             index.close()
@@ -226,9 +244,9 @@ def read_records(manifest: DataFrame) -> DataFrame:
                 fs, p = filesystem(f["data"])
                 rows, size, at = [], 0, f["start"]
                 with fs.open_input_stream(p, buffer_size=CHUNK) as stream:
-                    while (payload := read_frame(stream)) is not None:
-                        ids = np.frombuffer(payload, f"<u{f['width']}", offset=8).astype("<u4").tobytes()
-                        rows.append((struct.unpack("<q", payload[:8])[0], at, len(ids) // 4, ids))
+                    while (found := read_record(stream)) is not None:
+                        ids = np.frombuffer(found[1], f"<u{f['width']}").astype("<u4").tobytes()
+                        rows.append((found[0], at, len(ids) // 4, ids))
                         at, size = at + len(ids) // 4, size + len(ids)
                         if size > CHUNK:
                             yield _rows(pa, rows)
@@ -245,7 +263,7 @@ def _rows(pa, rows):
         ["doc_id", "start", "n_tokens", "ids"])
 
 
-def read_at(data: str, offsets: str, numbers: list[int]) -> list[tuple[int, bytes]]:
+def read_at(data: str, offsets: str, numbers: list[int]) -> list[tuple[int | None, bytes]]:
     """Shuffled read of one file: ``(doc_id, packed ids as stored)`` of the
     records with these numbers, in the given order, by seeking."""
     fs, index = filesystem(offsets)
@@ -254,8 +272,7 @@ def read_at(data: str, offsets: str, numbers: list[int]) -> list[tuple[int, byte
         for k in numbers:
             idx.seek(8 * k)
             rec.seek(struct.unpack("<Q", idx.read(8))[0])
-            payload = read_frame(rec)
-            out.append((struct.unpack("<q", payload[:8])[0], payload[8:]))
+            out.append(read_record(rec))
     return out
 
 

@@ -112,10 +112,18 @@ def test_damage_is_noticed(tmp_path):
     assert records.masked(b"") == 0xA282EAD8
 
 
-def test_null_id_is_refused(spark):
-    with pytest.raises(Exception, match="needs an id"):
-        records.write_records(spark.createDataFrame([(None, "a")], "doc_id bigint, text string"),
-                              Scratch(spark, "t").path("rec"), PATH, 2)
+def test_null_ids_are_kept(spark):
+    rows = [(None, "a b"), (None, None), (-1, "c"), (0, ""), (None, "a b"), (5, "long " * 1000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    manifest = records.write_records(df, Scratch(spark, "t").path("rec"), PATH, 2)
+    got = [(r.doc_id, bytes(r.ids)) for r in records.read_records(manifest).orderBy("start").collect()]
+    end = struct.pack("<I", 2)
+    assert sorted(x for _, x in got[:3]) == sorted(lib(t) + end for i, t in rows if i is None)
+    assert [i for i, _ in got] == [None] * 3 + [-1, 0, 5]
+    assert got[3:] == [(i, lib(t) + end) for i, t in rows if i is not None]
+    ids = [i for m in manifest.orderBy("part").collect()
+           for i, _ in records.read_at(m.data, m.offsets, list(range(m.n_docs)))]
+    assert ids == [None] * 3 + [-1, 0, 5]
 
 
 def test_op6_whole_table(spark):
