@@ -34,7 +34,7 @@ MASK = 0xA282EAD8  # fixed value of the masked-checksum convention
 NO_ID = 1 << 63
 MANIFEST = "part int, data string, offsets string, width int, n_docs bigint, n_tokens bigint, n_bytes bigint"
 CHUNK = 4 << 20
-DOCS_AT_ONCE = 64
+DOCS_AT_ONCE = 256  # documents encoded together, fewer if they hold CHUNK bytes
 # Pieces in each age of a worker's cache; two ages of about 200 bytes a piece
 # bound it near 0.4 GB. A call of the library costs more than a lookup.
 PIECES_KEPT = 900_000
@@ -174,6 +174,20 @@ def _encoder(path: str, width: int | None) -> LibraryEncoder:
     return _LOADED[path, width]
 
 
+def _runs(batch):
+    """Slices of a batch of at most ``DOCS_AT_ONCE`` rows that end once their
+    texts hold ``CHUNK`` bytes."""
+    import pyarrow.compute as pc
+    at = size = 0
+    for i, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
+        size += n or 0
+        if size >= CHUNK or i + 1 - at == DOCS_AT_ONCE:
+            yield batch.slice(at, i + 1 - at)
+            at, size = i + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def write_records(docs: DataFrame, out_dir: str, path: str, end_id: int, id_col: str = "doc_id",
                   text_col: str = "text", width: int | None = None) -> DataFrame:
     """Encode every whole text, append ``end_id`` and write records; returns the
@@ -194,8 +208,7 @@ def write_records(docs: DataFrame, out_dir: str, path: str, end_id: int, id_col:
         offset = tokens = docs_n = 0
         data = index = None
         for batch in batches:
-            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
-                some = batch.slice(at, DOCS_AT_ONCE)
+            for some in _runs(batch):
                 if data is None:
                     fs, p = filesystem(name)
                     fs.create_dir(p.rsplit("/", 1)[0], recursive=True)

@@ -112,6 +112,16 @@ def test_damage_is_noticed(tmp_path):
     assert records.masked(b"") == 0xA282EAD8
 
 
+def test_runs_cover_a_batch():
+    import pyarrow as pa
+    texts = ["x" * 10] * 600 + [None, "y" * (records.CHUNK + 1), "", "z" * records.CHUNK, "w"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    runs = list(records._runs(batch))
+    assert [v for r in runs for v in r.column(0).to_pylist()] == list(range(len(texts)))
+    assert [r.num_rows for r in runs] == [256, 256, 90, 2, 1]
+    assert list(records._runs(batch.slice(0, 0))) == []
+
+
 def test_null_ids_are_kept(spark):
     rows = [(None, "a b"), (None, None), (-1, "c"), (0, ""), (None, "a b"), (5, "long " * 1000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
