@@ -171,3 +171,18 @@ def test_eager_exact_cut_equals_lazy_limit(spark):
         lazy = TF.fit_vocabulary(TF.term_counts(docs, p), docs.count(), p).select("term", "idx", "df", "cf")
         assert eager.count() == mf
         assert eager.exceptAll(lazy).count() == 0 and lazy.exceptAll(eager).count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_stay_in_their_row_and_merge_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa"), (1, "aa bb"), (2, "cc"), (3, ""), (4, None), (None, "dd"), (None, "dd dd")],
+                                 "id long, text string")
+    counts = TF.term_counts(docs, TF.TfidfParams())
+    assert {(r.id, r.term): r.tf for r in counts.collect()} == {
+        (1, "aa"): 3, (1, "bb"): 2, (1, "aa bb"): 2, (1, "bb aa"): 1, (2, "cc"): 1, (None, "dd"): 3, (None, "dd dd"): 1}
+    # No hash table over (id, term), and no partition merged with others as the input grows.
+    assert "Aggregate" not in _plan(counts)
+    assert counts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
