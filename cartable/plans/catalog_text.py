@@ -157,6 +157,13 @@ def _rendered(spark, sf):
     return _tables(spark, sf).select("id", "label", R.render_text("table_data", max_content_cells=None).alias("text"))
 
 
+def _spread(spark, sf):
+    """``_rendered`` for work inside a row: the documents are dealt out first, so
+    there are as many tasks as partitions, not as row groups in the files."""
+    t = _tables(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return t.select("id", R.render_text("table_data", max_content_cells=None).alias("text"))
+
+
 _RENDERED_CTE = f"docs AS (SELECT id, label, {O.render('table_data', max_content_cells=None)} AS text FROM tables)"
 
 
@@ -210,7 +217,7 @@ _F06_SQL = O.with_tables(
 
 @register("f06_char_ngrams", _F06_SQL)
 def f06(spark, sf):
-    t = _rendered(spark, sf).select("id", TM.code_points(TM.normalize_for_char_ngrams("text")).alias("tok"))
+    t = _spread(spark, sf).select("id", TM.normalize_for_char_ngrams("text").alias("tok"))
     t = t.select("id", TM.char_ngram_windows(F.col("tok"), *_F06_N).alias("terms"))
     n, h = _digest(F.col("terms"))
     return t.select("id", n.alias("n_terms"), h.alias("terms_md5"))

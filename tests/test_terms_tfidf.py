@@ -186,3 +186,10 @@ def test_counts_stay_in_their_row_and_merge_repeated_ids(spark):
     # No hash table over (id, term), and no partition merged with others as the input grows.
     assert "Aggregate" not in _plan(counts)
     assert counts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_char_windows_by_code_points_without_slices(spark):
+    text = "a\U0001F600b\né\U0001F601"
+    df = spark.createDataFrame([(text,)], "t string").select(TM.char_ngram_windows("t", 1, 3).alias("x"))
+    assert df.first()["x"] == [text[i:i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)]
+    assert "slice(" not in _plan(df)
