@@ -189,7 +189,7 @@ def _list_query(name, spark_fn, sql_pre, sql_list):
     @register(name, sql)
     def q(spark, sf):
         pre, post = spark_fn
-        t = _rendered(spark, sf).select("id", pre(F.col("text")).alias("tok"))
+        t = _spread(spark, sf).select("id", pre(F.col("text")).alias("tok"))
         t = t.select("id", post(F.col("tok")).alias("terms"))
         n, h = _digest(F.col("terms"))
         return t.select("id", n.alias("n_terms"), h.alias("terms_md5"))

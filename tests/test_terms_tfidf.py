@@ -193,3 +193,18 @@ def test_char_windows_by_code_points_without_slices(spark):
     df = spark.createDataFrame([(text,)], "t string").select(TM.char_ngram_windows("t", 1, 3).alias("x"))
     assert df.first()["x"] == [text[i:i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)]
     assert "slice(" not in _plan(df)
+
+
+def _documents(spark, folder, texts):
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_gram_queries_deal_out_one_file(spark, tmpdir_path):
+    from cartable.plans.registry import all_queries
+    sf = _documents(spark, tmpdir_path, [f"ab cd{i}" for i in range(64)])
+    for name in ("f05_char_wb_ngrams", "f06_char_ngrams"):
+        q = all_queries()[name](spark, sf)
+        assert q.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert q.count() == 64
