@@ -400,10 +400,14 @@ def v12(spark, sf):
     model = TF.fit_tfidf(docs, _P)
     long = model.transform(docs)
     vec = TF.sparse_rows(long, docs.select("id"), model.size)
-    from pyspark.ml.functions import vector_to_array
-    arr = vector_to_array("features")
-    return vec.select("id", F.size(F.filter(arr, lambda x: x != 0)).cast("long").alias("nnz"),
-                      F.round(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x), 6).alias("sq"))
+
+    # Over the stored entries: as a dense array a vector has a value per vocabulary term.
+    @F.udf("nnz long, sq double", useArrow=False)
+    def entries(v):
+        x = v.values
+        return int((x != 0).sum()), float((x * x).sum())
+
+    return vec.select("id", entries("features").alias("e")).select("id", "e.nnz", F.round("e.sq", 6).alias("sq"))
 
 
 # ---------------------------------------------------------------- lemmas

@@ -208,3 +208,12 @@ def test_gram_queries_deal_out_one_file(spark, tmpdir_path):
         q = all_queries()[name](spark, sf)
         assert q.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
         assert q.count() == 64
+
+
+def test_sparse_vectors_are_not_built_or_read_in_large_batches(spark, tmpdir_path):
+    from cartable.plans.registry import all_queries
+    sf = _documents(spark, tmpdir_path, ["un chat dort", "un chat mange", "", "seul"])
+    q = all_queries()["v12_sparse_vectors"](spark, sf)
+    assert "ArrowEvalPython" not in _plan(q) and "vector_to_array" not in _plan(q)
+    got = {r.id: (r.nnz, r.sq) for r in q.collect()}
+    assert got == {0: (3, 1.0), 1: (3, 1.0), 2: (0, 0.0), 3: (0, 0.0)}
