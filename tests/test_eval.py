@@ -175,3 +175,11 @@ def test_global_index_consecutive(spark):
     got = [(r.term, r.idx) for r in global_index(df, ["term"]).orderBy("idx").collect()]
     assert [i for _, i in got] == list(range(300))
     assert [t for t, _ in got] == sorted(t for t, _ in got)
+
+
+def test_softmax_computes_its_parts_once(spark):
+    from cartable.operators.ranking import softmax
+    df = spark.createDataFrame([([1.0, 2.0, 0.5],), (None,), ([],)], "s array<double>").select("s", softmax(F.col("s")).alias("p"))
+    got = [r["p"] for r in df.collect()]
+    assert got[1:] == [None, []] and abs(sum(got[0]) - 1) < 1e-12 and max(got[0]) == got[0][1]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("exp(") == 1
