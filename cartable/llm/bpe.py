@@ -9,8 +9,10 @@ heap; a run of over ``SCAN_MAX`` parts (text without spaces) goes through a
 heap with the same order of merges, so its cost stays below quadratic.
 
 Texts are cut at single spaces first: no pre-token crosses such a space, so the
-ids of each piece can be kept and reused. A text with two white spaces side by
-side, of which one is a space, is encoded whole by the same code.
+ids of each piece can be kept and reused. A piece of several pre-tokens (a word
+with punctuation or line breaks) is put together from its words' kept ids. A text
+with two white spaces side by side, of which one is a space, is encoded whole by
+the same code.
 """
 from __future__ import annotations
 
@@ -30,6 +32,7 @@ STABLE_BELOW = "԰"
 SCAN_MAX = 128
 NO_RANK = 1 << 30
 CACHE_PIECES = 150_000
+CACHE_CHARS = 64  # longer pieces and words are not kept
 _UNSURE = re.compile(r" \s|\s ")
 
 
@@ -53,6 +56,8 @@ class TwoAgeCache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if len(key) > CACHE_CHARS:
+                return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -85,11 +90,14 @@ class Bpe:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[vocab[left] << 32 | vocab[right]] = rank
             self.made.append(vocab[left + right])
+        # Rank of two bytes side by side (left << 8 | right).
+        self.byte_rank = [self.rank.get(a << 32 | b, NO_RANK) for a in self.byte_id for b in self.byte_id]
         self._special = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) \
             if self.special else None
         self._words = regex.compile(PATTERN)
         self._pre = Tokenizer.from_file(path).pre_tokenizer
         self._cache = TwoAgeCache(lambda piece: self._pack(" " + piece), cache_pieces)
+        self._kept = TwoAgeCache(self._word, cache_pieces // 4)  # words of pieces of several words
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -109,18 +117,22 @@ class Bpe:
         return b"".join(map(table.__getitem__, _ints(ids))).decode("utf-8", "replace")
 
     def _pack(self, text: str) -> bytes:
-        out = array("I")
-        for part, special in self._parts(text):
-            if special is not None:
-                out.append(special)
-                continue
-            if part < STABLE_BELOW and max(part) < STABLE_BELOW:
-                words = self._words.findall(part)
-            else:
-                words = [part[a:b] for _, (a, b) in self._pre.pre_tokenize_str(part)]
-            for word in words:
-                out.extend(self.word(word.encode()))
-        return _bytes(out)
+        if self._special is None or self._special.search(text) is None:
+            return self._pack_part(text)
+        return b"".join(self._pack_part(part) if special is None else _bytes(array("I", [special]))
+                        for part, special in self._parts(text))
+
+    def _pack_part(self, part: str) -> bytes:
+        if part.isascii() or max(part) < STABLE_BELOW:
+            words = self._words.findall(part)
+        else:
+            words = [part[a:b] for _, (a, b) in self._pre.pre_tokenize_str(part)]
+        if len(words) == 1:
+            return self._word(words[0])
+        return b"".join([self._cache[w[1:]] if w[0] == " " and w[1:].isalpha() else self._kept[w] for w in words])
+
+    def _word(self, word: str) -> bytes:
+        return _bytes(array("I", self.word(word.encode())))
 
     def _parts(self, text: str) -> Iterator[tuple[str, int | None]]:
         at = 0
@@ -137,8 +149,8 @@ class Bpe:
         ids = [self.byte_id[b] for b in word]
         if len(ids) > SCAN_MAX:
             return self._long(ids)
-        rank, made = self.rank.get, self.made
-        ranks = [rank(a << 32 | b, NO_RANK) for a, b in zip(ids, ids[1:], strict=False)]
+        rank, made, first = self.rank.get, self.made, self.byte_rank
+        ranks = [first[a << 8 | b] for a, b in zip(word, word[1:], strict=False)]
         while ranks:
             low = min(ranks)
             if low == NO_RANK:

@@ -47,6 +47,22 @@ def test_scan_and_heap_make_the_same_merges():
         assert own.word(w) == own._long([own.byte_id[b] for b in w])
 
 
+def test_words_of_mixed_pieces_are_merged_once():
+    own, merged = bpe.Bpe(PATH), []
+    plain = own.word
+    own.word = lambda w: merged.append(w) or plain(w)
+    text = "start alpha, alpha. (alpha) beta\nalpha; alpha beta, beta\nalpha alpha\nbeta."
+    assert own.encode(text) == lib(text)
+    assert merged and len(merged) == len(set(merged))
+
+
+def test_long_pieces_are_not_kept():
+    own = bpe.Bpe(PATH)
+    text = "a " + "y" * 5000 + " " + "z!" * 3000 + " b"
+    assert own.encode(text) == lib(text)
+    assert all(len(k) <= bpe.CACHE_CHARS for c in (own._cache, own._kept) for k in c)
+
+
 def test_decode_replaces_what_is_not_utf8():
     own = bpe.Bpe(PATH)
     part = own.encode("日")[:4]
