@@ -58,24 +58,18 @@ def test_all_problems_reach_the_plain_optimum(spark, monkeypatch, direct):
         assert abs(loss - best) < 1e-6
 
 
-def test_blocks_hold_one_fold_and_problems_pass_over_their_own(monkeypatch):
-    """A problem reads no value of the fold it leaves out, and no row outside the margin adds to its gradient."""
+def test_a_problem_passes_over_the_fold_it_leaves_out():
+    """Values of that fold would spoil every sum they enter; the others' sums stay."""
     import pyarrow as pa
-    monkeypatch.setattr(S, "BLOCK_CELLS", 16)
     rows, y = data(35, n=50, features=7)
     folds = [i % 3 for i in range(50)]
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array(y, pa.int32()), pa.array(folds, pa.int32()), pa.array([sorted(r) for r in rows], pa.list_(pa.int32())),
-         pa.array([[float(r[i]) for i in sorted(r)] for r in rows], pa.list_(pa.float64()))], ["y", "fold", "f", "v"])
-    blocks = list(S._pack(iter([batch])))
-    assert len(blocks) > 6 and all(b.num_rows == 1 for b in blocks)
-    back = sorted((fold, int(k)) for fold, ys, *_ in S._unpacked(iter(blocks)) for k in ys)
-    assert back == sorted(zip(folds, y))
-    # Values of fold 0 that would spoil every sum they enter.
-    bad = [b if b.column("fold")[0].as_py() else b.set_column(4, "v", pa.array(
-        [np.full(len(b.column("v")[0].as_py()) // 8, np.nan).tobytes()], pa.binary())) for b in blocks]
+    values = [[float(r[i]) if k else math.nan for i in sorted(r)] for r, k in zip(rows, folds)]
+    batch = pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(folds, pa.int32()), pa.array([sorted(r) for r in rows], pa.list_(pa.int32())),
+                                        pa.array(values, pa.list_(pa.float64()))], ["y", "fold", "f", "v"])
+    packed = list(S._pack(iter([batch.slice(0, 20), batch.slice(20), batch.slice(0, 0)])))
+    assert [p.num_rows for p in packed] == [1, 1]
     w = np.random.default_rng(1).normal(size=(1, 8))
-    out = next(S._losses(w, [S.Problem(1, 0, (1.0, 2.0, 0.5))], 0.7)(iter(bad)))
+    out = next(S._losses(w, [S.Problem(1, 0, (1.0, 2.0, 0.5))], 0.7)(iter(packed)))
     loss, grad = (np.frombuffer(x) for x in out.column("part").to_pylist())
     x = dense_rows(rows, 7)
     sign = np.where(np.array(y) == 1, 1.0, -1.0)
