@@ -158,6 +158,36 @@ def test_leaf_wise_order_takes_the_best_leaf_first():
         assert sorted(chosen) == sorted(reach)
 
 
+def test_a_wide_row_does_not_send_few_values_through_aggregates(spark, monkeypatch):
+    """What a task holds are the values of its rows, not rows times the widest row."""
+    rows, y = data(7)
+    rows[0] = {f: 0.5 for f in range(40)}
+    cells = sum(len(r) for r in rows)
+    assert cells < 400 < len(rows) * 40
+    long, labels = frames(spark, rows, y, [1.0] * len(y))
+    want, _ = plain_boost(rows, y, [1.0] * len(y), 3, CASES["leaf_wise"])
+    monkeypatch.setattr(B, "level_splits", None)
+    got = scored(B.fit_boosted(long, labels, 3, CASES["leaf_wise"], group_cells=400), long, labels)
+    assert np.abs(got - want).max() < 1e-9
+
+
+@pytest.mark.parametrize("learned_side", [False, True])
+def test_entries_judged_in_parts_give_the_same_tree(monkeypatch, learned_side):
+    rows, y = data(12, n=150)
+    bins, _ = plain_bins(rows)
+    offsets = np.cumsum([0, *[len(b) for b in bins]])
+    f = np.array([k for b in bins for k in sorted(b)], np.int32)
+    v = np.array([b[k] for b in bins for k in sorted(b)], np.int32)
+    g, h = H.gradients(np.zeros((150, 3)), np.array(y), np.ones(150), 1.5)
+    p = H.Growth(max_depth=5, max_leaves=12, min_rows=2, learned_side=learned_side)
+    whole = H.grow(offsets, f, v, g[:, 0], h[:, 0], p, 0)
+    root = plain_split(bins, list(range(150)), g[:, 0].tolist(), h[:, 0].tolist(), p)
+    assert whole[0][2:6] == root[0]
+    for chunk in (1, 10, 100):
+        monkeypatch.setattr(H, "CHUNK", chunk)
+        assert H.grow(offsets, f, v, g[:, 0], h[:, 0], p, 0) == whole
+
+
 def test_written_margins_and_long_runs_agree(spark, monkeypatch):
     rows, y = data(5)
     long, labels = frames(spark, rows, y, [1.0] * len(y))
