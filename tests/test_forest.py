@@ -81,6 +81,21 @@ def test_equals_a_plain_forest(spark, group_cells, rows_per_batch, max_features)
     model.release()
 
 
+def test_whole_trees_share_their_rows(spark, monkeypatch):
+    """Trees whose rows fit a task are grown from rows that are sent once for several
+    trees, and one wide row does not make the others wide."""
+    rows, y = data(22, n=60, features=9)
+    rows[0] = {f: 0.5 for f in range(40)}
+    long, labels = frames(spark, rows, y, [1.0] * len(y))
+    p = R.Forest(trees=30, seed=3)
+    want = plain_forest(rows, y, [1.0] * len(y), 3, 40, p, row_keys(spark, 60))
+    monkeypatch.setattr(R, "_spread", None)  # a copy of the rows for every tree
+    model = R.fit_forest(long, labels, 3, 40, p, group_cells=400)
+    assert [len(t) for t in model.tops] == [1] * 30
+    assert np.abs(scored(model, long, labels) - want).max() < 1e-12
+    model.release()
+
+
 def test_chain_deeper_than_any_fixed_limit(spark):
     """Every row has a feature of its own, so a split takes one row off: only a chain separates them."""
     n = 200
