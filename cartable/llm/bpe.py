@@ -24,6 +24,8 @@ from collections.abc import Iterator
 
 import regex
 
+from .common import held
+
 # The pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Below this code point the letter and number classes are the same in every
@@ -199,15 +201,9 @@ def _bytes(ids: array) -> bytes:
     return ids.tobytes()
 
 
-_LOADED: dict[tuple[str, int], Bpe] = {}
-
-
 def load(path: str, cache_pieces: int = CACHE_PIECES) -> Bpe:
-    """One encoder per Python worker and vocabulary file."""
-    key = (path, cache_pieces)
-    if key not in _LOADED:
-        _LOADED[key] = Bpe(path, cache_pieces)
-    return _LOADED[key]
+    """One encoder per Python worker, kept until another operator's tasks run there."""
+    return held(("bpe", path, cache_pieces), lambda: Bpe(path, cache_pieces))
 
 
 def text_of(value) -> str:

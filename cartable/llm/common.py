@@ -39,6 +39,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """One object that a Python worker keeps between its tasks. Workers are used again
+    by other operators, so only the object asked for last stays in memory."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches of at most ``rows`` rows, for operators that make Python strings
+    of whole texts. What an earlier operator left in this worker is let go first."""
+    import pyarrow as pa
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir`` of the session."""
     return spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)

@@ -31,7 +31,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, slices
 
 ROWS = 5            # signature values in a band
 MISS = 1e-5         # chance to miss a pair exactly at the threshold
@@ -193,7 +193,7 @@ def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
 
     def run(batches):
         shingler, minmax = Shingler(k), MinMax(percent)
-        for batch in batches:
+        for batch in slices(batches, 2048):
             for rows in _chunks(batch):
                 sets = shingler.sets([r[1] for r in rows])
                 full = [s for s in sets if len(s)]
@@ -292,7 +292,7 @@ def _member_sets(docs: DataFrame, members: DataFrame, k: int, id_col: str, text_
 
     def run(batches):
         shingler = Shingler(k)
-        for batch in batches:
+        for batch in slices(batches, 2048):
             for rows in _chunks(batch):
                 got = [(r, s) for r, s in zip(rows, shingler.sets([r[1] for r in rows]), strict=True)
                        if len(s) and shingler.digest(s) == r[2]]

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import STABLE_BELOW, TwoAgeCache, text_of
+from .common import held
 
 MASK = 0xA282EAD8  # fixed value of the masked-checksum convention
 NO_ID = 1 << 63
@@ -163,15 +164,10 @@ class LibraryEncoder:
                 for t, c, w in zip(texts, cut, whole, strict=True)]
 
 
-_LOADED: dict[tuple, LibraryEncoder] = {}
-
-
 def _encoder(path: str, width: int | None) -> LibraryEncoder:
-    if (path, width) not in _LOADED:
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark owns the cores
-        _LOADED[path, width] = LibraryEncoder(path, width)
-    return _LOADED[path, width]
+    import os
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark owns the cores
+    return held(("library", path, width), lambda: LibraryEncoder(path, width))
 
 
 def _runs(batch):

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import TwoAgeCache
-from .common import Scratch
+from .common import Scratch, slices
 
 STEMS = (4, 5, 6)
 WHOLE_MIN = 2            # letters of the shortest word that is a term
@@ -108,7 +108,7 @@ def toxic_terms(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(counts, pa.int64()),
                                                pa.array(hashes, pa.int64())], ["term", "docs", "context"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 words = _LETTERS.findall((text or "").lower())
                 for t in {t for w in set(words) for t in terms_of(w)}:
@@ -134,7 +134,7 @@ def clean_counts(rows: DataFrame, terms: set[str]) -> DataFrame:
     def run(batches):
         found = TwoAgeCache(lambda w: [t for t in terms_of(w) if t in terms], PIECES_KEPT)
         docs: dict[str, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 words = set(_LETTERS.findall((text or "").lower()))
                 for t in {t for w in words for t in found[w]}:
@@ -401,7 +401,7 @@ def own_words(sample: DataFrame, terms: dict[str, float], shares: dict[str, floa
         near = TwoAgeCache(Lexicon(terms).near_in, PIECES_KEPT)
         docs: dict[str, int] = {}
         of: dict[str, list[str]] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 words = {}
                 for p in set((text or "").lower().split()):
@@ -453,7 +453,7 @@ def train(docs: DataFrame, labels: DataFrame,
 
     def run(batches):
         lexicon = Lexicon(*lexicon_of)
-        for batch in batches:
+        for batch in slices(batches):
             x, y = [], []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x.append(lexicon.features(text))
@@ -479,7 +479,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     def run(batches):
         scorer = Scorer(*model)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([scorer.score(t) for t in batch.column(1).to_pylist()], pa.float64())],
                 ["doc_id", "score"])
@@ -498,7 +498,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def run(batches):
         scorer = Scorer(*model)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([scorer.score(t) < threshold for t in batch.column(place).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

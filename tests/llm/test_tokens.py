@@ -178,3 +178,16 @@ def test_rollup_is_idempotent_and_signed(spark):
     # An attempt that died before its rename is no batch.
     rollup.inserts(counts(a)).write.parquet(f"{r.root}/_attempt-dead")
     assert again.totals().count() == 2
+
+
+def test_a_worker_keeps_one_object_and_reads_texts_in_slices():
+    import pyarrow as pa
+
+    from cartable.llm import common
+    assert bpe.load(PATH) is bpe.load(PATH)
+    bpe.load(PATH, 100)
+    assert len(common._HELD) == 1
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(1300)])], ["text"])
+    parts = list(common.slices([batch, batch.slice(0, 0)]))
+    assert [p.num_rows for p in parts] == [512, 512, 276] and not common._HELD
+    assert [t for p in parts for t in p.column(0).to_pylist()] == batch.column(0).to_pylist()
