@@ -375,4 +375,5 @@ def _links(docs, classes, clusters, k, percent, id_col, text_col, scratch) -> Da
     as_minor = F.transform(others, lambda q: meet(F.col("block"), q, zero))
     pairs = F.when(F.col("minor"), F.concat(as_partner, as_minor)).otherwise(as_partner)
     again = again.withColumn("x", F.explode(pairs)).select("cluster", "x.p", "x.q", "x.side", "doc_id", "s")
-    return links.unionByName(scratch.write(_compare(again, percent), "links"))
+    stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return stars.unionByName(scratch.write(_compare(again, percent), "links"))

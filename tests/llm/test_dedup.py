@@ -123,6 +123,19 @@ def test_connected_components(spark):
     assert connected_components(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_components_take_no_round_to_find_that_nothing_changes(spark):
+    stars = [(i, i - i % 10) for i in range(200)] * 3
+    scratch = Scratch(spark, "t")
+    got = connected_components(spark.createDataFrame(stars, "a bigint, b bigint"), scratch).collect()
+    assert sorted(map(tuple, got)) == [(i, i - i % 10) for i in range(200)]
+    assert scratch._n == 1  # tables written
+    # One lower neighbour each: a path of pointers halves with every table.
+    scratch = Scratch(spark, "t")
+    path = spark.createDataFrame([(i + 1, i) for i in range(64)], "a bigint, b bigint")
+    assert {tuple(r) for r in connected_components(path, scratch).collect()} == {(i, 0) for i in range(65)}
+    assert scratch._n <= 7
+
+
 def brute_vectors(rows, threshold):
     ok = {}
     for i, v in rows:
