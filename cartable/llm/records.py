@@ -19,27 +19,30 @@ one. Readers check both checksums of every record.
 """
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
-from itertools import filterfalse
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import STABLE_BELOW, TwoAgeCache, text_of
+from .bpe import CACHE_CHARS, STABLE_BELOW, TwoAgeCache, text_of
 from .common import held
 
 MASK = 0xA282EAD8  # fixed value of the masked-checksum convention
 NO_ID = 1 << 63
 MANIFEST = "part int, data string, offsets string, width int, n_docs bigint, n_tokens bigint, n_bytes bigint"
 CHUNK = 4 << 20
-DOCS_AT_ONCE = 256  # documents encoded together, fewer if they hold CHUNK bytes
-# Pieces in each age of a worker's cache; two ages of about 200 bytes a piece
-# bound it near 0.4 GB. A call of the library costs more than a lookup.
-PIECES_KEPT = 900_000
-MARKS = ".,;:!?"
+DOCS_AT_ONCE = 256  # documents in a run, fewer if they hold CHUNK bytes
+# Documents encoded together, and their bytes: more share more pieces.
+DOCS_ENCODED = 8192
+BYTES_ENCODED = 8 << 20
+WORDS_ASKED = 1 << 14  # in one call of the library, whose memory grows with them
+# Words in each age of a worker's cache; two ages of about 200 bytes a word
+# bound it near 0.25 GB. A call of the library costs more than a lookup.
+PIECES_KEPT = 600_000
 
 
 def masked(data: bytes) -> int:
@@ -93,75 +96,120 @@ def filesystem(uri: str):
 
 
 class LibraryEncoder:
-    """Ids of the ``tokenizers`` library, which is called once for the pieces
-    between single spaces that are not in the bounded cache (no pre-token
-    crosses such a space, see :mod:`.bpe`). New pieces go through the library
-    as one text with a special token of the vocabulary between them, whose id
-    shows where each piece's ids end."""
+    """Ids of the ``tokenizers`` library, which is called once for the words
+    that are not in a bounded cache. Texts are cut at single spaces (no pre-token
+    crosses one, see :mod:`.bpe`) and each distinct piece is looked at once: its
+    first pre-token and what follows have ids of their own, which are often known
+    already. New ones go through the library as one text with a special token of
+    the vocabulary between them, whose id shows where each one's ids end."""
 
     def __init__(self, path: str, width: int | None = None):
         import numpy as np
+        import regex
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.width = width or (2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4)
         self.kind = np.dtype(f"<u{self.width}")
-        self.cut = next(((t.content, i) for i, t in self.tok.get_added_tokens_decoder().items()
+        added = self.tok.get_added_tokens_decoder()
+        self.cut = next(((t.content, i) for i, t in added.items()
                          if t.special and not (t.lstrip or t.rstrip or t.single_word)), None)
-        self.cache = TwoAgeCache(None, PIECES_KEPT)
-        self.marks = dict(zip(MARKS, self.pack(list(MARKS)), strict=True))
+        # A piece's first pre-token; what follows is cut on its own, as the pattern never looks back.
+        self.head = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+").match
+        self.unsure = re.compile("|".join([f"[{STABLE_BELOW}-\U0010ffff]", *(re.escape(t.content) for t in added.values())])).search
+        self.cache = TwoAgeCache(None, PIECES_KEPT)  # words behind a space
+        self.tails = TwoAgeCache(None, PIECES_KEPT // 4)  # what follows a word in its piece
 
     def pack(self, texts: list[str]) -> list[bytes]:
         import numpy as np
         return [np.array(e.ids, dtype=self.kind).tobytes()
                 for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece with a space before it."""
+    def pieces(self, pieces: list[str], lead: str = " ") -> list[bytes]:
+        """Ids of each piece with ``lead`` before it."""
         import numpy as np
         if not pieces or self.cut is None:
-            return self.pack([" " + p for p in pieces])
+            return self.pack([lead + p for p in pieces])
         between, cut_id = self.cut
-        joined = " " + (between + " ").join(pieces)
+        joined = lead + (between + lead).join(pieces)
         if joined.count(between) != len(pieces) - 1:  # a piece holds the special token itself
-            return self.pack([" " + p for p in pieces])
+            return self.pack([lead + p for p in pieces])
         ids = np.array(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.kind)
         ends = self.width * np.append(np.flatnonzero(ids == cut_id), len(ids))
         starts = np.append(0, ends[:-1] + self.width)
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, in this encoder's width."""
-        cache, cut = self.cache, [t.split(" ") for t in texts]
-        used = set().union(*(c[1:] for c in cut))
-        new = list(filterfalse(cache.__contains__, used))
-        # White space at an end of a piece stands next to a space: the text is
-        # then encoded whole. Only sound pieces are kept, so old ones need no look.
-        odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
-        whole = [not c[0] or c[0][-1].isspace() or bool(odd) and not odd.isdisjoint(c) for c in cut]
-        again = [p for p in new if p in cache.old]
-        fresh = [p for p in new if p not in cache.old and p not in odd]
-        known = {p: cache.old[p] for p in again}
-        # Letters and one mark behind them are two pre-tokens, so the mark's ids
-        # follow those of the word, which is often known already.
-        marked = {p: p[:-1] for p in fresh if p[-1] in MARKS and p[:-1].isalpha() and max(p) < STABLE_BELOW}
-        stems = set(marked.values()).difference(known)
-        known.update((w, v) for w in stems if (v := cache.get(w) or cache.old.get(w)))
-        ask = [*{p for p in fresh if p not in marked} | {w for w in stems if w not in known}]
-        known.update(zip(ask, self.pieces(ask), strict=True))
-        known.update((p, known[w] + self.marks[p[-1]]) for p, w in marked.items())
+    def learn(self, cache: TwoAgeCache, words: set[str], lead: str) -> dict[str, bytes]:
+        """Ids of ``words``, from the cache's ages or else from the library; they
+        are in the young age afterwards, unless they are long."""
+        known = {w: v for w in words if (v := cache.get(w) or cache.old.get(w))}
+        ask = [w for w in words if w not in known]
+        for at in range(0, len(ask), WORDS_ASKED):
+            some = ask[at:at + WORDS_ASKED]
+            known.update(zip(some, self.pieces(some, lead), strict=True))
         if len(cache) + len(known) > cache.limit:
-            # The texts at hand may need pieces of the age that ends now.
             cache.old = dict(cache)
             cache.clear()
-            cache.update((p, cache.old[p]) for p in used if p in cache.old)
-        cache.update(known)
-        get = cache.__getitem__
-        firsts = iter(self.pack([c[0] for c, w in zip(cut, whole, strict=True) if not w]))
-        return [(self.pack([t])[0] if t else b"") if w else next(firsts) + b"".join(map(get, c[1:]))
-                for t, c, w in zip(texts, cut, whole, strict=True)]
+        cache.update((w, v) for w, v in known.items() if len(w) <= CACHE_CHARS)
+        return known
+
+    def distinct(self, pieces: list[str]) -> tuple[list[bytes], list[int]]:
+        """Ids of each piece with a space before it, and the places of pieces with
+        white space at an end: that stands next to a space, so their ids are empty
+        and the texts that hold them are to be encoded whole."""
+        ids = list(map(self.cache.get, pieces))
+        odd, words, tails = [], {}, {}
+        for i in [i for i, v in enumerate(ids) if v is None]:
+            p = pieces[i]
+            if not p or p[0].isspace() or p[-1].isspace():
+                odd.append(i)
+                ids[i] = b""
+            elif p.isalpha() or self.unsure(p):
+                words[i] = p
+            else:
+                n = self.head(p).end()
+                words[i] = p[:n]
+                if n < len(p):
+                    tails[i] = p[n:]
+        known = self.learn(self.cache, set(words.values()), " ")
+        for i, w in words.items():
+            ids[i] = known[w]
+        known = self.learn(self.tails, set(tails.values()), "")
+        for i, t in tails.items():
+            ids[i] += known[t]
+        return ids, odd
+
+    def encode(self, texts) -> list[bytes]:
+        """Ids of whole texts (strings or an Arrow array), in this encoder's width."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(texts.fill_null(""), " ")
+        flat, ends = cut.values.dictionary_encode(), cut.offsets.to_numpy().astype(np.int64)
+        place, firsts = flat.indices.to_numpy(), ends[:-1]
+        pieces = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids, odd = self.distinct(pieces)
+        # A text's first piece has no space before it.
+        first = [pieces[k] for k in place[firsts].tolist()]
+        flag = np.zeros(len(pieces), bool)
+        flag[odd] = True
+        flag = flag[place]
+        flag[firsts] = [not p or p[-1].isspace() for p in first]
+        whole = np.logical_or.reduceat(flag, firsts).tolist()
+        begun = iter(self.pack([p for p, w in zip(first, whole, strict=True) if not w]))
+        # The other pieces' ids side by side in the order of the texts.
+        rows = pa.array(ids, pa.large_binary()).take(pa.array(np.delete(place, firsts)))
+        at = np.frombuffer(rows.buffers()[1], np.int64)[:len(rows) + 1] if len(rows) else np.zeros(1, np.int64)
+        at = at[ends - np.arange(len(ends))].tolist()
+        data = memoryview(rows.buffers()[2] or b"")
+        return [(self.pack([texts[i].as_py()])[0] if len(texts[i].as_py() or "") else b"") if w
+                else next(begun) + data[a:b] for i, (w, a, b) in enumerate(zip(whole, at, at[1:], strict=False))]
 
 
 def _encoder(path: str, width: int | None) -> LibraryEncoder:
@@ -170,14 +218,14 @@ def _encoder(path: str, width: int | None) -> LibraryEncoder:
     return held(("library", path, width), lambda: LibraryEncoder(path, width))
 
 
-def _runs(batch):
-    """Slices of a batch of at most ``DOCS_AT_ONCE`` rows that end once their
-    texts hold ``CHUNK`` bytes."""
+def _runs(batch, docs: int = DOCS_AT_ONCE, chunk: int = CHUNK):
+    """Slices of a batch of at most ``docs`` rows that end once their texts hold
+    ``chunk`` bytes."""
     import pyarrow.compute as pc
     at = size = 0
     for i, n in enumerate(pc.binary_length(batch.column(1)).to_pylist()):
         size += n or 0
-        if size >= CHUNK or i + 1 - at == DOCS_AT_ONCE:
+        if size >= chunk or i + 1 - at == docs:
             yield batch.slice(at, i + 1 - at)
             at, size = i + 1, 0
     if at < batch.num_rows:
@@ -204,18 +252,22 @@ def write_records(docs: DataFrame, out_dir: str, path: str, end_id: int, id_col:
         offset = tokens = docs_n = 0
         data = index = None
         for batch in batches:
-            for some in _runs(batch):
+            for some in _runs(batch, DOCS_ENCODED, BYTES_ENCODED):
                 if data is None:
                     fs, p = filesystem(name)
                     fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
                     data, index = fs.open_output_stream(p + ".rec"), fs.open_output_stream(p + ".idx")
-                encoded = enc.encode([text_of(t) for t in some.column(1)])
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoded, strict=True):
+                texts = some.column(1)
+                if not (pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type)):
+                    texts = [text_of(t) for t in texts]
+                framed, offsets = [], []
+                for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode(texts), strict=True):
                     ids += end
-                    framed = record(doc_id, ids)
-                    data.write(framed)
-                    index.write(struct.pack("<Q", offset))
-                    offset, tokens, docs_n = offset + len(framed), tokens + len(ids) // enc.width, docs_n + 1
+                    framed.append(record(doc_id, ids))
+                    offsets.append(offset)
+                    offset, tokens, docs_n = offset + len(framed[-1]), tokens + len(ids) // enc.width, docs_n + 1
+                data.write(b"".join(framed))
+                index.write(struct.pack(f"<{len(offsets)}Q", *offsets))
         if data is not None:
             data.close()
             index.close()

@@ -92,6 +92,22 @@ def test_library_encoder_equals_library():
         assert enc.encode(texts) == [lib(t) for t in texts]
 
 
+def test_library_sees_each_word_and_each_tail_once():
+    enc, asked, rng = records.LibraryEncoder(PATH), [], random.Random(4)
+    plain = enc.pieces
+    enc.pieces = lambda pieces, lead=" ": asked.extend((lead, p) for p in pieces) or plain(pieces, lead)
+    text = "start alpha, alpha.\nBeta (alpha) alpha*** beta.\nBeta beta's 12, 12. beta1, beta*** x"
+    assert [np.frombuffer(i, "<u2").tolist() for i in enc.encode([text, None, ""]) + enc.encode([text])] == [
+        LIB.encode(t, add_special_tokens=False).ids for t in (text, "", "", text)]
+    assert len(asked) == len(set(asked))
+    assert {p for lead, p in asked if lead} == {"start", "alpha", "beta", "(", "12", "x"}
+    parts = [*PARTS, " ", " ", "\x85", "\xa0", "\x1d", "_", "Ǆ", "½", "٣", "<|endoftext", "'", "a.\nB"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(9)]
+        assert [np.frombuffer(i, "<u2").tolist() for i in enc.encode(texts)] == [
+            LIB.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("width", [2, 4])
 def test_records_round_trip(spark, width):
     df = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
