@@ -2,6 +2,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cartable.operators import svm as S
@@ -142,3 +143,17 @@ def test_members_and_saved_weights(spark, tmpdir_path):
     weight = np.array([sum(n) / (3 * n[t]) * (i % 3 != 0) for i, t in enumerate(y)])
     want, _ = plain_svm(x, np.where(np.array(y) == 1, 1.0, -1.0), weight)
     assert np.abs(model.weights[0][1] - want).max() < 1e-4
+
+
+def test_packed_blocks_do_not_follow_the_batch(monkeypatch):
+    monkeypatch.setattr(S, "PACKED_CELLS", 10)
+    lengths = [3, 3, 3, 3, 25, 0, 1, 0]
+    f = pa.array([list(range(n)) for n in lengths], pa.list_(pa.int32()))
+    v = pa.array([[float(i)] * n for i, n in enumerate(lengths)], pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array([9] + list(range(8)), pa.int32()), pa.array([0] * 9, pa.int32()), pa.array([[7]] + f.to_pylist(), f.type),
+                                        pa.array([[7.0]] + v.to_pylist(), v.type)], ["y", "fold", "f", "v"]).slice(1)
+    packed = list(S._pack([batch]))
+    blocks = list(S._unpacked(packed))
+    assert [len(x[3]) for x in blocks] == [9, 3, 25, 1] and sum((x[0].tolist() for x in blocks), []) == list(range(8))
+    rows = [(int(y[i]), vs[row == i].tolist()) for y, _, row, _, vs in blocks for i in range(len(y))]
+    assert rows == [(i, [float(i)] * n) for i, n in enumerate(lengths)]
