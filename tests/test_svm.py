@@ -145,15 +145,19 @@ def test_members_and_saved_weights(spark, tmpdir_path):
     assert np.abs(model.weights[0][1] - want).max() < 1e-4
 
 
-def test_packed_blocks_do_not_follow_the_batch(monkeypatch):
-    monkeypatch.setattr(S, "PACKED_CELLS", 10)
-    lengths = [3, 3, 3, 3, 25, 0, 1, 0]
-    f = pa.array([list(range(n)) for n in lengths], pa.list_(pa.int32()))
-    v = pa.array([[float(i)] * n for i, n in enumerate(lengths)], pa.list_(pa.float64()))
-    batch = pa.RecordBatch.from_arrays([pa.array([9] + list(range(8)), pa.int32()), pa.array([0] * 9, pa.int32()), pa.array([[7]] + f.to_pylist(), f.type),
-                                        pa.array([[7.0]] + v.to_pylist(), v.type)], ["y", "fold", "f", "v"]).slice(1)
+def test_losses_read_runs_of_rows_and_sum_whole_batches(monkeypatch):
+    rnd = np.random.default_rng(3)
+    lengths = [3, 3, 3, 3, 25, 0, 1, 0] * 20
+    ends = pa.array(np.r_[0, np.cumsum(lengths)], pa.int32())
+    f = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.sort(rnd.permutation(30)[:n]) for n in lengths]), pa.int32()))
+    v = pa.ListArray.from_arrays(ends, pa.array(rnd.random(sum(lengths))))
+    cols = [pa.array(rnd.integers(0, 3, len(lengths)), pa.int32()), pa.array(rnd.integers(0, 2, len(lengths)), pa.int32())]
+    batch = pa.RecordBatch.from_arrays([*cols, f, v], ["y", "fold", "f", "v"]).slice(2)
+    problems = [S.Problem(k, fold, (1.0, 2.0, 0.5)) for fold in (0, 1, None) for k in range(3)]
+    w = rnd.normal(size=(len(problems), 31))
     packed = list(S._pack([batch]))
-    blocks = list(S._unpacked(packed))
-    assert [len(x[3]) for x in blocks] == [9, 3, 25, 1] and sum((x[0].tolist() for x in blocks), []) == list(range(8))
-    rows = [(int(y[i]), vs[row == i].tolist()) for y, _, row, _, vs in blocks for i in range(len(y))]
-    assert rows == [(i, [float(i)] * n) for i, n in enumerate(lengths)]
+    whole = list(S._losses(w, problems, 1.5)(iter(packed)))
+    monkeypatch.setattr(S, "HELD_CELLS", 10)
+    runs = [b.num_rows for b in S._blocks(batch)]
+    assert len(runs) > 20 and sum(runs) == batch.num_rows
+    assert [b.to_pydict() for b in S._losses(w, problems, 1.5)(iter(packed))] == [b.to_pydict() for b in whole]
