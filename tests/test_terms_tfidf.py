@@ -267,3 +267,12 @@ def test_lemmas_in_tasks_equal_the_join(spark, monkeypatch):
     monkeypatch.setattr(FE, "SHIPPED_DICT_MAX_ROWS", 0)
     assert got == rows(FE.lemmatize(docs, d))
     assert FE.lemmatized_tfidf_long(docs.where("id = 3"), TF.TfidfParams()).count() == 0
+
+
+def test_vectors_of_known_terms_keep_the_gathered_order(spark):
+    docs = spark.createDataFrame([(i, f"commun mot{i % 7}") for i in range(300)], "id long, text string")
+    model = TF.fit_tfidf(docs, TF.TfidfParams(min_df=1))
+    old = TF.sparse_rows(model.transform(docs).select("id", "idx", "weight"), docs.select("id"), model.size).collect()
+    new = TF.sparse_rows(model.features(docs), docs.select("id"), model.size)
+    assert "SortMergeJoin" in _plan(new)
+    assert sorted((r.id, r.features) for r in new.collect()) == sorted((r.id, r.features) for r in old)
